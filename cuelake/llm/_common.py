@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -33,11 +34,15 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_cuelake_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="cuelake-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as packed:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
         for source in sorted(root.rglob("*.py")):
-            packed.write(source, source.relative_to(root.parent))
-    context.addPyFile(str(archive))
+            archive.write(source, source.relative_to(root.parent))
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{root.name}-{uuid.uuid4().hex}.zip")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(path.toString())
     context._cuelake_shipped = True
 
 

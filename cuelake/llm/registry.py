@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding, url_filters
+from . import bpe_codec, decontamination, exact_dedup, sharding, token_counts, url_filters
 
-MODULES = (exact_dedup, sharding, url_filters)
+MODULES = (exact_dedup, token_counts, decontamination, sharding, url_filters, bpe_codec)
 
 
 def queries():
