@@ -68,6 +68,19 @@ def numbered(frame: DataFrame) -> DataFrame:
     return frame.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, total: int, hot: int = 20_000) -> DataFrame:
+    """Join each row with the one row of `facts` for its keys; `size` says how many rows each key has, `total` how many there are.
+
+    Keys with more than max(hot, total / 100,000) rows, so under 100,000 keys, are joined by broadcast, all others by shuffle:
+    no task gets all rows of a hot key.
+    """
+    large = F.col(size) > max(hot, total // 100_000)
+    many = facts.where(large)
+    some = rows.join(F.broadcast(many), keys)
+    others = rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(facts.where(~large), keys)
+    return some.unionByName(others)
+
+
 def lower_ascii(column):
     """Lower-case A-Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -16,9 +16,12 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import read_table, ship, with_id
 
@@ -262,6 +265,29 @@ def encoding_digests(docs: DataFrame, vocabulary_file: str, memo: int = 400_000,
     return _encoded(docs, vocabulary_file, memo, doc_id, text, digest=True)
 
 
+def encoded_rows(docs: DataFrame, vocabulary_file: str, keep: list[str], memo: int = 400_000, text: str = "text") -> DataFrame:
+    """The named columns of `docs`, and n_tokens, ids (array), ids_sha256 and decoded_sha256 after them."""
+    ship(docs.sparkSession)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(vocabulary_file, memo)
+        digest = lambda x: hashlib.sha256(x.encode("utf-8")).hexdigest()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                pairs = [own.both(value.as_py()) for value in part.column(part.num_columns - 1)]
+                ids = [np.fromstring(a, np.int32, sep=" ") if a else np.zeros(0, np.int32) for a, _ in pairs]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(i) for i in ids])]), pa.int32()), pa.array(np.concatenate(ids)))
+                values = [pa.array([len(i) for i in ids], pa.int64()), lists, pa.array([digest(a) for a, _ in pairs]), pa.array([digest(b) for _, b in pairs])]
+                yield pa.RecordBatch.from_arrays(part.columns[:-1] + values, [*keep, "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    schema = T.StructType(rows.schema.fields[:-1])
+    for name, kind in (("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType())), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())):
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(encode, schema)
+
+
 def _encoded(docs: DataFrame, vocabulary_file: str, memo: int, doc_id: str, text: str, digest: bool) -> DataFrame:
     ship(docs.sparkSession)
     rows = with_id(doc_id, text, docs)

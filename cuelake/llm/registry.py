@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, decontamination, exact_dedup, sharding, token_counts, url_filters
+from . import bpe_codec, decontamination, exact_dedup, language_id, license_scan, near_dedup, quality, sharding, token_counts, url_filters
 
-MODULES = (exact_dedup, token_counts, decontamination, sharding, url_filters, bpe_codec)
+MODULES = (near_dedup, license_scan, exact_dedup, token_counts, quality, decontamination, sharding, url_filters, bpe_codec, language_id)
 
 
 def queries():
