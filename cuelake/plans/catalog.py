@@ -1,11 +1,311 @@
-"""Registered queries and the SQL that checks them."""
+"""Registered queries over the test tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cuelake.functions import text
+from cuelake.operators import decode, documents, lexicon, postings, report, search, windows
+from cuelake.plans.query import Query
+from cuelake.sources import corpus as corpora
+from cuelake.sources.corpus import Corpus
+
+MS_PER_TOKEN = 400
+
+
+def documents_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """`documents` as transcripts: lines of the text, 400 ms a token."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    lines = rows.select(F.col("doc_id").cast("int").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    split = lines.select("doc_id", "line_no", text.tokens(F.col("line")).alias("words"), F.lit(0).alias("start_ms"), F.lit(0).alias("end_ms"))
+    placed = corpora.positioned(split)
+    start = F.col("pos").cast("long") * MS_PER_TOKEN
+    timed = placed.select("doc_id", "line_no", start.alias("start_ms"), (start + F.least(F.size("words") * MS_PER_TOKEN, F.lit(corpora.MAX_LINE_MS))).alias("end_ms"), "words", "pos")
+    return _corpus(rows.select(F.col("doc_id").cast("int").alias("doc_id"), F.format_string("doc%06d", "doc_id").alias("name")), timed)
+
+
+def events_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """`events` as transcripts: a document per user, a line of one token per event, at its milliseconds since the first event."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
+    first = rows.agg(F.min("ts").alias("first"))
+    millis = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    at = F.floor((millis("ts") - millis("first")) / 1000).cast("long")
+    line = F.row_number().over(Window.partitionBy("user_id").orderBy("at", "event_id")) - 1
+    lines = rows.crossJoin(F.broadcast(first)).withColumn("at", at)  # one row
+    timed = lines.select(F.col("user_id").cast("int").alias("doc_id"), line.alias("line_no"), F.col("at").alias("start_ms"), (F.col("at") + 1000).alias("end_ms"), F.array("event_type").alias("words"), line.alias("pos"))
+    return _corpus(timed.select("doc_id").distinct().withColumn("name", F.concat(F.lit("user"), F.col("doc_id").cast("string"))), timed)
+
+
+_built: dict[tuple, Corpus] = {}
+
+
+def _once(make, spark: SparkSession, sf_dir: str) -> Corpus:
+    """A corpus is built once for each session and table, like an index, and kept in memory or on disk as it fits."""
+    key = (make.__name__, spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        _built[key] = make(spark, sf_dir).cached()
+    return _built[key]
+
+
+def _corpus(names: DataFrame, timed: DataFrame) -> Corpus:
+    lexicon_table = corpora.dense_ids(corpora.count_tokens(timed))
+    short = F.octet_length("token") <= corpora.MAX_TOKEN_BYTES
+    # a token has an id exactly when it is short: search needs no join with the lexicon
+    tokens = corpora.placed_tokens(timed).withColumn("word_id", F.when(short, F.lit(0)))
+    return Corpus(corpora.document_table(names, timed), lexicon_table, corpora.line_table(timed), tokens)
+
+
+def _with_ids(c: Corpus) -> Corpus:
+    return Corpus(c.documents, c.lexicon, c.lines, corpora.with_word_ids(c.tokens.drop("word_id"), c.lexicon))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.col("start").cast("double").alias("start_s"), F.col("end").cast("double").alias("end_s"), "idx", "len")
+
+
+_T = text.TOKEN_PATTERN.replace("'", "''")
+#: Tables of both corpora, as common table expressions.
+_DOCS = rf"""
+cue AS (SELECT doc_id, unnest(range(len(ls)))::INT AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+cut AS (SELECT doc_id, line_no, CASE WHEN length(line) >= 2 AND line[1] = '{{' AND line[-1] = '}}' THEN line[2:-2] ELSE line END AS line FROM cue),
+word AS (SELECT doc_id, line_no, regexp_extract_all(line, '{_T}') AS ws FROM cut),
+placed AS (SELECT doc_id, line_no, ws, len(ws) AS n, coalesce(sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM word),
+line AS (SELECT doc_id, line_no, ws, n, pos, pos * 400 AS start_ms, pos * 400 + least(400 * n, 65535) AS end_ms FROM placed),
+names AS (SELECT doc_id, printf('doc%06d', doc_id) AS name FROM documents),"""
+_EVENTS = """
+line AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) - 1 AS line_no, [event_type] AS ws, 1 AS n, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) - 1 AS pos, ms AS start_ms, ms + 1000 AS end_ms
+  FROM (SELECT *, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 1000 AS ms FROM events)),"""
+_REST = """
+tok AS (SELECT doc_id, line_no, start_ms, end_ms, pos + i AS pos, ws[i + 1] AS token, strlen(ws[i + 1]) <= 20 AS known FROM (SELECT *, unnest(range(n)) AS i FROM line)),
+lex AS (SELECT row_number() OVER (ORDER BY token) - 1 AS word_id, token, count(*) AS count FROM tok WHERE known GROUP BY token)"""
+_D, _E = "WITH " + _DOCS + _REST, "WITH " + _EVENTS + _REST
+
+
+def _sec(ms: str) -> str:
+    return f"(({ms})::FLOAT / 1000::FLOAT)"
+
+
+def _gram(*slots: tuple[str, ...], name: str = "hit") -> str:
+    """SQL of the postings of slots of alternatives, by self-joins on neighbouring positions."""
+    n = len(slots)
+    joins = " ".join(f"JOIN tok t{k} ON t{k}.doc_id = t0.doc_id AND t{k}.pos = t0.pos + {k}" for k in range(1, n))
+    tests = " AND ".join(f"t{k}.known AND t{k}.token IN ({', '.join(chr(39) + w + chr(39) for w in slot)})" for k, slot in enumerate(slots))
+    least = f"least({', '.join(f't{k}.start_ms' for k in range(n))})" if n > 1 else "t0.start_ms"
+    most = f"greatest({', '.join(f't{k}.end_ms' for k in range(n))})" if n > 1 else "t0.end_ms"
+    return f", {name} AS (SELECT t0.doc_id, {_sec(least)} AS \"start\", {_sec(most)} AS \"end\", t0.pos AS idx, {n} AS len FROM tok t0 {joins} WHERE {tests})"
+
+
+_SHOW = 'SELECT doc_id::INT AS doc_id, "start"::DOUBLE AS start_s, "end"::DOUBLE AS end_s, idx::INT AS idx, len::INT AS len FROM '
+
+
+def _dist(a: str, b: str, by_time: bool) -> str:
+    gap = (lambda x, y: f"{y}.\"start\"::DOUBLE - {x}.\"end\"::DOUBLE") if by_time else (lambda x, y: f"{y}.idx - ({x}.idx + {x}.len)")
+    key = '"start"' if by_time else "idx"
+    return f"({a} IS NOT NULL AND {b} IS NOT NULL AND greatest(CASE WHEN {a}.{key} <= {b}.{key} THEN {gap(a, b)} ELSE {gap(b, a)} END, 0) < "
+
+
+def _and(children: list[str], threshold: int, by_time: bool, out: str) -> str:
+    """SQL of And over tables of postings that are ordered by idx: nearest before and after, in merge order, by lateral lookups."""
+    union = " UNION ALL ".join(f'SELECT {i} AS child, doc_id, "start", "end", idx, len FROM {c}' for i, c in enumerate(children))
+    cols = '{\'start\': "start", \'end\': "end", \'idx\': idx, \'len\': len}'
+    wins = ", ".join(f"last_value(CASE WHEN child = {j} THEN p END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b{j}, first_value(CASE WHEN child = {j} THEN p END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a{j}" for j in range(len(children)))
+    test = " AND ".join(f"(child = {j} OR {_dist('p', f'b{j}', by_time)}{threshold}) OR {_dist('p', f'a{j}', by_time)}{threshold}))" for j in range(len(children)))
+    return f", {out}_u AS (SELECT *, {cols} AS p, max(\"start\") OVER (PARTITION BY doc_id, child ORDER BY idx) AS k FROM ({union})), {out}_w AS (SELECT *, {wins} FROM {out}_u WINDOW w AS (PARTITION BY doc_id ORDER BY k, child, idx)), {out} AS (SELECT doc_id, \"start\", \"end\", idx, len FROM {out}_w WHERE {test})"
+
+
+def _not(first: str, others: list[str], threshold: int, by_time: bool, out: str) -> str:
+    key = '"start"' if by_time else "idx"
+    cols = '{\'start\': "start", \'end\': "end", \'idx\': idx, \'len\': len}'
+    union = " UNION ALL ".join(f'SELECT doc_id, "start", "end", idx, len FROM {c}' for c in others)
+    return f""", {out}_o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start", idx) AS seq FROM ({union})),
+{out}_u AS (SELECT *, {cols} AS p, max({key}) OVER (PARTITION BY doc_id, child ORDER BY seq) AS k FROM (SELECT 0 AS child, * FROM {out}_o UNION ALL SELECT 1 AS child, *, idx AS seq FROM {first})),
+{out}_w AS (SELECT *, last_value(CASE WHEN child = 0 THEN p END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, first_value(CASE WHEN child = 0 THEN p END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM {out}_u WINDOW w AS (PARTITION BY doc_id ORDER BY k, child, seq)),
+{out} AS (SELECT doc_id, "start", "end", idx, len FROM {out}_w WHERE child = 1 AND NOT ({_dist('p', 'b', by_time)}{threshold}) OR {_dist('p', 'a', by_time)}{threshold})))"""
+
+
+def _island(source: str, gap: float, by_time: bool, out: str) -> str:
+    key, end, order = ('"start"::DOUBLE', '"end"::DOUBLE', '"start", idx, "end", len') if by_time else ("idx", "idx + len", 'idx, "start", len, "end"')
+    return f""", {out}_r AS (SELECT *, max({end}) OVER (PARTITION BY doc_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}),
+{out}_i AS (SELECT *, sum(CASE WHEN reach IS NULL OR {key} - reach > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS island FROM {out}_r),
+{out} AS (SELECT doc_id, min("start") AS "start", max("end") AS "end", min(idx) AS idx, max(idx + len) - min(idx) AS len FROM {out}_i GROUP BY doc_id, island)"""
+
+
+_CLICK, _ERROR, _BUY = _gram(("click",), name="a"), _gram(("error",), name="b"), _gram(("purchase",), name="c")
+_OF, _WITH, _WAS = _gram(("of",), name="a"), _gram(("with",), name="b"), _gram(("was",), name="c")
+_LEMMA = """, stems AS (SELECT token, count, unnest(list_distinct(list_filter([low, CASE WHEN low LIKE '%s' AND length(low) > 2 THEN low[:-2] END, CASE WHEN low LIKE '%ses' AND length(low) > 4 THEN low[:-4] || 's' END,
+ CASE WHEN low LIKE '%xes' AND length(low) > 4 THEN low[:-4] || 'x' END, CASE WHEN low LIKE '%zes' AND length(low) > 4 THEN low[:-4] || 'z' END, CASE WHEN low LIKE '%ches' AND length(low) > 5 THEN low[:-5] || 'ch' END,
+ CASE WHEN low LIKE '%shes' AND length(low) > 5 THEN low[:-5] || 'sh' END, CASE WHEN low LIKE '%ies' AND length(low) > 4 THEN low[:-4] || 'y' END], lambda x: x IS NOT NULL))) AS lemma FROM (SELECT *, lower(token) AS low FROM lex)
+ WHERE low NOT IN ('feet', 'men', 'women', 'children', 'teeth', 'geese', 'mice')),
+same AS (SELECT DISTINCT token FROM stems WHERE lemma IN ('er', 'ers'))"""
+
+
+def _clock(ms: str, mark: str) -> str:
+    t = f"{_sec(ms)}::DOUBLE"
+    return f"(printf('%02d:%02d:%02d', floor({t} / 3600)::BIGINT, floor({t} / 60)::BIGINT % 60, floor({t})::BIGINT % 60) || '{mark}' || lpad((floor({t} * 1000)::BIGINT % 1000)::VARCHAR, 3, '0'))"
+
+
+def _span(t: str) -> str:
+    t = f"({t})::DOUBLE"
+    return f"printf('%02dh %02dm %02d.%03ds', trunc({t} / 3600)::BIGINT, trunc({t} / 60)::BIGINT % 60, trunc({t})::BIGINT % 60, trunc(({t} - trunc({t})) * 1000)::BIGINT)"
+
+
+def _plain(words: str) -> str:
+    out = f"array_to_string({words}, ' ')"
+    for pattern, old, new in text._UNTOKENIZE:
+        old, new = old.replace("'", "''"), new.replace("'", "''").replace("$1", r"\1").replace("$2", r"\2")
+        out = f"regexp_replace({out}, '{old}', '{new}', 'g')" if pattern else f"replace({out}, '{old}', '{new}')"
+    return f"trim({out}, ' ')"
+
+
+def _subtitles(mark: str, head: str, numbered: bool) -> str:
+    number = "line_no::VARCHAR || chr(13) || chr(10) || " if numbered else ""
+    nl = "chr(13) || chr(10)"
+    return _D + f""", ls AS (SELECT doc_id, line_no, start_ms, end_ms, list(CASE WHEN known THEN token ELSE 'UNKNOWN' END ORDER BY pos) AS ws FROM tok GROUP BY ALL),
+cs AS (SELECT doc_id, line_no, {number}{_clock('start_ms', mark)} || ' --> ' || {_clock('end_ms', mark)} || {nl} || {_plain('ws')} || {nl} || {nl} AS cue FROM ls)
+SELECT doc_id::INT AS doc_id, {head} || coalesce(string_agg(cue, '' ORDER BY line_no), '') AS content FROM names LEFT JOIN cs USING (doc_id) GROUP BY doc_id"""
+
+
+def _query(raw: str, corpus=documents_corpus, **options):
+    return lambda spark, sf_dir: _shown(Query(raw).execute(_once(corpus, spark, sf_dir), **options))
+
+
+def _docs(make):
+    return lambda spark, sf_dir: make(_once(documents_corpus, spark, sf_dir))
+
+
+def _events(make):
+    return lambda spark, sf_dir: make(_once(events_corpus, spark, sf_dir))
+
+
+def _cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _once(documents_corpus, spark, sf_dir).lexicon
+    raws = ("of the", "with | was", "the & nosuchword :: 5")
+    rows = [(raw, round(Query(raw).estimate_cost(c), 12)) for raw in raws]
+    return spark.createDataFrame(rows, "query string, cost double")
+
+
+def _update(c: Corpus, spark: SparkSession, sf_dir: str) -> Corpus:
+    """The documents of even ids, with those of odd ids appended."""
+    names = c.documents.select("doc_id", "name")
+    even = F.col("doc_id") % 2 == 0
+    old = c.tokens.where(even)
+    counts = old.where("word_id IS NOT NULL").groupBy("token").agg(F.count("*").alias("count"))
+    base = corpora.dense_ids(counts)
+    start = Corpus(c.documents.where(even), base, c.lines.where(even), corpora.with_word_ids(old.drop("word_id"), base))
+    cues = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("int").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")).where(~even)
+    named = cues.join(names, "doc_id").select("name", "line_no", (F.col("line_no") * 1000).alias("start_ms"), (F.col("line_no") * 1000 + 1000).alias("end_ms"), "line")
+    return corpora.update(start, names.where(~even), named)
+
+
+_QUERIES = {
+    "token_scan": _docs(lambda c: documents.scan(c)),
+    "token_scan_limit": _docs(lambda c: documents.scan(c, 100)),
+    "lexicon_counts": _docs(lambda c: c.lexicon),
+    "lexicon_word_count": _docs(lambda c: lexicon.word_count(c.lexicon)),
+    "lexicon_decode": _docs(lambda c: lexicon.decode(_with_ids(c).tokens, c.lexicon).groupBy("word").agg(F.count("*").alias("n"))),
+    "frequent_words": _docs(lambda c: lexicon.frequent_words(c.lexicon)),
+    "case_variants": _docs(lambda c: lexicon.case_variants(c.lexicon)),
+    "similar_words": _docs(lambda c: lexicon.similar(c.lexicon, c.lexicon.sparkSession.createDataFrame([("er",), ("ers",)], "key string")).select("token").distinct()),
+    "doc_stats": _docs(lambda c: c.documents),
+    "doc_lines": _docs(lambda c: c.lines),
+    "doc_tokens_range": _docs(lambda c: documents.token_range(_with_ids(c), 10, 20)),
+    "lines_overlap": _docs(lambda c: documents.lines_between(c, 20.0, 60.0)),
+    "position_at": _docs(lambda c: documents.position_at(c, c.documents.select("doc_id", F.explode(F.array(*[F.lit(t).cast("long") for t in (0, 12_345, 40_000, 100_000, 10_000_000)])).alias("ms")))),
+    "prefix_docs": _docs(lambda c: documents.with_prefix(c.documents, "doc00001").select("doc_id", "name")),
+    "unigram_search": _docs(lambda c: _shown(search.search(c, "the"))),
+    "unigram_contains": _docs(lambda c: search.contains(c, "the")),
+    "bigram_search": _docs(lambda c: _shown(search.search(c, "of the"))),
+    "trigram_search": _docs(lambda c: _shown(search.search(c, "in the of"))),
+    "alternatives_search": _docs(lambda c: _shown(search.search(c, [["of", "in", "to"], ["the", "a"]]))),
+    "ngram_contains": _docs(lambda c: search.contains(c, "of the")),
+    "doc_filtered_search": _docs(lambda c: _shown(search.search(c, "of the", c.documents.where("n_tokens > 300")))),
+    "query_or": _query("of the | with the | of"),
+    "query_and_tokens": _query("of & with & was // 5"),
+    "query_and_time": _query("of & with & was :: 15"),
+    "query_not_tokens": _query("of \\ with \\ was // 5"),
+    "query_not_time": _query("of \\ with \\ was :: 15"),
+    "query_events_and_time": _query("click & error & purchase :: 7200", events_corpus),
+    "query_events_not_time": _query("click \\ error :: 3600", events_corpus),
+    "query_events_and_tokens": _query("click & error // 2", events_corpus),
+    "query_nested": _query("(of | with) \\ was // 5"),
+    "query_case_insensitive": _query("of the", case_insensitive=True),
+    "query_expand": _query("[er]"),
+    "query_cost": _cost,
+    "deoverlap_time": _events(lambda c: _shown(postings.deoverlap(search.search(c, "click"), 3600.0))),
+    "deoverlap_idx": _docs(lambda c: _shown(postings.deoverlap(search.search(c, "the"), 1, use_time=False))),
+    "dilate": _docs(lambda c: postings.dilate(search.search(c, "of the"), 1.5, c.documents).select("doc_id", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "idx", "len")),
+    "to_fixed_length": _docs(lambda c: postings.to_fixed_length(search.search(c, "of the"), 2.0, c.documents).select("doc_id", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "idx", "len")),
+    "posting_union": _docs(lambda c: _shown(postings.union([search.search(c, "of"), search.search(c, "of the")]))),
+    "group_by_document": _docs(lambda c: postings.by_document([search.search(c, "of"), search.search(c, "with")]).select("doc_id", F.size("p0").alias("n_of"), F.size("p1").alias("n_with"))),
+    "sliding_ngrams": _docs(lambda c: windows.ngrams(c.tokens, 3).groupBy(F.array_join("gram", " ").alias("gram")).agg(F.count("*").alias("n"))),
+    "subwindows": _docs(lambda c: windows.subwindows(c.tokens, 2).groupBy(F.array_join("gram", " ").alias("gram"), "len").agg(F.count("*").alias("n"))),
+    "kwic": _docs(lambda c: report.in_context(c, search.search(c, "of the"))),
+    "search_summary": _docs(lambda c: report.summary(search.search(c, "the"))),
+    "decode_srt": _docs(lambda c: decode.subtitles(c)),
+    "decode_vtt": _docs(lambda c: decode.subtitles(c, vtt=True)),
+    "lexicon_update": lambda spark, sf_dir: _update(_once(documents_corpus, spark, sf_dir), spark, sf_dir).lexicon,
+    "update_search": lambda spark, sf_dir: search.search(_update(_once(documents_corpus, spark, sf_dir), spark, sf_dir), "of the").groupBy("doc_id").agg(F.count("*").alias("n")),
+}
+
+_BI = _gram(("of",), ("the",))
+_NEWLEX = """, old AS (SELECT token, count(*) AS n FROM tok WHERE known AND doc_id % 2 = 0 GROUP BY token), odd AS (SELECT token, count(*) AS n FROM tok WHERE known AND doc_id % 2 = 1 GROUP BY token),
+base AS (SELECT row_number() OVER (ORDER BY token) - 1 AS word_id, token, n FROM old), fresh AS (SELECT row_number() OVER (ORDER BY token) - 1 + (SELECT count(*) FROM old) AS word_id, token, n FROM odd WHERE token NOT IN (SELECT token FROM old))"""
+_WIDE = "SELECT doc_id::INT AS doc_id, greatest({0}, 0.0)::DOUBLE AS start_s, least({1}, d)::DOUBLE AS end_s, idx::INT AS idx, len::INT AS len FROM hit JOIN (SELECT doc_id, " + _sec("max(end_ms)") + "::DOUBLE AS d FROM line GROUP BY doc_id) USING (doc_id)"
+_SQL = {
+    "token_scan": _D + " SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_tokens FROM tok",
+    "token_scan_limit": _D + " SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_tokens FROM tok WHERE doc_id < 100",
+    "lexicon_counts": _D + " SELECT word_id::INT AS word_id, token, count FROM lex",
+    "lexicon_word_count": _D + " SELECT sum(count)::BIGINT AS word_count FROM lex",
+    "lexicon_decode": _D + " SELECT CASE WHEN known THEN token ELSE '<UNKNOWN>' END AS word, count(*) AS n FROM tok GROUP BY 1",
+    "frequent_words": _D + " SELECT word_id::INT AS word_id, token, count FROM lex WHERE count >= (SELECT quantile_cont(count, 0.997) FROM lex)",
+    "case_variants": _D + " SELECT * FROM (SELECT word_id::INT AS word_id, token, count, lower(token) AS folded, count(*) OVER (PARTITION BY lower(token)) AS variants FROM lex) WHERE variants > 1",
+    "similar_words": _D + _LEMMA + " SELECT token FROM same",
+    "doc_stats": _D + " SELECT doc_id::INT AS doc_id, name, sum(n)::INT AS n_tokens, max(end_ms)::BIGINT AS duration_ms FROM names JOIN line USING (doc_id) GROUP BY ALL",
+    "doc_lines": _D + " SELECT doc_id::INT AS doc_id, line_no, start_ms::BIGINT AS start_ms, end_ms::BIGINT AS end_ms, pos::INT AS pos, n::INT AS len FROM line",
+    "doc_tokens_range": _D + " SELECT doc_id::INT AS doc_id, pos::INT AS pos, coalesce(word_id, 16777215)::INT AS word_id FROM tok LEFT JOIN lex USING (token) WHERE pos >= 10 AND pos < 30",
+    "lines_overlap": _D + " SELECT doc_id::INT AS doc_id, line_no, start_ms::BIGINT AS start_ms, end_ms::BIGINT AS end_ms, pos::INT AS pos, n::INT AS len FROM line WHERE end_ms >= 20000 AND start_ms <= 60000",
+    "prefix_docs": _D + " SELECT doc_id::INT AS doc_id, name FROM names WHERE name LIKE 'doc00001%'",
+    "unigram_search": _D + _gram(("the",)) + _SHOW.replace("SELECT", " SELECT", 1) + "hit",
+    "unigram_contains": _D + _gram(("the",)) + " SELECT DISTINCT doc_id::INT AS doc_id FROM hit",
+    "bigram_search": _D + _BI + " " + _SHOW + "hit",
+    "trigram_search": _D + _gram(("in",), ("the",), ("of",)) + " " + _SHOW + "hit",
+    "alternatives_search": _D + _gram(("of", "in", "to"), ("the", "a")) + " " + _SHOW + "hit",
+    "ngram_contains": _D + _BI + " SELECT DISTINCT doc_id::INT AS doc_id FROM hit",
+    "doc_filtered_search": _D + _BI + " " + _SHOW + "hit WHERE doc_id IN (SELECT doc_id FROM line GROUP BY doc_id HAVING sum(n) > 300)",
+    "query_or": _D + _gram(("of",), ("the",), name="a") + _gram(("with",), ("the",), name="b") + _gram(("of",), name="c") + " " + _SHOW + "(SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)",
+    "query_and_tokens": _D + _OF + _WITH + _WAS + _and(["a", "b", "c"], 5, False, "r") + " " + _SHOW + "r",
+    "query_and_time": _D + _OF + _WITH + _WAS + _and(["a", "b", "c"], 15, True, "r") + " " + _SHOW + "r",
+    "query_not_tokens": _D + _OF + _WITH + _WAS + _not("a", ["b", "c"], 5, False, "r") + " " + _SHOW + "r",
+    "query_not_time": _D + _OF + _WITH + _WAS + _not("a", ["b", "c"], 15, True, "r") + " " + _SHOW + "r",
+    "query_events_and_time": _E + _CLICK + _ERROR + _BUY + _and(["a", "b", "c"], 7200, True, "r") + " " + _SHOW + "r",
+    "query_events_not_time": _E + _CLICK + _ERROR + _not("a", ["b"], 3600, True, "r") + " " + _SHOW + "r",
+    "query_events_and_tokens": _E + _CLICK + _ERROR + _and(["a", "b"], 2, False, "r") + " " + _SHOW + "r",
+    "query_nested": _D + _gram(("of", "with"), name="a") + _WAS + _not("a", ["c"], 5, False, "r") + " " + _SHOW + "r",
+    "query_case_insensitive": _D + _gram(("of", "Of", "OF", "oF"), ("the", "The", "THE", "tHe", "THe")) + " " + _SHOW + "hit",
+    "query_expand": _D + _LEMMA.replace("IN ('er', 'ers')", "IN ('er')") + f", hit AS (SELECT doc_id, {_sec('start_ms')} AS \"start\", {_sec('end_ms')} AS \"end\", pos AS idx, 1 AS len FROM tok WHERE known AND token IN (SELECT token FROM same)) " + _SHOW + "hit",
+    "query_cost": _D + ", n AS (SELECT sum(count)::DOUBLE AS n, max(CASE WHEN token = 'of' THEN count ELSE 0 END) AS o, max(CASE WHEN token = 'the' THEN count ELSE 0 END) AS t, max(CASE WHEN token = 'with' THEN count ELSE 0 END) AS w, max(CASE WHEN token = 'was' THEN count ELSE 0 END) AS s FROM lex) SELECT 'of the' AS query, round(least(o, t) / n, 12) AS cost FROM n UNION ALL SELECT 'with | was', round(w / n + s / n, 12) FROM n UNION ALL SELECT 'the & nosuchword :: 5', round(t / n, 12) FROM n",
+    "deoverlap_time": _E + _CLICK + _island("a", 3600, True, "r") + " " + _SHOW + "r",
+    "deoverlap_idx": _D + _gram(("the",), name="a") + _island("a", 1, False, "r") + " " + _SHOW + "r",
+    "dilate": _D + _BI + " " + _WIDE.format('"start"::DOUBLE - 1.5', '"end"::DOUBLE + 1.5'),
+    "to_fixed_length": _D + _BI + " " + _WIDE.format('("start"::DOUBLE + "end"::DOUBLE) / 2 - 1', '("start"::DOUBLE + "end"::DOUBLE) / 2 + 1'),
+    "posting_union": _D + _gram(("of",), name="a") + _BI + " " + _SHOW + "(SELECT * FROM a UNION ALL SELECT * FROM hit)",
+    "group_by_document": _D + " SELECT doc_id::INT AS doc_id, count(*) FILTER (token = 'of')::INT AS n_of, count(*) FILTER (token = 'with')::INT AS n_with FROM tok WHERE token IN ('of', 'with') GROUP BY doc_id",
+    "sliding_ngrams": _D + " SELECT a.token || ' ' || b.token || ' ' || c.token AS gram, count(*) AS n FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN tok c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2 GROUP BY 1",
+    "subwindows": _D + " SELECT token AS gram, 1 AS len, count(*) AS n FROM tok GROUP BY 1 UNION ALL SELECT a.token || ' ' || b.token, 2, count(*) FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 GROUP BY 1",
+    "kwic": _D + _BI + _island("hit", 0, False, "r") + f""" SELECT r.doc_id::INT AS doc_id, r.idx::INT AS idx, r.len::INT AS len, {_span('r."start"')} || ' - ' || {_span('r."end"')} AS interval,
+ string_agg(CASE WHEN pos >= r.idx AND pos < r.idx + r.len THEN '[' || token || ']' WHEN known THEN token ELSE '<UNKNOWN>' END, ' ' ORDER BY pos) AS context FROM r JOIN tok ON tok.doc_id = r.doc_id AND pos >= r.idx - 3 AND pos < r.idx + r.len + 3 GROUP BY r.doc_id, r.idx, r.len, r."start", r."end" """,
+    "search_summary": _D + _gram(("the",), name="a") + _island("a", 0, False, "r") + ' SELECT (SELECT count(DISTINCT doc_id) FROM a) AS documents, (SELECT count(*) FROM a) AS occurrences, floor((SELECT sum(round(("end"::DOUBLE - "start"::DOUBLE) * 1000)) FROM r) / 1000)::BIGINT AS seconds',
+    "decode_srt": _subtitles(",", "''", True),
+    "decode_vtt": _subtitles(".", "'WEBVTT' || chr(13) || chr(10) || chr(13) || chr(10)", False),
+    "lexicon_update": _D + _NEWLEX + " SELECT word_id::INT AS word_id, token, (base.n + coalesce(odd.n, 0))::BIGINT AS count FROM base LEFT JOIN odd USING (token) UNION ALL SELECT word_id::INT, token, n::BIGINT FROM fresh",
+    "update_search": _D + _BI + ", nid AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE (SELECT max(doc_id) + 1 FROM names WHERE doc_id % 2 = 0) + row_number() OVER (PARTITION BY doc_id % 2 ORDER BY name) - 1 END AS new_id FROM names) SELECT new_id::INT AS doc_id, count(*) AS n FROM hit JOIN nid USING (doc_id) GROUP BY 1",
+}
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
