@@ -143,7 +143,7 @@ class WordCodec:
         key = left << 20 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 150_000:
                 self.pairs.clear()
             known = self.pairs[key] = self._apart(left, right, 1 << 62)
         return known
@@ -196,7 +196,7 @@ class _Words(dict):
 class Encoder:
     """Whole texts to ids and back."""
 
-    def __init__(self, vocabulary_file: str, memo: int = 400_000):
+    def __init__(self, vocabulary_file: str, memo: int = 120_000):
         self.codec, self.memo = WordCodec(vocabulary_file), memo
         self.words = _Words(self.codec)
         self.library, self.file = None, vocabulary_file
@@ -243,13 +243,13 @@ class Encoder:
 _kept: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(vocabulary_file: str, memo: int = 400_000) -> Encoder:
+def encoder(vocabulary_file: str, memo: int = 120_000) -> Encoder:
     """This process's encoder of a vocabulary."""
     key = (vocabulary_file, memo)
     return _kept.get(key) or _kept.setdefault(key, Encoder(*key))
 
 
-def encode_and_decode(docs: DataFrame, vocabulary_file: str, memo: int = 400_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_and_decode(docs: DataFrame, vocabulary_file: str, memo: int = 120_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (decimal, joined by one space), decoded (the ids' text).
 
     Ids are those of the library's encode without added special tokens, truncation or padding; the strings of special tokens
@@ -260,12 +260,12 @@ def encode_and_decode(docs: DataFrame, vocabulary_file: str, memo: int = 400_000
     return _encoded(docs, vocabulary_file, memo, doc_id, text, digest=False)
 
 
-def encoding_digests(docs: DataFrame, vocabulary_file: str, memo: int = 400_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encoding_digests(docs: DataFrame, vocabulary_file: str, memo: int = 120_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """As encode_and_decode, with the SHA-256 of both texts in place of them: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return _encoded(docs, vocabulary_file, memo, doc_id, text, digest=True)
 
 
-def encoded_rows(docs: DataFrame, vocabulary_file: str, keep: list[str], memo: int = 400_000, text: str = "text") -> DataFrame:
+def encoded_rows(docs: DataFrame, vocabulary_file: str, keep: list[str], memo: int = 120_000, text: str = "text") -> DataFrame:
     """The named columns of `docs`, and n_tokens, ids (array), ids_sha256 and decoded_sha256 after them."""
     ship(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))

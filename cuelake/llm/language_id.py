@@ -135,8 +135,8 @@ def fit_languages(docs: DataFrame, usable: Column | None = None, doc_id: str = "
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                for at in range(0, part.num_rows, 512):
-                    own = part.slice(at, 512)
+                for at in range(0, part.num_rows, 256):
+                    own = part.slice(at, 256)
                     counts, grams = gram_counts(own.column(2), dims)
                     small = np.minimum(counts, 65535).astype(np.uint16)
                     yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([x.tobytes() for x in small], pa.binary()), pa.array(grams, pa.int64())], ["place", "lang", "counts", "grams"])
@@ -174,8 +174,8 @@ def identify_languages(docs: DataFrame, model: Centroids, doc_id: str = "doc_id"
         model = shared.value
         for batch in batches:
             for part in chunks(batch, "__2"):
-                for at in range(0, part.num_rows, 512):
-                    own = part.slice(at, 512)
+                for at in range(0, part.num_rows, 256):
+                    own = part.slice(at, 256)
                     langs, score, rejected = model.predict(*gram_counts(own.column(first + 2), model.dims))
                     letters = own.column(first + 1).to_numpy(zero_copy_only=False)
                     langs = [x if some else UNDETERMINED for x, some in zip(langs, letters, strict=True)]
