@@ -2,8 +2,9 @@
 
 A text is a vector of hashed letter n-grams (of two and three bytes, within and at the edges of words), weighted by
 1 + log(count) and inverse document frequency and scaled to length 1. Every language has several centroids, from spherical
-k-means of its training rows. The nearest centroid by cosine gives the language; a text whose distance from it is larger
-than that of training rows of like length is rejected.
+k-means of its training rows. The nearest centroid by cosine gives the language; a text with less than half (`slack`) the
+least cosine of training rows of like length is rejected, and one of score 0 always. Like length is within a doubling, and
+needs `support` rows; texts shorter than any such length are rejected at score 0 only.
 
 Training reads a bounded sample: at most `per_language` rows of each language, those with the least hashes. Their vectors
 (`dims` counts of two bytes each) and nothing else come to the driver. Prediction is one pass without a shuffle.
@@ -69,7 +70,7 @@ def _clusters(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 class Centroids:
     """Fitted model: languages, centroids, weights and the least cosine that is accepted for each length."""
 
-    def __init__(self, counts: np.ndarray, grams: np.ndarray, langs: list[str], per_class: int = 3, slack: float = 0.5, seed: int = 11):
+    def __init__(self, counts: np.ndarray, grams: np.ndarray, langs: list[str], per_class: int = 3, slack: float = 0.5, seed: int = 11, support: int = 5):
         self.dims = counts.shape[1] if counts.ndim == 2 else 0
         useful = grams > 0
         counts, grams, langs = counts[useful], grams[useful], np.array(langs, object)[useful]
@@ -91,12 +92,16 @@ class Centroids:
         right = np.array(self.langs, object)[near.argmax(axis=1)] == langs
         # least cosine of rightly placed training rows at each doubling of length, never rising with less text
         size = np.log2(grams).astype(int)
-        self.floor = np.zeros(33, np.float32)
+        floor = np.full(33, np.inf)
         for s in range(33):
             some = best[right & (size >= s - 1) & (size <= s + 1)]
-            self.floor[s] = slack * some.min() if len(some) else np.inf
-        self.floor = np.where(np.isinf(self.floor), 0, self.floor)
-        self.floor = np.minimum.accumulate(self.floor[::-1])[::-1].astype(np.float32)
+            if len(some) >= support:
+                floor[s] = slack * some.min()
+        trained = np.isfinite(floor)
+        floor = np.minimum.accumulate(floor[::-1])[::-1]
+        # a length with fewer rows takes the floor of the next shorter that has enough; below all of them only score 0 is rejected
+        last = np.maximum.accumulate(np.where(trained, np.arange(33), -1))
+        self.floor = np.where(last >= 0, floor[last], 0).astype(np.float32)
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return _unit(np.log1p(counts) * self.idf)
@@ -109,7 +114,7 @@ class Centroids:
         best = near.argmax(axis=1)
         score = np.clip(near[np.arange(len(near)), best], 0, 1)
         size = np.log2(np.maximum(grams, 1)).astype(int)
-        return [self.langs[i] for i in best], score.astype(float), (score < self.floor[np.minimum(size, 32)]) | (grams == 0)
+        return [self.langs[i] for i in best], score.astype(float), (score < self.floor[np.minimum(size, 32)]) | (score <= 0)
 
 
 def _hash(doc_id: str) -> Column:

@@ -257,6 +257,22 @@ def test_language_id(labelled, docs, empty):
     assert {r["lang_pred"] for r in language_id.identify_languages(docs, nothing).collect()} == {"und"}
 
 
+def test_language_id_rejects_unlearned_scripts(spark, labelled, tmp_path):
+    foreign = ["Язык есть система знаков для общения людей и мышления", "Η γλώσσα είναι ένα σύστημα επικοινωνίας των ανθρώπων", "语言是人类最重要的交际工具", "qXbv9ZpJwKqRfGzYmVxHcBnWdQkPjLsTfGhJkZxCvB " * 400]
+    model = language_id.fit_languages(labelled)
+    assert (model.floor[5:] > 0).all() and (np.diff(model.floor) >= 0).all()
+    strange = [(1000 + i, t, None, None) for i, t in enumerate(foreign)]
+    both = labelled.unionByName(spark.createDataFrame(strange, labelled.schema))
+    assert {r["doc_id"] for r in language_id.identify_languages(both, model).collect() if r["rejected"]} == {d for d, *_ in strange}
+    pipeline = pytest.importorskip("corpus_pipeline")
+    assert {r["doc_id"] for r in pipeline.identify_language(spark, both, str(tmp_path)).collect()} == {r["doc_id"] for r in labelled.collect()}
+    # a length that too few rows have takes the next shorter floor; texts shorter than all, and of no known n-gram, have score 0
+    counts, grams = language_id.gram_counts(pa.array(["abcdefg"] * 5 + ["cd " * 40_000] * 5), 4096)
+    gap = language_id.Centroids(counts, grams, ["x"] * 5 + ["y"] * 5)
+    assert gap.floor[1] == 0 < gap.floor[3] == gap.floor[8] and gap.floor[32] == gap.floor[17]
+    assert gap.predict(*language_id.gram_counts(pa.array(["zz"]), 4096))[2].all()
+
+
 def test_quality(labelled, docs, empty):
     held_out = quality._remainder("doc_id") == 0
     model = quality.fit_quality(labelled.drop("quality"), labelled.select("doc_id", "quality"), ~held_out, passage_bytes=64)
