@@ -6,8 +6,8 @@ only one of each class is searched.
 
 The forest has several tries over randomly permuted bits. A pair that shares a prefix in any trie is a candidate. Prefix
 depth adapts to density: from the depth at which a leaf would hold one class it climbs to shorter prefixes, until leaves
-hold about `leaf_classes`; then as many tries are grown as the target recall needs for pairs `design` bits apart. Leaves
-that are still dense are compared block by block, in separate tasks. All candidates are verified on the whole
+hold about `leaf_classes`; then as many tries are grown as the target recall needs for pairs `design` bits apart, by default
+the whole `distance`: so the target is the least recall, that of the farthest links, at any number of classes. Leaves that are still dense are compared block by block, in separate tasks. All candidates are verified on the whole
 fingerprints. A pair counts in the first trie that finds it, so that links are counted once without listing them; of each
 leaf only a row per class leaves the task, with its number of new links and the least class it is linked to.
 """
@@ -55,7 +55,7 @@ def fingerprints(column: pa.Array) -> np.ndarray:
 class Forest:
     """The tries: their number, prefix depth and permutations."""
 
-    def __init__(self, classes: int, leaf_classes: int = 16, design: int = 36, target: float = 0.95, seed: int = 3):
+    def __init__(self, classes: int, leaf_classes: int = 128, design: int = 48, target: float = 0.99, seed: int = 3):
         self.depth = min(40, max(8, math.ceil(math.log2(max(2, classes)))))
         while self.depth > 8 and classes / 2**self.depth < leaf_classes / 2:
             self.depth -= 1  # climb
@@ -174,7 +174,7 @@ def _search(classes: DataFrame, forest: Forest, total: int, distance: int, leaf:
     return rows.mapInArrow(compare, "rep long, links long, label long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 48, leaf_classes: int = 16, design: int = 36, target: float = 0.95, leaf: int = 1024, hot: int = 20_000, seed: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 48, leaf_classes: int = 128, design: int | None = None, target: float = 0.99, leaf: int = 1024, hot: int = 20_000, seed: int = 3) -> DataFrame:
     """One row per document: ROW, doc_id, class_id (doc_id of the first row with its fingerprint), class_size, n_links (other
     classes within `distance` bits that the forest finds), group_id (doc_id of the first row of all that links connect),
     group_size (documents), kept (it is that row).
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = prints.groupBy(*PRINT).agg(F.count("*").alias("class_size"), F.min(F.struct(ROW, "doc_id")).alias("one"))
     classes = shared_table(classes.select(*PRINT, "class_size", F.col(f"one.{ROW}").alias("rep"), F.col("one.doc_id").alias("class_id")), "classes")
     total, documents = classes.agg(F.count("*"), F.coalesce(F.sum("class_size"), F.lit(0))).first()
-    forest = Forest(total, leaf_classes, design, target, seed)
+    forest = Forest(total, leaf_classes, distance if design is None else design, target, seed)
     found = shared_table(_search(classes, forest, total, distance, leaf), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("label").alias("b")))

@@ -99,6 +99,24 @@ def test_dense_leaves_lose_no_link(spark):
     assert {x["doc_id"]: x["n_links"] for x in blocks} == dict(enumerate(((apart <= 48).sum(axis=1) - 1).tolist())) and {x["group_id"] for x in blocks} == {0}
 
 
+def test_forest_is_sized_for_the_threshold(docs, monkeypatch):
+    r = np.random.default_rng(5)
+    for classes in (10_000, 1_500_000):
+        forest = near_dedup.Forest(classes)
+        a = r.integers(0, 2, (3000, 256), dtype=np.uint8)
+        b = a.copy()
+        for row in b:
+            row[r.choice(256, 48, replace=False)] ^= 1
+        keys = [forest.keys(np.packbits(x, axis=1, bitorder="little").view(np.uint64)) for x in (a, b)]
+        assert (keys[0] == keys[1]).any(axis=1).mean() > 0.98
+    made = []
+    plain = near_dedup.Forest
+    monkeypatch.setattr(near_dedup, "Forest", lambda *x: made.append(x) or plain(*x))
+    near_dedup.near_duplicates(docs.limit(20), distance=40)
+    near_dedup.near_duplicates(docs.limit(20))
+    assert [x[2] for x in made] == [40, 48] and all(x[3] >= 0.99 for x in made)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 105), (105, 103), (7, 7)]
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
