@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ._common import ROW, Words, chunks, numbered, read_table, shared_table, ship, text_or_empty
 
 _FILTER_BITS = 20
+#: Words that a proximity match of op6_near_matches may have beyond those of the window.
+NEAR_SLOP = 5
 
 
 class Phrases:
@@ -224,6 +226,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text")).drop(ROW)
 
 
+def op6_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches of all documents, beside the exact ones of op6_decontamination: doc_id, n_words, n_near (words
+    inside any match), n_near_items, near_items_sha256, near. Every exact match is a proximity match too."""
+    docs, benchmark = read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    found = decontaminate(docs, benchmark, slop=NEAR_SLOP).drop(ROW)
+    return found.withColumnsRenamed({"n_hit": "n_near", "n_items": "n_near_items", "items_sha256": "near_items_sha256", "contaminated": "near"})
+
+
 SQL = {
     "op6_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -218,6 +218,26 @@ def test_decontamination(spark, docs, empty, texts):
     assert near.first()["items"] == ["1"]
 
 
+def test_near_matches_query(spark, tmp_path):
+    import __spark_entry__
+
+    r = random.Random(4)
+    item = [f"w{i}" for i in range(12)]
+    swapped = ["z"] + [item[i ^ 1] for i in range(12)] + ["z"]
+    mixed = [[r.choice([*item, "q"]) for _ in range(r.randint(0, 60))] for _ in range(40)]
+    texts = [swapped, item[:5] + ["q", "r"] + item[5:], item, item[:9], *mixed, []]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, " ".join(item))], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = table(__spark_entry__.queries()["op6_near_matches"](spark, str(tmp_path)))
+    exact = table(__spark_entry__.queries()["op6_decontamination"](spark, str(tmp_path)))
+    wins = [set(item[k : k + 10]) for k in range(3)]
+    for i, t in enumerate(texts):
+        near = any(w <= set(t[a : a + 15]) for w in wins for a in range(len(t)))
+        assert (found[i]["near"], found[i]["n_near_items"], found[i]["n_near"] > 0) == (near, int(near), near)
+        assert found[i]["n_near"] >= exact[i]["n_hit"] and found[i]["n_words"] == len(t)
+    assert [found[i]["near"] for i in range(4)] == [True, True, True, False] and [exact[i]["contaminated"] for i in range(4)] == [False, False, True, False]
+
+
 def test_sharding(docs, empty):
     rows = sharding.stratified_shards(docs, 4, bucket_rows=5).collect()
     assert sharding.stratified_shards(empty, 4).count() == 0
