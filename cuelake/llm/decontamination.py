@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import ROW, Words, chunks, numbered, read_table, shared_table, ship, text_or_empty
+from ._common import ROW, Words, chunks, lower_ascii, numbered, read_table, shared_table, ship, text_or_empty
 
 _FILTER_BITS = 20
 #: Words that a proximity match of op6_near_matches may have beyond those of the window.
@@ -141,7 +141,7 @@ class ShardIndex:
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[object, str]]]:
     """Items in blocks of at most block_words words (an item that has more is a block of its own)."""
-    words = F.size(F.expr(r"regexp_extract_all(__t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', 0)"))
+    words = F.size(F.regexp_extract_all(lower_ascii("__t"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
     items = benchmark.select(F.col(item_id).alias("__i"), text_or_empty(text).alias("__t")).withColumn("__n", words)
     before = F.sum("__n").over(Window.partitionBy("__part").orderBy("__i", "__t").rowsBetween(Window.unboundedPreceding, 0))
     total = items.agg(F.sum("__n")).first()[0] or 0

@@ -238,6 +238,12 @@ def test_near_matches_query(spark, tmp_path):
     assert [found[i]["near"] for i in range(4)] == [True, True, True, False] and [exact[i]["contaminated"] for i in range(4)] == [False, False, True, False]
 
 
+def test_blocks_count_capitals(spark):
+    capitals = spark.createDataFrame([(i, "ONE TWO THREE FOUR FIVE") for i in range(20)], "item_id int, text string")
+    blocks = list(decontamination._blocks(capitals, "item_id", "text", 20))
+    assert sum(map(len, blocks)) == 20 and len(blocks) > 1 and all(len(b) <= 4 for b in blocks)
+
+
 def test_sharding(docs, empty):
     rows = sharding.stratified_shards(docs, 4, bucket_rows=5).collect()
     assert sharding.stratified_shards(empty, 4).count() == 0
