@@ -1,7 +1,7 @@
 """Exact byte-pair encoding by dynamic programming over prefixes, and decoding.
 
-Of each prefix of a word the encoding is unique, so it is enough to keep the prefix's last token. A suffix automaton over
-the vocabulary gives, at each place, the tokens that end there, longest first. A token is the last of a prefix exactly when
+Of each prefix of a word the encoding is unique, so it is enough to keep the prefix's last token. An Aho-Corasick automaton
+of the vocabulary gives, at each place, the tokens that end there, longest first. A token is the last of a prefix exactly when
 it is compatible with the last token of the prefix before it, that is when byte-pair merging would keep the two apart;
 this is told by undoing their merges step by step. Back-pointers from the whole word then give the ids.
 
@@ -37,7 +37,7 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-class SuffixAutomaton:
+class AhoCorasick:
     """The tokens that end at each place of a string of symbols: goto and failure links over the vocabulary's trie."""
 
     def __init__(self, tokens: list[tuple[int, ...]]):
@@ -106,7 +106,7 @@ class WordCodec:
             self.halves[made] = (left, right)
             symbols[made] = symbols[left] + symbols[right]
         ids = sorted(symbols)
-        automaton = SuffixAutomaton([symbols[i] for i in ids])
+        automaton = AhoCorasick([symbols[i] for i in ids])
         # a token that merging its own symbols wouldn't give can't be in any encoding
         self.pairs: dict[int, bool] = {}
         sound = [self.halves[i][0] == i or self.compatible_halves(i) for i in ids]

@@ -171,6 +171,18 @@ def test_token_counts(docs, empty, texts):
     assert token_counts.token_counts(empty, file).count() == 0
 
 
+def test_aho_corasick_against_brute_force():
+    r = random.Random(6)
+    tokens = sorted({tuple(r.choice([0, 1, 2]) for _ in range(r.randint(1, 5))) for _ in range(30)})
+    automaton = bpe_codec.AhoCorasick(tokens)
+    for _ in range(50):
+        symbols, at = [r.choice([0, 1, 2, 3]) for _ in range(30)], 0
+        for k, s in enumerate(symbols):
+            at = automaton.step(at, s)
+            ends = [(i, len(t)) for i, t in enumerate(tokens) if tuple(symbols[: k + 1][-len(t) :]) == t]
+            assert list(automaton.ending[at]) == sorted(ends, key=lambda x: -x[1])
+
+
 def test_bpe(docs, empty, texts):
     import tokenizers
 
