@@ -63,6 +63,14 @@ def shared_table(frame: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def free_name(name: str, taken) -> str:
+    """The name, with "_" after it as often as it takes to be none of those taken (case aside, as Spark compares)."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(frame: DataFrame) -> DataFrame:
     """Add ROW, an id for each row that follows from its place in the scan (partition, then order in it)."""
     return frame.withColumn(ROW, F.monotonically_increasing_id())

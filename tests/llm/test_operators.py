@@ -171,16 +171,51 @@ def test_token_counts(docs, empty, texts):
     assert token_counts.token_counts(empty, file).count() == 0
 
 
-def test_aho_corasick_against_brute_force():
+def test_suffix_automaton_against_brute_force():
     r = random.Random(6)
-    tokens = sorted({tuple(r.choice([0, 1, 2]) for _ in range(r.randint(1, 5))) for _ in range(30)})
-    automaton = bpe_codec.AhoCorasick(tokens)
-    for _ in range(50):
-        symbols, at = [r.choice([0, 1, 2, 3]) for _ in range(30)], 0
-        for k, s in enumerate(symbols):
-            at = automaton.step(at, s)
-            ends = [(i, len(t)) for i, t in enumerate(tokens) if tuple(symbols[: k + 1][-len(t) :]) == t]
-            assert list(automaton.ending[at]) == sorted(ends, key=lambda x: -x[1])
+    for tokens in (sorted({tuple(r.choice([0, 1, 2]) for _ in range(r.randint(1, 5))) for _ in range(n)}) for n in (1, 5, 30)):
+        automaton = bpe_codec.SuffixAutomaton(tokens)
+        runs = {t[a:b] for t in tokens for a in range(len(t)) for b in range(a + 1, len(t) + 1)}
+        streams = np.array([[r.choice([0, 1, 2, 3]) for _ in range(30)] for _ in range(50)])
+        state, run = np.zeros(50, np.int64), np.zeros(50, np.int32)
+        for k in range(30):
+            state, run = automaton.step(state, run, streams[:, k])
+            token = automaton.longest(state, run)
+            for i, symbols in enumerate(streams[:, : k + 1].tolist()):
+                symbols = tuple(symbols)
+                assert run[i] == max([n for n in range(1, k + 2) if symbols[-n:] in runs], default=0)
+                ends, at = [], int(token[i])
+                while at >= 0:
+                    ends.append(tokens[at])
+                    at = int(automaton.shorter[at])
+                assert ends == sorted([t for t in tokens if symbols[-len(t) :] == t], key=len, reverse=True)
+
+
+def test_table():
+    r = np.random.default_rng(1)
+    keys = np.unique(r.integers(0, 1 << 40, 5000))
+    table = bpe_codec.Table(keys, np.arange(len(keys)))
+    assert (table.get(keys) == np.arange(len(keys))).all()
+    other = np.setdiff1d(r.integers(0, 1 << 40, 5000), keys)
+    assert (table.get(other) == -1).all() and (bpe_codec.Table(keys[:0], keys[:0]).get(other) == -1).all()
+
+
+def test_bpe_long_and_clashing(spark, monkeypatch):
+    import tokenizers
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(file)
+    r = random.Random(8)
+    long = "".join(r.choice(["tion ", "the\n", "qz", "É", "<|endoftext|>", "  ", "\u4e2d"]) for _ in range(4000))
+    monkeypatch.setattr(bpe_codec, "PIECE", 100)
+    own = bpe_codec.Encoder(bpe_codec.codec(file), file, memo=50)
+    for t in (long, "x" * 5000, " " * 3000, "a " * 700, None, ""):
+        want = library.encode(t or "", add_special_tokens=False).ids
+        assert own.encode(t) == want and own.both(t)[1] == library.decode(want, skip_special_tokens=False)
+    rows = spark.createDataFrame([("own", 7, "the", "x"), ("own", 7, "the", "x")], "ids string, n_tokens int, text string, decoded_sha256 string")
+    found = bpe_codec.encoded_rows(rows, file, ["ids", "n_tokens", "text", "decoded_sha256"])
+    assert found.columns == ["ids", "n_tokens", "text", "decoded_sha256", "n_tokens_", "ids_", "ids_sha256", "decoded_sha256_"]
+    assert [tuple(x)[:6] for x in found.collect()] == [("own", 7, "the", "x", 1, library.encode("the").ids)] * 2
 
 
 def test_bpe(docs, empty, texts):
