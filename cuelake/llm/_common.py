@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Column names inside the operators; callers' columns never start like this.
+#: The column of row numbers in the operators' results.
 ROW = "__row"
 #: Bytes of text that the numpy kernels take at a time (a longer text makes a chunk of its own).
 CHUNK_BYTES = 1 << 20
@@ -47,9 +47,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a folder of its own only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where that is unset, as in tests, a session with a local
+    master gets a temporary folder of its own; on a cluster there is no folder to fall back on, so it is an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = getattr(spark.sparkContext, "_cuelake_folder", None) or tempfile.mkdtemp(prefix="cuelake-shared-")
         spark.sparkContext._cuelake_folder = folder
     return folder.rstrip("/")
@@ -76,6 +79,25 @@ def numbered(frame: DataFrame) -> DataFrame:
     return frame.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def row_number(row: str | None):
+    """The column that numbers the rows, or their place in the scan (partition, then order in it) where there is none. The latter
+    holds for one scan only: it must be written before it is used twice."""
+    return F.col(f"`{row}`") if row else F.monotonically_increasing_id()
+
+
+def stored_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number each, in a new column, and that column's name. They are written to the shared folder, so that every
+    later scan gives each row the same number, however the files are split and whatever order `docs` comes in."""
+    row = free_name(ROW, docs.columns)
+    return shared_table(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def without_rows(stored: DataFrame, row: str, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns of stored_rows but for the rows whose numbers are in `dropped` (column ROW)."""
+    gone = shared_table(dropped.select(F.col(ROW).alias(row)), "dropped")
+    return stored.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+
+
 def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, total: int, hot: int = 20_000) -> DataFrame:
     """Join each row with the one row of `facts` for its keys; `size` says how many rows each key has, `total` how many there are.
 
@@ -95,7 +117,7 @@ def lower_ascii(column):
 
 
 def text_or_empty(column="text"):
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
 # --- Arrow and numpy -------------------------------------------------------------------------------------------
@@ -116,6 +138,11 @@ _powers = {"n": 0, "up": None, "down": None}
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers["n"] < n:
         size = max(n, CHUNK_BYTES + 1)
+        if size > CHUNK_BYTES + 1:  # a word that is longer than a window: not kept
+            steps = [np.full(size, base, np.uint64) for base in (_R, _R_INVERSE)]
+            for own in steps:
+                own[0] = 1
+            return np.cumprod(steps[0], dtype=np.uint64), np.cumprod(steps[1], dtype=np.uint64)
         for key, base in (("up", _R), ("down", _R_INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -148,12 +175,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text", most: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `most` bytes of text each, without copying."""
+def chunks(batch: pa.RecordBatch, text: str | int = "text", most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most about `most` bytes of text (the named or numbered column) each, without copying; a longer
+    text is a slice of its own."""
     if batch.num_rows == 0:
         return
     most = most or CHUNK_BYTES
-    _, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
+    _, offsets = utf8(batch.column(batch.schema.get_field_index(text) if isinstance(text, str) else text))
     at = 0
     while at < batch.num_rows:
         to = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
@@ -162,35 +190,65 @@ def chunks(batch: pa.RecordBatch, text: str = "text", most: int | None = None) -
         at = to
 
 
+def windows(text: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
+    """Arrays of single strings that make up the one text, in order, of at most `most` bytes each. They end after a byte that
+    belongs to no word, and are longer only where there is none."""
+    most = most or CHUNK_BYTES
+    data, _ = utf8(text)
+    at = 0
+    while len(data) - at > most:
+        free = np.flatnonzero(~_WORD[_LOWER[data[at : at + most]]])
+        to, look = at + most, most
+        if len(free):
+            to = at + int(free[-1]) + 1
+        else:
+            while to < len(data) and not len(free := np.flatnonzero(~_WORD[_LOWER[data[to : to + look]]])):
+                to += look
+            to = to + int(free[0]) + 1 if to < len(data) else len(data)
+        yield pa.array([data[at:to].tobytes()], pa.binary()).cast(pa.large_string() if to - at > 1 << 30 else pa.string())
+        at = to
+    if at < len(data) or not len(data):
+        yield pa.array([data[at:].tobytes()], pa.binary()).cast(pa.string())
+
+
 class Words:
     """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of lower-cased (A-Z) texts: bytes `low`, `start`, `end`, `row`, and `first` (n + 1 numbers: each row's first word)."""
 
     def __init__(self, column: pa.Array):
         data, offsets = utf8(column)
         self.low, self.offsets, self.rows = _LOWER[data], offsets, len(offsets) - 1
+        kind = np.int32 if len(data) < 1 << 31 else np.int64
         word = _WORD[self.low]
-        begins, ends = word.copy(), word.copy()
-        begins[1:] &= ~word[:-1]
-        ends[:-1] &= ~word[1:]
         edges = offsets[1:-1]
         edges = edges[(edges > 0) & (edges < len(data))]
-        begins[edges] = word[edges]
-        ends[edges - 1] = word[edges - 1]
-        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        marks = word.copy()
+        marks[1:] &= ~word[:-1]
+        marks[edges] = word[edges]
+        self.start = np.flatnonzero(marks).astype(kind)
+        marks = word.copy()
+        marks[:-1] &= ~word[1:]
+        marks[edges - 1] = word[edges - 1]
+        self.end = np.flatnonzero(marks).astype(kind) + kind(1)
         self.first = np.searchsorted(self.start, offsets)
-        self.row = np.repeat(np.arange(self.rows), np.diff(self.first))
+        self.row = np.repeat(np.arange(self.rows, dtype=kind), np.diff(self.first))
 
     def __len__(self) -> int:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        """64-bit hashes of the words."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        up, down = _power_tables(len(self.low) + 1)
-        sums = np.zeros(len(self.low) + 1, np.uint64)
-        np.cumsum(_BYTE[self.low] * up[:-1], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        """64-bit hashes of the words, made in windows of about CHUNK_BYTES, so that a long text takes no more memory than its words."""
+        out = np.zeros(len(self.start), np.uint64)
+        at = 0
+        while at < len(out):
+            begin = int(self.start[at])
+            to = max(at + 1, int(np.searchsorted(self.end, begin + CHUNK_BYTES, side="right")))
+            start, end = self.start[at:to].astype(np.int64) - begin, self.end[at:to].astype(np.int64) - begin
+            up, down = _power_tables(int(end[-1]) + 1)
+            sums = np.zeros(int(end[-1]) + 1, np.uint64)
+            np.cumsum(_BYTE[self.low[begin : begin + int(end[-1])]] * up[:-1], out=sums[1:])
+            out[at:to] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+            at = to
+        return out
 
     def text(self, i: int) -> bytes:
         return self.low[self.start[i] : self.end[i]].tobytes()
@@ -203,8 +261,4 @@ def word_hash(words: list[str]) -> np.ndarray:
 
 def with_id(doc_id: str, text: str, docs: DataFrame) -> DataFrame:
     """The two columns that most operators read, as doc_id and text (null text: empty). Other columns can't clash with those made here."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-
-
-def package_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(text).alias("text"))
