@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,13 +10,19 @@ def _double(c: str):
     return F.col(c).cast("double")
 
 
+def merged(a: Column, b: Column) -> Column:
+    """The posting (a struct start, end, idx, len) from where the first of two begins to where the last of them ends."""
+    idx = F.least(a["idx"], b["idx"])
+    length = F.greatest(a["idx"] + a["len"], b["idx"] + b["len"]) - idx
+    return F.struct(F.least(a["start"], b["start"]).alias("start"), F.greatest(a["end"], b["end"]).alias("end"), idx.alias("idx"), length.alias("len"))
+
+
 def deoverlap(rows: DataFrame, threshold: float = 0.0, use_time: bool = True) -> DataFrame:
-    """Merge postings of a document, in order, whose gap is at most the threshold (seconds, or tokens).
+    """Merge postings of a document, in order, whose gap is at most the threshold (seconds, or tokens). With a threshold below 0
+    they must overlap by as much.
 
-    Rows are taken in the order of (start, idx), or of (idx, start) without use_time; a threshold below 0 is a ValueError.
+    Rows are taken in the order of (start, idx), or of (idx, start) without use_time.
     """
-    if threshold < 0:
-        raise ValueError("threshold below 0")
     key, end = (_double("start"), _double("end")) if use_time else (F.col("idx"), F.col("idx") + F.col("len"))
     order = Window.partitionBy("doc_id").orderBy(*(("start", "idx", "end", "len") if use_time else ("idx", "start", "len", "end")))
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))

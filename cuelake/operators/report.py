@@ -11,18 +11,29 @@ from cuelake.operators.postings import deoverlap
 from cuelake.sources.corpus import Corpus
 
 
+#: Positions (24 bytes each) that may be broadcast to the tokens.
+MOST_POSITIONS = 1_000_000
+
+
 def in_context(corpus: Corpus, found: DataFrame, context: int = 3) -> DataFrame:
     """doc_id, idx, len, interval, context: merged postings with `context` tokens on each side, hits in brackets.
 
-    Every posting asks for its positions, which are joined by (doc_id, pos): work follows the hits, not the documents.
+    Every posting asks for its positions. These are counted: up to MOST_POSITIONS they are broadcast and the tokens are only
+    scanned; more are joined by (doc_id, pos), with the tokens of other documents left out before the shuffle.
     """
     merged = deoverlap(found, use_time=False)
+    width = F.col("len") + context + F.least(F.col("idx"), F.lit(context))
     asked = merged.withColumn("pos", F.explode(F.sequence(F.greatest(F.col("idx") - context, F.lit(0)), F.col("idx") + F.col("len") + context - 1)))
+    few = (merged.agg(F.sum(width)).first()[0] or 0) <= MOST_POSITIONS
     shown = F.when(F.col("word_id").isNull(), F.lit(UNKNOWN)).otherwise(F.col("token"))
     words = corpus.tokens.select("doc_id", "pos", shown.alias("word"))
     hit = (F.col("pos") >= F.col("idx")) & (F.col("pos") < F.col("idx") + F.col("len"))
     word = F.when(hit, F.concat(F.lit("["), F.col("word"), F.lit("]"))).otherwise(F.col("word"))
-    rows = asked.join(words, ["doc_id", "pos"]).groupBy("doc_id", "idx", "len", "start", "end").agg(F.array_sort(F.collect_list(F.struct("pos", word.alias("word")))).alias("ws"))
+    if few:
+        asked = F.broadcast(asked)
+    else:
+        words = words.join(merged.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = words.join(asked, ["doc_id", "pos"]).groupBy("doc_id", "idx", "len", "start", "end").agg(F.array_sort(F.collect_list(F.struct("pos", word.alias("word")))).alias("ws"))
     interval = F.concat(span_text(F.col("start")), F.lit(" - "), span_text(F.col("end")))
     return rows.select("doc_id", "idx", "len", interval.alias("interval"), F.array_join(F.transform("ws", lambda w: w["word"]), " ").alias("context"))
 

@@ -1,7 +1,8 @@
 """The query language: phrases, [lemma expansion], |, &, \\, :: seconds, // tokens, parentheses.
 
 A query is parsed on the driver into a tree and compiled to one DataFrame plan. And and Not look at the nearest postings in
-the order of a merge, which windows over each document give; they are not "exists" joins.
+the order of a merge, which running windows over each document give, forwards and backwards; they are not "exists" joins.
+All phrases below one operator are a single scan of the tokens.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import text
 from cuelake.functions.lemmas import Lemmatizer, noun_lemmas
 from cuelake.operators import lexicon as words
-from cuelake.operators.search import MAX_NGRAM, POSTING, in_documents, postings
+from cuelake.operators.search import MAX_NGRAM, POSTING, in_documents, phrase_postings
 from cuelake.sources.corpus import Corpus, WordDoesNotExist
 
 DEFAULT_THRESHOLD = 15
@@ -239,52 +240,58 @@ def _near(p, other, threshold: float, by_time: bool):
     return F.when(other.isNotNull(), _distance(p, other, by_time) < threshold).otherwise(False)
 
 
-def _children(tables: list[DataFrame], key: str) -> DataFrame:
-    """All children's postings with `child` and `k`: the largest key so far in the child's own order, by which a merge takes them."""
-    so_far = Window.partitionBy("doc_id", "child").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+def _union(nodes: tuple, tokens: DataFrame, known: dict[Term, dict[str, int]]) -> DataFrame:
+    """The postings of all nodes, with `child` (the node's place) and `seq` (the order in it, from 1)."""
+    phrases = [[known[t] for t in n.terms] if isinstance(n, Phrase) else [] for n in nodes]
+    if any(len(p) > MAX_NGRAM for p in phrases):
+        raise RuntimeError("too many words")
     out = None
-    for i, table in enumerate(tables):
-        rows = table.withColumn("child", F.lit(i))
-        out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("k", F.max(key).over(so_far))
+    if any(isinstance(n, Phrase) for n in nodes):
+        within = Window.partitionBy("doc_id", "child").orderBy("idx")
+        found = phrase_postings(tokens, [p or [{}] for p in phrases]).repartition("doc_id")
+        out = found.withColumn("seq", F.row_number().over(within))
+    for i, n in enumerate(nodes):
+        if not isinstance(n, Phrase):
+            rows = _compile(n, tokens, known).withColumn("child", F.lit(i))
+            out = rows if out is None else out.unionByName(rows)
+    return out.select("child", *POSTING, "seq")
+
+
+def _so_far(key: str):
+    """The largest key so far in the child's own order, by which a merge takes its postings."""
+    return F.max(key).over(Window.partitionBy("doc_id", "child").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+
+
+def _nearest(child, of: int):
+    """The last posting of a child before each row of the merge, and the first one after it (the last before, backwards)."""
+    own = F.when(child == of, F.col("p"))
+    before = Window.partitionBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(own, ignorenulls=True).over(before.orderBy("k", "child", "seq")), F.last(own, ignorenulls=True).over(before.orderBy(F.desc("k"), F.desc("child"), F.desc("seq")))
 
 
 def _compile(node, tokens: DataFrame, known: dict[Term, dict[str, int]]) -> DataFrame:
     by_document = Window.partitionBy("doc_id")
     keep = [*POSTING, "seq"]
     if isinstance(node, Phrase):
-        if len(node.terms) > MAX_NGRAM:
-            raise RuntimeError("too many words")
-        return postings(tokens, [list(known[t]) for t in node.terms]).withColumn("seq", F.row_number().over(by_document.orderBy("idx")))
-    parts = [_compile(c, tokens, known) for c in node.children]
+        return _union((node,), tokens, known).select(*keep)
+    rows = _union(node.children, tokens, known)
     if isinstance(node, Or):
         order = by_document.orderBy("start", "idx", "child", "before")
-        return _children(parts, "start").withColumnRenamed("seq", "before").withColumn("seq", F.row_number().over(order)).select(*keep)
+        return rows.withColumnRenamed("seq", "before").withColumn("seq", F.row_number().over(order)).select(*keep)
+    near = lambda of: _near(F.col("p"), F.col(f"a{of}"), node.threshold, node.by_time) | _near(F.col("p"), F.col(f"b{of}"), node.threshold, node.by_time)
     if isinstance(node, And):
-        merged = by_document.orderBy("k", "child", "seq")
-        rows = _children(parts, "start").withColumn("p", _posting())
+        rows = rows.withColumn("k", _so_far("start")).withColumn("p", _posting())
         every = F.lit(True)
-        for j in range(len(parts)):
-            own = F.when(F.col("child") == j, F.col("p"))
-            before = F.last(own, ignorenulls=True).over(merged.rowsBetween(Window.unboundedPreceding, -1))
-            after = F.first(own, ignorenulls=True).over(merged.rowsBetween(1, Window.unboundedFollowing))
+        for j in range(len(node.children)):
+            before, after = _nearest(F.col("child"), j)
             rows = rows.withColumn(f"b{j}", before).withColumn(f"a{j}", after)
-            near = _near(F.col("p"), F.col(f"a{j}"), node.threshold, node.by_time) | _near(F.col("p"), F.col(f"b{j}"), node.threshold, node.by_time)
-            every = every & ((F.col("child") == j) | near)
+            every = every & ((F.col("child") == j) | near(j))
         rows = rows.where(every).withColumnRenamed("seq", "before")
         return rows.withColumn("seq", F.row_number().over(by_document.orderBy("start", "k", "child", "before"))).select(*keep)
-    key = "start" if node.by_time else "idx"
-    first, others = parts[0], parts[1:]
-    union = None
-    for i, table in enumerate(others):
-        rows = table.withColumn("__i", F.lit(i))
-        union = rows if union is None else union.unionByName(rows)
-    union = union.withColumnRenamed("seq", "before").withColumn("seq", F.row_number().over(by_document.orderBy("start", "idx", "__i", "before"))).select(*keep)
-    # others come before the postings of the first child at equal keys
-    rows = _children([union, first], key).withColumn("p", _posting())
-    merged = by_document.orderBy("k", "child", "seq")
-    other = F.when(F.col("child") == 0, F.col("p"))
-    rows = rows.withColumn("b", F.last(other, ignorenulls=True).over(merged.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("a", F.first(other, ignorenulls=True).over(merged.rowsBetween(1, Window.unboundedFollowing)))
-    near = _near(F.col("p"), F.col("b"), node.threshold, node.by_time) | _near(F.col("p"), F.col("a"), node.threshold, node.by_time)
-    return rows.where((F.col("child") == 1) & ~near).select(*keep)
+    # the others together are child 0, which comes before the postings of the first child at equal keys
+    others = F.row_number().over(Window.partitionBy("doc_id", "first").orderBy("start", "idx", "child", "seq"))
+    rows = rows.withColumn("first", (F.col("child") == 0).cast("int"))
+    rows = rows.withColumn("seq", F.when(F.col("first") == 1, F.col("seq")).otherwise(others)).drop("child").withColumnRenamed("first", "child")
+    rows = rows.withColumn("k", _so_far("start" if node.by_time else "idx")).withColumn("p", _posting())
+    before, after = _nearest(F.col("child"), 0)
+    return rows.withColumn("b0", before).withColumn("a0", after).where((F.col("child") == 1) & ~near(0)).select(*keep)
