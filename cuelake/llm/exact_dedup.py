@@ -5,7 +5,8 @@ pairs of names are named in the same way, level by level, until each text has a
 blocks get one name exactly when they are equal: names stand for the contents themselves, not for hashes of them.
 
 A name is the least position among the occurrences of its content, so it doesn't depend on partitioning or on retries.
-Content is shuffled once. Hot contents (a third of all rows may be one text) are found by counting hashes, and are salted:
+The table is read once: its rows are numbered and cut into a stored table of blocks, from which all else follows. Content is
+shuffled once. Hot contents (a third of all rows may be one text) are found by counting hashes, and are salted:
 each salt names its part, then the few heads of these parts are named among themselves. The list of hot hashes is
 broadcast; it has at most rows / `hot` entries, and `hot` rises with the rows so that this stays under 100,000.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import ROW, lower_ascii, numbered, read_table, shared_table, text_or_empty
+from ._common import ROW, lower_ascii, read_table, row_number, shared_table, stored_rows, text_or_empty, without_rows
 
 
 def hot_hashes(rows: DataFrame, key: Column, total: int, hot: int) -> DataFrame:
@@ -26,15 +27,13 @@ def hot_hashes(rows: DataFrame, key: Column, total: int, hot: int) -> DataFrame:
 
 
 def name_contents(rows: DataFrame, content: list[str], total: int, hot: int, tag: str) -> DataFrame:
-    """Replace the content columns of `rows` (with a unique `pos` each) by `name`, the least pos of equal content."""
-    h = F.xxhash64(*content)
-    hashed = rows.withColumn("__h", h)
-    marked = hashed.join(F.broadcast(hot_hashes(rows, h, total, hot)), F.col("__h") == F.col("__hot"), "left")
+    """Replace the content columns of `rows` (with a unique `pos` each, and their hash `h`) by `name`, the least pos of equal content."""
+    marked = rows.join(F.broadcast(hot_hashes(rows, F.col("h"), total, hot)), F.col("h") == F.col("__hot"), "left")
     salt = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64("pos"), F.col("__salts"))).otherwise(F.lit(0))
-    part = Window.partitionBy("__h", *content, "__salt")
+    part = Window.partitionBy("h", *content, "__salt")
     named = marked.withColumn("__salt", salt).withColumn("__part", F.min("pos").over(part))
     head = F.col("__hot").isNotNull() & (F.col("__part") == F.col("pos"))
-    keep = [c for c in rows.columns if c not in content]
+    keep = [c for c in rows.columns if c not in (*content, "h")]
     named = named.select(*keep, "__part", F.when(head, F.struct(*content)).alias("__head"))
     named = shared_table(named, tag)
     heads = named.where(F.col("__head").isNotNull())
@@ -43,40 +42,45 @@ def name_contents(rows: DataFrame, content: list[str], total: int, hot: int, tag
     return named.join(F.broadcast(heads), F.col("__part") == F.col("__of"), "left").select(*keep, F.coalesce("__whole", "__part").alias("name"))
 
 
-def text_names(docs: DataFrame, text: str, block_bytes: int, hot: int) -> tuple[DataFrame, int]:
-    """ROW, blocks and name of each text: texts are equal exactly when both agree. Also the number of rows."""
+def cut_texts(docs: DataFrame, doc_id: str, text: str, block_bytes: int, row: str | None) -> DataFrame:
+    """A stored table of all blocks: ROW, blocks (of the text), at, pos (unique), h, block; doc_id and text_sha256 with the first."""
     body = F.encode(lower_ascii(text_or_empty(text)), "UTF-8")
-    rows = numbered(docs).select(ROW, body.alias("body"))
-    size = rows.agg(F.count("*"), F.max(F.octet_length("body")), F.sum(F.ceil(F.greatest(F.octet_length("body"), F.lit(1)) / block_bytes))).first()
-    total, longest, blocks = size[0], size[1] or 0, size[2] or 0
+    rows = docs.select(row_number(row).alias(ROW), F.col(f"`{doc_id}`").alias("doc_id"), body.alias("body")).withColumn("text_sha256", F.sha2("body", 256))
     last = F.greatest(F.lit(0), F.floor((F.octet_length("body") - 1) / block_bytes)).cast("int")
-    cut = rows.select(ROW, "body", (last + 1).alias("blocks"), F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    cut = cut.select(ROW, "blocks", "at", F.expr(f"substring(body, at * {block_bytes} + 1, {block_bytes})").alias("block"))
-    named = name_contents(cut.withColumn("pos", F.monotonically_increasing_id()), ["block"], blocks, hot, "blocks")
-    most = max(1, -(-longest // block_bytes))
+    each = rows.select(ROW, "doc_id", "text_sha256", "body", (last + 1).alias("blocks"), F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    first = lambda c: F.when(F.col("at") == 0, F.col(c)).alias(c)
+    cut = each.select(ROW, first("doc_id"), first("text_sha256"), "blocks", "at", F.expr(f"substring(body, at * {block_bytes} + 1, {block_bytes})").alias("block"))
+    return shared_table(cut.withColumn("pos", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("block")), "cut")
+
+
+def text_names(cut: DataFrame, hot: int) -> tuple[DataFrame, int]:
+    """ROW, blocks and name of each text: texts are equal exactly when both agree. Also the number of rows."""
+    size = cut.agg(F.count(F.when(F.col("at") == 0, 1)), F.coalesce(F.max("blocks"), F.lit(1)), F.count("*")).first()
+    total, most, blocks = size[0], size[1], size[2]
+    named = name_contents(cut.select(ROW, "blocks", "at", "pos", "h", "block"), ["block"], blocks, hot, "blocks")
     done = named.where("blocks = 1").select(ROW, "blocks", "name")
     level = named.where("blocks > 1")
     width = 1
     while width < most:
         pairs = level.groupBy(ROW, "blocks", F.floor(F.col("at") / 2).cast("int").alias("at")).agg(F.min("pos").alias("pos"), F.min(F.when(F.col("at") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.min(F.when(F.col("at") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"))
         width *= 2
-        named = name_contents(pairs, ["left", "right"], blocks, hot, f"pairs{width}")
+        named = name_contents(pairs.withColumn("h", F.xxhash64("left", "right")), ["left", "right"], blocks, hot, f"pairs{width}")
         done = done.unionByName(named.where(F.col("blocks") <= width).select(ROW, "blocks", "name"))
         level = named.where(F.col("blocks") > width)
     return done, total
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 4096, hot: int = 20_000) -> DataFrame:
-    """One row per document, dropped ones too: ROW (its place in the scan), doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 4096, hot: int = 20_000, row: str | None = None) -> DataFrame:
+    """One row per document, dropped ones too: ROW, doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null is the empty text. Of equal texts the row with the largest
-    doc_id stays; of rows that share it (repeated rows) one, the first in the scan. A null doc_id is smaller than any other.
-    An empty table gives no rows; other columns are not read.
+    doc_id stays; of rows that share it (repeated rows) one, that with the least ROW: the number in column `row` of `docs`, or
+    its place in the one scan that is made. A null doc_id is smaller than any other. Long texts are more blocks and more
+    levels of names, nothing else. An empty table gives no rows; other columns, whatever their names, are not read.
     """
-    names, total = text_names(docs, text, block_bytes, hot)
-    names = shared_table(names, "names")
-    facts = numbered(docs).select(ROW, F.col(doc_id).alias("doc_id"), F.sha2(F.encode(lower_ascii(text_or_empty(text)), "UTF-8"), 256).alias("text_sha256"))
-    rows = shared_table(facts.join(names, ROW), "texts")
+    cut = cut_texts(docs, doc_id, text, block_bytes, row)
+    names, total = text_names(cut, hot)
+    rows = shared_table(cut.where("at = 0").select(ROW, "doc_id", "text_sha256").join(names, ROW), "texts")
     best = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), (-F.col(ROW)).alias("row")))
     groups = rows.groupBy("blocks", "name").agg(F.count("*").alias("group_size"), best.alias("best"))
     groups = shared_table(groups.where("group_size > 1").select("blocks", "name", "group_size", F.col("best.id").alias("keep_id"), (-F.col("best.row")).alias("keep_row")), "groups")
@@ -93,9 +97,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that exact_dedup keeps, with all their columns."""
-    dropped = shared_table(exact_dedup(docs, **options).where("NOT kept").select(ROW), "dropped")
-    return numbered(docs).join(dropped, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` that exact_dedup keeps, with all their columns. Rows are numbered in a copy on the shared folder, so
+    that the ones judged and the ones dropped are the same."""
+    stored, row = stored_rows(docs)
+    return without_rows(stored, row, exact_dedup(stored, row=row, **options).where("NOT kept"), docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
