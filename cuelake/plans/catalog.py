@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,54 +12,60 @@ from cuelake.operators import decode, documents, lexicon, postings, report, sear
 from cuelake.plans.query import Query
 from cuelake.sources import corpus as corpora
 from cuelake.sources.corpus import Corpus
+from cuelake.sources.folders import shared_folder
 
 MS_PER_TOKEN = 400
 
 
-def documents_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+def document_cues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """`documents` as transcripts: lines of the text, 400 ms a token."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    lines = rows.select(F.col("doc_id").cast("int").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    split = lines.select("doc_id", "line_no", text.tokens(F.col("line")).alias("words"), F.lit(0).alias("start_ms"), F.lit(0).alias("end_ms"))
-    placed = corpora.positioned(split)
-    start = F.col("pos").cast("long") * MS_PER_TOKEN
-    timed = placed.select("doc_id", "line_no", start.alias("start_ms"), (start + F.least(F.size("words") * MS_PER_TOKEN, F.lit(corpora.MAX_LINE_MS))).alias("end_ms"), "words", "pos")
-    return _corpus(rows.select(F.col("doc_id").cast("int").alias("doc_id"), F.format_string("doc%06d", "doc_id").alias("name")), timed)
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("int").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("n", F.size(text.tokens(F.col("line"))))
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("n").over(before), F.lit(0)) * MS_PER_TOKEN
+    cues = lines.withColumn("start_ms", start).select("doc_id", "line_no", "start_ms", (F.col("start_ms") + F.col("n") * MS_PER_TOKEN).alias("end_ms"), "line")
+    return rows.select("doc_id", F.format_string("doc%06d", "doc_id").alias("name")), cues
 
 
-def events_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+def event_cues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """`events` as transcripts: a document per user, a line of one token per event, at its milliseconds since the first event."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
     first = rows.agg(F.min("ts").alias("first"))
-    millis = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    at = F.floor((millis("ts") - millis("first")) / 1000).cast("long")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    at = F.floor((micros("ts") - micros("first")) / 1000).cast("long")
     line = F.row_number().over(Window.partitionBy("user_id").orderBy("at", "event_id")) - 1
-    lines = rows.crossJoin(F.broadcast(first)).withColumn("at", at)  # one row
-    timed = lines.select(F.col("user_id").cast("int").alias("doc_id"), line.alias("line_no"), F.col("at").alias("start_ms"), (F.col("at") + 1000).alias("end_ms"), F.array("event_type").alias("words"), line.alias("pos"))
-    return _corpus(timed.select("doc_id").distinct().withColumn("name", F.concat(F.lit("user"), F.col("doc_id").cast("string"))), timed)
+    timed = rows.crossJoin(F.broadcast(first)).withColumn("at", at)  # one row
+    cues = timed.select(F.col("user_id").cast("int").alias("doc_id"), line.alias("line_no"), F.col("at").alias("start_ms"), (F.col("at") + 1000).alias("end_ms"), F.col("event_type").alias("line"))
+    return rows.select(F.col("user_id").cast("int").alias("doc_id")).distinct().withColumn("name", F.concat(F.lit("user"), F.col("doc_id").cast("string"))), cues
 
 
-_built: dict[tuple, Corpus] = {}
+_stored: dict[tuple, str] = {}
 
 
 def _once(make, spark: SparkSession, sf_dir: str) -> Corpus:
-    """A corpus is built once for each session and table, like an index, and kept in memory or on disk as it fits."""
+    """A corpus is built and stored once for each session and table, like an index, and loaded for each query."""
     key = (make.__name__, spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
-        _built[key] = make(spark, sf_dir).cached()
-    return _built[key]
+    if key not in _stored:
+        path = f"{shared_folder(spark)}/{make.__name__}-{uuid.uuid4().hex}"
+        make(spark, sf_dir, path)
+        _stored[key] = path
+    return corpora.load(spark, _stored[key])
+
+
+def documents_corpus(spark: SparkSession, sf_dir: str, path: str) -> None:
+    corpora.build_stored(*document_cues(spark, sf_dir), path)
 
 
-def _corpus(names: DataFrame, timed: DataFrame) -> Corpus:
-    lexicon_table = corpora.dense_ids(corpora.count_tokens(timed))
-    short = F.octet_length("token") <= corpora.MAX_TOKEN_BYTES
-    # a token has an id exactly when it is short: search needs no join with the lexicon
-    tokens = corpora.placed_tokens(timed).withColumn("word_id", F.when(short, F.lit(0)))
-    return Corpus(corpora.document_table(names, timed), lexicon_table, corpora.line_table(timed), tokens)
+def events_corpus(spark: SparkSession, sf_dir: str, path: str) -> None:
+    corpora.build_stored(*event_cues(spark, sf_dir), path)
 
 
-def _with_ids(c: Corpus) -> Corpus:
-    return Corpus(c.documents, c.lexicon, c.lines, corpora.with_word_ids(c.tokens.drop("word_id"), c.lexicon))
+def grown_corpus(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The documents of even ids, with those of odd ids appended."""
+    names, cues = document_cues(spark, sf_dir)
+    even = F.col("doc_id") % 2 == 0
+    corpora.build_stored(names.where(even), cues.where(even), path)
+    corpora.append(spark, path, names.where(~even), cues.where(~even).join(names, "doc_id").drop("doc_id"), 0)
 
 
 def _shown(rows: DataFrame) -> DataFrame:
@@ -185,31 +193,18 @@ def _cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "query string, cost double")
 
 
-def _update(c: Corpus, spark: SparkSession, sf_dir: str) -> Corpus:
-    """The documents of even ids, with those of odd ids appended."""
-    names = c.documents.select("doc_id", "name")
-    even = F.col("doc_id") % 2 == 0
-    old = c.tokens.where(even)
-    counts = old.where("word_id IS NOT NULL").groupBy("token").agg(F.count("*").alias("count"))
-    base = corpora.dense_ids(counts)
-    start = Corpus(c.documents.where(even), base, c.lines.where(even), corpora.with_word_ids(old.drop("word_id"), base))
-    cues = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("int").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")).where(~even)
-    named = cues.join(names, "doc_id").select("name", "line_no", (F.col("line_no") * 1000).alias("start_ms"), (F.col("line_no") * 1000 + 1000).alias("end_ms"), "line")
-    return corpora.update(start, names.where(~even), named)
-
-
 _QUERIES = {
     "token_scan": _docs(lambda c: documents.scan(c)),
     "token_scan_limit": _docs(lambda c: documents.scan(c, 100)),
     "lexicon_counts": _docs(lambda c: c.lexicon),
     "lexicon_word_count": _docs(lambda c: lexicon.word_count(c.lexicon)),
-    "lexicon_decode": _docs(lambda c: lexicon.decode(_with_ids(c).tokens, c.lexicon).groupBy("word").agg(F.count("*").alias("n"))),
+    "lexicon_decode": _docs(lambda c: lexicon.decode(c.tokens, c.lexicon).groupBy("word").agg(F.count("*").alias("n"))),
     "frequent_words": _docs(lambda c: lexicon.frequent_words(c.lexicon)),
     "case_variants": _docs(lambda c: lexicon.case_variants(c.lexicon)),
     "similar_words": _docs(lambda c: lexicon.similar(c.lexicon, c.lexicon.sparkSession.createDataFrame([("er",), ("ers",)], "key string")).select("token").distinct()),
     "doc_stats": _docs(lambda c: c.documents),
     "doc_lines": _docs(lambda c: c.lines),
-    "doc_tokens_range": _docs(lambda c: documents.token_range(_with_ids(c), 10, 20)),
+    "doc_tokens_range": _docs(lambda c: documents.token_range(c, 10, 20)),
     "lines_overlap": _docs(lambda c: documents.lines_between(c, 20.0, 60.0)),
     "position_at": _docs(lambda c: documents.position_at(c, c.documents.select("doc_id", F.explode(F.array(*[F.lit(t).cast("long") for t in (0, 12_345, 40_000, 100_000, 10_000_000)])).alias("ms")))),
     "prefix_docs": _docs(lambda c: documents.with_prefix(c.documents, "doc00001").select("doc_id", "name")),
@@ -244,8 +239,8 @@ _QUERIES = {
     "search_summary": _docs(lambda c: report.summary(search.search(c, "the"))),
     "decode_srt": _docs(lambda c: decode.subtitles(c)),
     "decode_vtt": _docs(lambda c: decode.subtitles(c, vtt=True)),
-    "lexicon_update": lambda spark, sf_dir: _update(_once(documents_corpus, spark, sf_dir), spark, sf_dir).lexicon,
-    "update_search": lambda spark, sf_dir: search.search(_update(_once(documents_corpus, spark, sf_dir), spark, sf_dir), "of the").groupBy("doc_id").agg(F.count("*").alias("n")),
+    "lexicon_update": lambda spark, sf_dir: _once(grown_corpus, spark, sf_dir).lexicon,
+    "update_search": lambda spark, sf_dir: search.search(_once(grown_corpus, spark, sf_dir), "of the").groupBy("doc_id").agg(F.count("*").alias("n")),
 }
 
 _BI = _gram(("of",), ("the",))
@@ -282,7 +277,15 @@ _SQL = {
     "query_events_not_time": _E + _CLICK + _ERROR + _not("a", ["b"], 3600, True, "r") + " " + _SHOW + "r",
     "query_events_and_tokens": _E + _CLICK + _ERROR + _and(["a", "b"], 2, False, "r") + " " + _SHOW + "r",
     "query_nested": _D + _gram(("of", "with"), name="a") + _WAS + _not("a", ["c"], 5, False, "r") + " " + _SHOW + "r",
-    "query_case_insensitive": _D + _gram(("of", "Of", "OF", "oF"), ("the", "The", "THE", "tHe", "THe")) + " " + _SHOW + "hit",
+    "query_case_insensitive": _D + f", low AS (SELECT *, lower(token) AS folded FROM tok WHERE known) " + f"""SELECT a.doc_id::INT AS doc_id, {_sec('least(a.start_ms, b.start_ms)')}::DOUBLE AS start_s, {_sec('greatest(a.end_ms, b.end_ms)')}::DOUBLE AS end_s, a.pos::INT AS idx, 2 AS len
+ FROM low a JOIN low b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.folded = 'of' AND b.folded = 'the' AND EXISTS (SELECT 1 FROM lex WHERE token = 'of') AND EXISTS (SELECT 1 FROM lex WHERE token = 'the')""",
+    "position_at": _D.replace("WITH ", "WITH RECURSIVE ", 1) + """, ask AS (SELECT doc_id, unnest([0, 12345, 40000, 100000, 10000000])::BIGINT AS ms FROM names),
+size AS (SELECT doc_id, count(*) AS n FROM line GROUP BY doc_id),
+halve AS (SELECT doc_id, ms, 0::BIGINT AS lo, n::BIGINT AS hi FROM ask JOIN size USING (doc_id)
+  UNION ALL SELECT h.doc_id, h.ms, CASE WHEN h.ms < l.start_ms THEN h.lo WHEN h.ms > l.end_ms THEN l.line_no + 1 ELSE l.line_no END, CASE WHEN h.ms < l.start_ms THEN l.line_no WHEN h.ms > l.end_ms THEN h.hi ELSE l.line_no END
+  FROM halve h JOIN line l ON l.doc_id = h.doc_id AND l.line_no = (h.lo + h.hi) // 2 WHERE h.lo < h.hi),
+ends AS (SELECT doc_id, max(pos + n) AS total FROM line GROUP BY doc_id)
+SELECT h.doc_id::INT AS doc_id, h.ms, coalesce(l.pos, e.total)::INT AS position FROM halve h JOIN ends e ON e.doc_id = h.doc_id LEFT JOIN line l ON l.doc_id = h.doc_id AND l.line_no = h.lo WHERE h.lo >= h.hi""",
     "query_expand": _D + _LEMMA.replace("IN ('er', 'ers')", "IN ('er')") + f", hit AS (SELECT doc_id, {_sec('start_ms')} AS \"start\", {_sec('end_ms')} AS \"end\", pos AS idx, 1 AS len FROM tok WHERE known AND token IN (SELECT token FROM same)) " + _SHOW + "hit",
     "query_cost": _D + ", n AS (SELECT sum(count)::DOUBLE AS n, max(CASE WHEN token = 'of' THEN count ELSE 0 END) AS o, max(CASE WHEN token = 'the' THEN count ELSE 0 END) AS t, max(CASE WHEN token = 'with' THEN count ELSE 0 END) AS w, max(CASE WHEN token = 'was' THEN count ELSE 0 END) AS s FROM lex) SELECT 'of the' AS query, round(least(o, t) / n, 12) AS cost FROM n UNION ALL SELECT 'with | was', round(w / n + s / n, 12) FROM n UNION ALL SELECT 'the & nosuchword :: 5', round(t / n, 12) FROM n",
     "deoverlap_time": _E + _CLICK + _island("a", 3600, True, "r") + " " + _SHOW + "r",

@@ -2,7 +2,9 @@
 
 documents (doc_id, name, n_tokens, duration_ms), lexicon (word_id, token, count), lines (doc_id, line_no, start_ms, end_ms,
 pos, len), tokens (doc_id, pos, word_id, token, line_no, start_ms, end_ms). word_id is null for tokens outside the lexicon;
-these keep their position. Tokens are clustered by document; a store keeps a copy sorted by word for search.
+these keep their position. A store has a Parquet folder for each table; its tokens are sorted by word, so that a search's
+word filter is pushed down to the scan and prunes it. Documents are appended as folders of their own beside these (with the
+lexicon's new words and its further counts), which nothing rewrites; the last table written commits them.
 """
 
 from __future__ import annotations
@@ -43,42 +45,77 @@ class Corpus:
         return Corpus(*(t.cache() for t in (self.documents, self.lexicon, self.lines, self.tokens)))
 
     def store(self, path: str, files: int | None = None) -> None:
-        """Write Parquet tables; with `files`, documents are ranged over so many. Postings are sorted by word for pruning."""
-        self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        self.lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
+        """Write Parquet tables, ranged over `files` by document if given. All are written before any takes the place of an older
+        one, which stays as <table>.old: so a corpus may be stored where it was loaded from. Appended folders go."""
+        spark = self.documents.sparkSession
         by_document = (lambda t: t.repartitionByRange(files, "doc_id")) if files else (lambda t: t)
-        by_document(self.lines).sortWithinPartitions("doc_id", "line_no").write.mode("overwrite").parquet(f"{path}/lines")
-        tokens = by_document(self.tokens)
-        tokens.sortWithinPartitions("word_id", "doc_id", "pos").write.mode("overwrite").parquet(f"{path}/tokens")
+        new = lambda t, name: t.write.mode("overwrite").parquet(f"{path}/{name}.new")
+        new(self.lexicon, "lexicon")
+        new(by_document(self.lines).sortWithinPartitions("doc_id", "line_no"), "lines")
+        new(by_document(self.tokens).sortWithinPartitions("word_id", "doc_id", "pos"), "tokens")
+        new(self.documents, "documents")
+        for name in TABLES:
+            fs, target = _file_system(spark, f"{path}/{name}")
+            old, fresh = (_file_system(spark, f"{path}/{name}.{end}")[1] for end in ("old", "new"))
+            if fs.exists(target):
+                fs.delete(old, True)
+                fs.rename(target, old)
+            fs.rename(fresh, target)
+        fs, appended = _file_system(spark, f"{path}/appended")
+        fs.delete(appended, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _appended(spark: SparkSession, path: str) -> list[str]:
+    """Folders of appended documents that are committed, in their order."""
+    fs, folder = _file_system(spark, f"{path}/appended")
+    names = sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
+    return [f"{path}/appended/{n}" for n in names if fs.exists(_file_system(spark, f"{path}/appended/{n}/documents/_SUCCESS")[1])]
 
 
 def load(spark: SparkSession, path: str) -> Corpus:
-    """Read a stored corpus; a missing table raises FileNotFoundError."""
-    found = {}
-    for name, schema in TABLES.items():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    """Read a stored corpus and what was appended to it; a missing table raises FileNotFoundError."""
+    for name in TABLES:
+        fs, folder = _file_system(spark, f"{path}/{name}")
+        if not fs.exists(folder):
             raise FileNotFoundError(f"{path}/{name}")
-        found[name] = spark.read.schema(schema).parquet(f"{path}/{name}")
+    folders = [path, *_appended(spark, path)]
+    found = {name: spark.read.schema(schema).parquet(*[f"{f}/{name}" for f in folders]) for name, schema in TABLES.items()}
+    if len(folders) > 1:
+        found["lexicon"] = _added_up(found["lexicon"])
     return Corpus(**found)
 
 
+def _added_up(lexicon: DataFrame) -> DataFrame:
+    return lexicon.groupBy("word_id", "token").agg(F.sum("count").alias("count")).select(*LEXICON.names)
+
+
 def count_tokens(cues: DataFrame, max_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
     """token, count over cues with an array `words`; longer tokens (in UTF-8 bytes) are left out."""
     words = cues.select(F.explode("words").alias("token")).where(F.octet_length("token") <= max_bytes)
     return words.groupBy("token").agg(F.count("*").alias("count"))
 
 
-def dense_ids(counts: DataFrame, first: int = 0) -> DataFrame:
+def dense_ids(counts: DataFrame, first: int = 0, most: int = 100_000) -> DataFrame:
     """word_id, token, count: ids from `first` in the order of the tokens' bytes.
 
-    Only tokens that share their first three bytes are sorted in one task; a window over the counts of these prefixes gives
-    where each begins.
+    Tokens are bucketed by their first bytes: three, and three more as often as a bucket has over `most` tokens, so that no
+    task sorts more than about that many, however long a prefix all share. A window over the counts of the buckets gives where
+    each begins. `counts` is read several times: it should be stored if it costs much.
     """
-    marked = counts.withColumn("__p", F.hex(F.substring(F.encode("token", "UTF-8"), 1, 3)))
+    marked = counts.withColumn("__h", F.hex(F.encode("token", "UTF-8")))
+    bucket, width = F.substring("__h", 1, 6), 6
+    while heavy := [r[0] for r in marked.groupBy(bucket.alias("b")).count().where(F.col("count") > most).where(F.length("b") == width).select("b").collect()]:  # at most tokens / most
+        width += 6
+        bucket = F.when(bucket.isin(heavy), F.substring("__h", 1, width)).otherwise(bucket)
+    marked = marked.withColumn("__p", bucket).drop("__h")
     sizes = marked.groupBy("__p").agg(F.count("*").alias("__n"))
     starts = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
-    place = F.row_number().over(Window.partitionBy("__p").orderBy("token")) - 1 + first
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(F.encode("token", "UTF-8"))) - 1 + first
     return marked.join(starts, "__p").select((F.col("__first") + place).cast("int").alias("word_id"), "token", "count")
 
 
@@ -98,8 +135,17 @@ def placed_tokens(cues: DataFrame) -> DataFrame:
 
 
 def with_word_ids(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Join word ids; the lexicon is broadcast only if Spark finds it small enough."""
-    return tokens.join(lexicon.select("token", "word_id"), "token", "left").select(*TOKENS.names)
+    """Join word ids. Words with more than 1/50,000 of all counts, so under 50,000, are broadcast; the tokens that are such words
+    have their id then, and are spread over all tasks of the shuffle that joins the others."""
+    total = lexicon.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    often = F.col("count") > max(20_000, total // 50_000)
+    hot = lexicon.where(often).select("token", F.col("word_id").alias("__hot"))
+    rare = lexicon.where(~often).select(F.col("token").alias("__key"), F.col("word_id").alias("__rare"))
+    marked = tokens.join(F.broadcast(hot), "token", "left")
+    # no token has a space
+    key = F.when(F.col("__hot").isNull(), F.col("token")).otherwise(F.concat(F.lit(" "), F.pmod(F.xxhash64("doc_id", "pos"), F.lit(10_000)).cast("string")))
+    joined = marked.withColumn("__key", key).join(rare, "__key", "left").withColumn("word_id", F.coalesce("__hot", "__rare"))
+    return joined.select(*TOKENS.names)
 
 
 def line_table(cues: DataFrame) -> DataFrame:
@@ -112,20 +158,34 @@ def document_table(names: DataFrame, cues: DataFrame) -> DataFrame:
     return names.join(facts, "doc_id", "left").select("doc_id", "name", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("duration_ms", F.lit(0)).cast("long").alias("duration_ms"))
 
 
-def build(names: DataFrame, cues: DataFrame, lexicon: DataFrame | None = None, max_bytes: int = MAX_TOKEN_BYTES) -> Corpus:
-    """A corpus of documents (doc_id, name) and cues (doc_id, line_no, start_ms, end_ms, line), with a given lexicon or its own."""
-    split = cues.select("doc_id", "line_no", "start_ms", "end_ms", text.tokens(F.col("line")).alias("words"))
-    split = positioned(split)
+def build(names: DataFrame, cues: DataFrame, lexicon: DataFrame | None = None, max_bytes: int = MAX_TOKEN_BYTES, tokenizer=text.tokens) -> Corpus:
+    """A corpus of documents (doc_id, name) and cues (doc_id, line_no, start_ms, end_ms, line), with a given lexicon or its own.
+    `tokenizer` turns a column of lines into arrays of tokens."""
+    split = positioned(cues.select("doc_id", "line_no", "start_ms", "end_ms", tokenizer(F.col("line")).alias("words")))
     lexicon = lexicon if lexicon is not None else dense_ids(count_tokens(split, max_bytes))
     return Corpus(document_table(names, split), lexicon, line_table(split), with_word_ids(placed_tokens(split), lexicon))
 
 
-def update(corpus: Corpus, names: DataFrame, cues: DataFrame, skip_existing: bool = False, max_bytes: int = MAX_TOKEN_BYTES) -> Corpus:
-    """Append documents (name; cues by name: name, line_no, start_ms, end_ms, line).
+def build_stored(names: DataFrame, cues: DataFrame, path: str, lexicon: DataFrame | None = None, max_bytes: int = MAX_TOKEN_BYTES, tokenizer=text.tokens, files: int | None = None) -> Corpus:
+    """Build a corpus at `path` and load it. As `build`, but lines are split, and words counted, once: both are written first."""
+    spark, work = cues.sparkSession, f"{path}/building"
 
-    A name that is there already raises ValueError, or is skipped. Ids go on after the last. Counts of known words grow, new
-    words come after all others in the order of their bytes. Old documents are not indexed again: words unknown then stay so.
-    """
+    def written(table: DataFrame, name: str) -> DataFrame:
+        table.write.mode("overwrite").parquet(f"{work}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{work}/{name}")
+
+    split = written(positioned(cues.select("doc_id", "line_no", "start_ms", "end_ms", tokenizer(F.col("line")).alias("words"))), "cues")
+    if lexicon is None:
+        lexicon = dense_ids(written(count_tokens(split, max_bytes), "counts"))
+    lexicon = written(lexicon.select(*LEXICON.names), "lexicon")
+    Corpus(document_table(names, split), lexicon, line_table(split), with_word_ids(placed_tokens(split), lexicon)).store(path, files)
+    fs, folder = _file_system(spark, work)
+    fs.delete(folder, True)
+    return load(spark, path)
+
+
+def _new(corpus: Corpus, names: DataFrame, cues: DataFrame, skip_existing: bool, max_bytes: int, tokenizer) -> Corpus:
+    """What an update adds: the new documents' tables, and the counts of their words under the ids that these have or get."""
     names = names.select("name").distinct()
     fresh = names.join(corpus.documents.select("name"), "name", "left_anti")
     if not skip_existing:
@@ -136,16 +196,32 @@ def update(corpus: Corpus, names: DataFrame, cues: DataFrame, skip_existing: boo
     words = corpus.lexicon.agg(F.coalesce(F.max("word_id") + 1, F.lit(0))).first()[0]
     ids = dense_ids(fresh.select(F.col("name").alias("token"), F.lit(1).alias("count")), size)
     named = ids.select(F.col("word_id").alias("doc_id"), F.col("token").alias("name"))
-    own = cues.join(named, "name").select("doc_id", "line_no", "start_ms", "end_ms", text.tokens(F.col("line")).alias("words"))
+    own = cues.join(named, "name").select("doc_id", "line_no", "start_ms", "end_ms", tokenizer(F.col("line")).alias("words"))
     own = positioned(own)
     counts = count_tokens(own, max_bytes)
-    grown = merge_lexicon(corpus.lexicon, counts, words)
-    added = Corpus(document_table(named, own), grown, line_table(own), with_word_ids(placed_tokens(own), grown))
-    return Corpus(corpus.documents.unionByName(added.documents), grown, corpus.lines.unionByName(added.lines), corpus.tokens.unionByName(added.tokens))
+    known = counts.join(corpus.lexicon.select("word_id", "token"), "token").select(*LEXICON.names)
+    more = known.unionByName(dense_ids(counts.join(corpus.lexicon, "token", "left_anti"), words))
+    return Corpus(document_table(named, own), more, line_table(own), with_word_ids(placed_tokens(own), more))
+
 
+def update(corpus: Corpus, names: DataFrame, cues: DataFrame, skip_existing: bool = False, max_bytes: int = MAX_TOKEN_BYTES, tokenizer=text.tokens) -> Corpus:
+    """Add documents (name; cues by name: name, line_no, start_ms, end_ms, line).
 
-def merge_lexicon(lexicon: DataFrame, counts: DataFrame, first_new: int) -> DataFrame:
-    """Add counts (token, count) to a lexicon; new tokens get ids from `first_new` on."""
-    more = counts.withColumnRenamed("count", "more")
-    known = lexicon.join(more, "token", "left").select("word_id", "token", (F.col("count") + F.coalesce("more", F.lit(0))).alias("count"))
-    return known.unionByName(dense_ids(counts.join(lexicon, "token", "left_anti"), first_new))
+    A name that is there already raises ValueError, or is skipped. Ids go on after the last. Counts of known words grow, new
+    words come after all others in the order of their bytes. Old documents are not indexed again: words unknown then stay so.
+    """
+    added = _new(corpus, names, cues, skip_existing, max_bytes, tokenizer)
+    return Corpus(corpus.documents.unionByName(added.documents), _added_up(corpus.lexicon.unionByName(added.lexicon)), corpus.lines.unionByName(added.lines), corpus.tokens.unionByName(added.tokens))
+
+
+def append(spark: SparkSession, path: str, names: DataFrame, cues: DataFrame, number: int, skip_existing: bool = False, max_bytes: int = MAX_TOKEN_BYTES, tokenizer=text.tokens) -> Corpus:
+    """As `update`, to a stored corpus: only what is new is written, under appended/<number>. A number that is committed already is
+    left alone, and one that was broken off is written again, so that a caller may repeat it. Gives the corpus with it."""
+    folder = f"{path}/appended/{number:012d}"
+    if folder not in _appended(spark, path):
+        added = _new(load(spark, path), names, cues, skip_existing, max_bytes, tokenizer)
+        added.lexicon.write.mode("overwrite").parquet(f"{folder}/lexicon")
+        added.lines.sortWithinPartitions("doc_id", "line_no").write.mode("overwrite").parquet(f"{folder}/lines")
+        added.tokens.sortWithinPartitions("word_id", "doc_id", "pos").write.mode("overwrite").parquet(f"{folder}/tokens")
+        added.documents.write.mode("overwrite").parquet(f"{folder}/documents")  # commits
+    return load(spark, path)

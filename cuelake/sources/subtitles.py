@@ -17,9 +17,33 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """ordinal, name, path of "name<tab>path" lines in their order; blank lines are skipped."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ordinal", "line")).where("trim(line) <> ''")
-    return text.select("ordinal", F.trim(F.split("line", "\t", 2)[0]).alias("name"), F.trim(F.split("line", "\t", 2)[1]).alias("path"))
+    """ordinal (from 0, gapless), name, path of "name<tab>path" lines in their order; blank lines are skipped."""
+    lines = spark.read.text(path).where("trim(value) <> ''").select("value", F.monotonically_increasing_id().alias("at"))
+    lines = lines.withColumn("part", F.shiftright("at", 33))
+    sizes = lines.groupBy("part").agg(F.count("*").alias("n"))  # a row for each split of the file
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = lines.join(F.broadcast(before), "part").withColumn("ordinal", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int"))
+    return placed.select("ordinal", F.trim(F.split("value", "\t", 2)[0]).alias("name"), F.trim(F.split("value", "\t", 2)[1]).alias("path"))
+
+
+def read_listed(spark: SparkSession, manifest: DataFrame, most_folders: int = 100_000) -> DataFrame:
+    """name and content of the files of a manifest. The folders that hold them are listed on the driver (at most `most_folders`;
+    more are a ValueError), and only listed files are kept; a path that has no file gives no row."""
+    # as Spark shows paths: with a scheme
+    scheme = F.when(F.col("path").rlike("^[a-z0-9]+:/"), F.regexp_replace("path", "^(file:)/+", "$1/")).otherwise(F.concat(F.lit("file:"), F.col("path")))
+    listed = manifest.select("name", scheme.alias("path"))
+    folders = [r[0] for r in listed.select(F.regexp_replace("path", "/[^/]*$", "").alias("f")).distinct().limit(most_folders + 1).collect()]
+    if len(folders) > most_folders:
+        raise ValueError("too many folders")
+    if not folders:
+        return spark.createDataFrame([], "name string, content binary")
+    files = spark.read.format("binaryFile").load(folders).select(F.regexp_replace("path", "^(file:)/+", "$1/").alias("path"), "content")
+    return files.join(listed, "path").select("name", "content")
+
+
+def in_order(manifest: DataFrame, first: int = 0) -> DataFrame:
+    """doc_id, name: ids from `first` in the manifest's order."""
+    return manifest.select((F.col("ordinal") + first).cast("int").alias("doc_id"), "name")
 
 
 def decoded(files: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -16,15 +16,13 @@ def running_counts(cues: DataFrame, max_bytes: int = corpus.MAX_TOKEN_BYTES) ->
 
 
 def append_documents(cues: DataFrame, path: str) -> DataStreamWriter:
-    """Append whole documents (name, line_no, start_ms, end_ms, line) of each batch to the corpus at `path`.
+    """Append whole documents (name, line_no, start_ms, end_ms, line) of each batch to the stored corpus at `path`.
 
-    A batch is written as a corpus version of its own under path/versions/<batch>, from the version before it, so that a batch
-    that is run again after a failure gives the same result. Names that are there already are skipped.
+    A batch writes its own documents and nothing else. Its number tells whether it is committed already, so a batch that is run
+    again after a failure adds nothing twice. Names that are there already are skipped.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        before = path if number == 0 else f"{path}/versions/{number - 1}"
-        grown = corpus.update(corpus.load(batch.sparkSession, before), batch.select("name"), batch, skip_existing=True)
-        grown.store(f"{path}/versions/{number}")
+        corpus.append(batch.sparkSession, path, batch.select("name"), batch, number, skip_existing=True)
 
     return cues.writeStream.foreachBatch(add)
