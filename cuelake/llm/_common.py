@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import re
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 ROW = "__row"
 #: Bytes of text that the numpy kernels take at a time (a longer text makes a chunk of its own).
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch that goes to a Python worker (a longer row makes a batch of its own).
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -29,8 +34,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context; they need not have it installed."""
+    """Send this package to the Python workers, once for each Spark context; they need not have it installed. Where the session
+    has Spark's default of 64 MB for Arrow batches, it gets BATCH_BYTES: rows are few, but texts may be long."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, None) in ("67108864", "67108864b", "64m", "64MB"):
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     if getattr(context, "_cuelake_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -63,7 +71,47 @@ def shared_table(frame: DataFrame, tag: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    if _open.scratches:
+        _open.scratches[-1].made.append(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+class _Open(threading.local):
+    def __init__(self):
+        self.scratches: list[Scratch] = []
+
+
+_open = _Open()
+
+
+class Scratch:
+    """Deletes the shared tables that are made within `with`, but for those that are kept; these are the enclosing scratch's, if any."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.kept = spark, [], set()
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.add(table.shared_path)
+        return table
+
+    def __enter__(self) -> Scratch:
+        _open.scratches.append(self)
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        _open.scratches.remove(self)
+        left = [p for p in self.made if p in self.kept and kind is None]
+        delete(self.spark, [p for p in self.made if p not in left])
+        if _open.scratches:
+            _open.scratches[-1].made += left
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def free_name(name: str, taken) -> str:
@@ -74,11 +122,6 @@ def free_name(name: str, taken) -> str:
     return name
 
 
-def numbered(frame: DataFrame) -> DataFrame:
-    """Add ROW, an id for each row that follows from its place in the scan (partition, then order in it)."""
-    return frame.withColumn(ROW, F.monotonically_increasing_id())
-
-
 def row_number(row: str | None):
     """The column that numbers the rows, or their place in the scan (partition, then order in it) where there is none. The latter
     holds for one scan only: it must be written before it is used twice."""
@@ -92,10 +135,38 @@ def stored_rows(docs: DataFrame) -> tuple[DataFrame, str]:
     return shared_table(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def without_rows(stored: DataFrame, row: str, dropped: DataFrame, columns: list[str]) -> DataFrame:
-    """The named columns of stored_rows but for the rows whose numbers are in `dropped` (column ROW)."""
-    gone = shared_table(dropped.select(F.col(ROW).alias(row)), "dropped")
-    return stored.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+def without_rows(docs: DataFrame, judged, dropped: str) -> DataFrame:
+    """The rows of `docs`, with all their columns, but for those for whose numbers the condition `dropped` holds in `judged(stored
+    rows, the name of their numbers)`. Rows are numbered in a copy on the shared folder, so that the ones judged and the ones
+    dropped are the same; whatever else was stored to judge them is deleted."""
+    with Scratch(docs.sparkSession) as scratch:
+        stored, row = stored_rows(docs)
+        gone = shared_table(judged(stored, row).where(dropped).select(F.col(ROW).alias(row)), "dropped")
+        scratch.keep(stored)
+        scratch.keep(gone)
+    return stored.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def lean(work):
+    """The Arrow function, giving memory that it has freed back to the system now and then: workers live on, beside those of others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, out in enumerate(work(batches)):
+            yield out
+            if i % 64 == 63:
+                _trim()
+        del batches
+        _trim()
+
+    return run
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, total: int, hot: int = 20_000) -> DataFrame:

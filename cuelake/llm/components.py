@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import join_facts, shared_table
+from ._common import Scratch, join_facts, shared_table
 
 
 def components(edges: DataFrame, most: int = 60, hot: int = 20_000) -> DataFrame:
@@ -15,22 +15,24 @@ def components(edges: DataFrame, most: int = 60, hot: int = 20_000) -> DataFrame
     logarithm of the longest path. A node with more than `hot` neighbours gets its least one by broadcast, so no task has all edges
     of a star. Edges point to ever smaller nodes and never grow in number. Loops are dropped.
     """
-    now = shared_table(_ordered(edges), "star")
-    state = _state(now)
-    for _ in range(most):
-        # large star: each neighbour above a node goes to that node's least neighbour
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = shared_table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), "least")
-        joined = join_facts(both.where("b > a"), least, ["a"], "n", 2 * state[0], hot)
-        now = shared_table(_ordered(joined.select(F.col("b").alias("a"), F.col("m").alias("b"))), "star")
-        # small star: a node's smaller neighbours, and itself, go to the least of them
-        least = shared_table(now.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
-        joined = join_facts(now, least, ["a"], "n", state[0], hot)
-        now = shared_table(_ordered(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))), "star")
-        last, state = state, _state(now)
-        if state == last:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-    raise RuntimeError(f"components did not settle in {most} rounds")
+    with Scratch(edges.sparkSession) as scratch:
+        now = shared_table(_ordered(edges), "star")
+        state = _state(now)
+        for _ in range(most):
+            # large star: each neighbour above a node goes to that node's least neighbour
+            both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = shared_table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), "least")
+            joined = join_facts(both.where("b > a"), least, ["a"], "n", 2 * state[0], hot)
+            now = shared_table(_ordered(joined.select(F.col("b").alias("a"), F.col("m").alias("b"))), "star")
+            # small star: a node's smaller neighbours, and itself, go to the least of them
+            least = shared_table(now.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+            joined = join_facts(now, least, ["a"], "n", state[0], hot)
+            now = shared_table(_ordered(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))), "star")
+            last, state = state, _state(now)
+            if state == last:
+                scratch.keep(now)
+                return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        raise RuntimeError(f"components did not settle in {most} rounds")
 
 
 def _ordered(edges: DataFrame) -> DataFrame:

@@ -1,141 +1,220 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by document: each shard (a chunk of texts in a task) stores the postings of its tokens as sorted
-lists of word positions, for the terms that the test items use. A window of test words is looked up from the term with the
-shortest list in the shard: its positions, adjusted by the term's offset, are intersected with the list of the next rarest
-term, and so on. As a match lies within one document, shards never exchange postings: one pass, no shuffle.
-
-Terms are kept as 64-bit hashes, and the words of each match are compared in the end, so matches are exact. Test items
-are broadcast in blocks of at most `block_words` words; more items make more passes, not a larger broadcast.
+The index is a stored table of segments. A segment holds the postings of all words of a run of documents (about
+SEGMENT_BYTES of text): its terms, how many places each has, and the places themselves, as gaps. Whole documents are in one
+segment, so a match never crosses two, and segments are read and searched apart from each other: no shuffle.
+
+A window of test words is looked up from its rarest term in the whole index: the places of that term, adjusted by its offset,
+are intersected with those of the next rarest, and so on. A segment looks only at windows whose rarest term it has. Terms are
+compared as strings, so matches are exact. Test items come in blocks of at most `block_words` words, which are broadcast; all
+blocks search the one stored index.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import ROW, Words, chunks, lower_ascii, numbered, read_table, shared_table, ship, text_or_empty
+from ._common import ROW, Words, chunks, lean, lower_ascii, read_table, row_number, shared_table, ship, text_or_empty, without_rows
 
-_FILTER_BITS = 20
+#: Bytes of text in a segment (a longer text is a segment of its own).
+SEGMENT_BYTES = 4 << 20
 #: Words that a proximity match of op6_near_matches may have beyond those of the window.
 NEAR_SLOP = 5
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers under 2**35 in seven bits a byte, lowest first, with the high bit set on all but a number's last byte."""
+    size = np.ones(len(numbers), np.int64)
+    for k in range(1, 5):
+        size += numbers >= 1 << 7 * k
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(5):
+        some = np.flatnonzero(size > k)
+        out[start[some] + k] = (numbers[some] >> 7 * k & 127) | ((size[some] > k + 1) << 7)
+    return out.tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    data = np.frombuffer(packed, np.uint8)
+    ends = np.flatnonzero(data < 128)
+    start = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    out, size = (data[start] & 127).astype(np.int64), ends - start + 1
+    for k in range(1, 5):
+        some = np.flatnonzero(size > k)
+        out[some] |= (data[start[some] + k] & 127).astype(np.int64) << 7 * k
+    return out
+
+
+@dataclass
+class Segment:
+    """Postings of a run of documents: `first` has each document's first word (n + 1 numbers), `counts` the places of each term."""
+
+    first: np.ndarray
+    terms: pa.Array
+    counts: np.ndarray
+    places: np.ndarray
+
+    @staticmethod
+    def of(column: pa.Array) -> Segment:
+        words = Words(column)
+        size = (words.end - words.start).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        inside = np.zeros(len(words.low) + 1, np.int8)
+        inside[words.start] += 1
+        inside[words.end] -= 1
+        spelled = words.low[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+        kind, wide = (pa.string(), np.int32) if offsets[-1] < 1 << 31 else (pa.large_string(), np.int64)
+        text = pa.Array.from_buffers(kind, len(size), [None, pa.py_buffer(offsets.astype(wide)), pa.py_buffer(spelled)])
+        coded = pc.dictionary_encode(text)
+        codes = coded.indices.to_numpy()
+        order = np.argsort(codes.astype(np.uint16) if len(coded.dictionary) < 1 << 16 else codes, kind="stable")
+        return Segment(words.first, coded.dictionary, np.bincount(codes, minlength=len(coded.dictionary)), order)
+
+    def gaps(self) -> np.ndarray:
+        gaps = np.diff(self.places, prepend=0)
+        begin = (np.cumsum(self.counts) - self.counts)[self.counts > 0]
+        gaps[begin] = self.places[begin]
+        return gaps
+
+    @staticmethod
+    def from_gaps(first: np.ndarray, terms: pa.Array, counts: np.ndarray, gaps: np.ndarray) -> Segment:
+        total = np.cumsum(gaps)
+        begin = np.cumsum(counts) - counts
+        before = np.concatenate([[0], total])[begin]
+        return Segment(first, terms, counts, total - np.repeat(before, counts))
+
+
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """The stored index: a row per segment with its documents' ROW and doc_id, `first`, `terms`, `counts` and `places` (packed gaps).
+
+    ROW is the number in column `row` of `docs`, or the row's place in the one scan that is made.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(row_number(row).alias(ROW), F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(text).alias("text"))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = lambda values, kind=None: pa.array([values], kind)
+        for batch in batches:
+            for part in chunks(batch, most=SEGMENT_BYTES):
+                own = Segment.of(part.column(2))
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(k)) for k in range(2)]
+                terms = pa.ListArray.from_arrays(pa.array([0, len(own.terms)], pa.int32()), own.terms.cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([*lists, one(own.first, pa.list_(pa.int64())), terms, one(own.counts, pa.list_(pa.int64())), one(pack(own.gaps()), pa.binary())], [ROW, "doc_id", "first", "terms", "counts", "places"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    return shared_table(rows.mapInArrow(lean(index), f"{ROW} array<long>, doc_id array<{kind}>, first array<long>, terms array<string>, counts array<long>, places binary"), "postings")
+
+
 class Phrases:
-    """Windows of the test items and their vocabulary."""
+    """Windows of the test items, in the order of their rarest terms once these are known."""
 
     def __init__(self, items: list[tuple[object, str]], window: int):
-        self.terms: dict[bytes, int] = {}
-        hashes: list[int] = []
+        numbers: dict[bytes, int] = {}
         windows: dict[tuple[int, ...], set] = defaultdict(set)
         for item, text in items:
             words = Words(pa.array([text or ""]))
-            h = words.hashes()
-            ids = []
-            for i in range(len(words)):
-                w = words.text(i)
-                if w not in self.terms:
-                    self.terms[w] = len(self.terms)
-                    hashes.append(int(h[i]))
-                ids.append(self.terms[w])
+            ids = [numbers.setdefault(words.text(i), len(numbers)) for i in range(len(words))]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                windows[tuple(ids[at : at + window])].add(item)
-        self.spelled = list(self.terms)
-        self.windows = sorted(windows)
-        self.items = [sorted(windows[w], key=str) for w in self.windows]
-        order = np.argsort(np.array(hashes, np.uint64), kind="stable") if hashes else np.zeros(0, np.int64)
-        self.hashes, self.of_hash = np.array(hashes, np.uint64)[order], order
-        self.near = np.zeros(1 << _FILTER_BITS, bool)
-        self.near[(self.hashes & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        self.width = max([1, *map(len, self.windows)])
-        self.table = np.full((len(self.windows), self.width), -1, np.int64)
-        for i, w in enumerate(self.windows):
+                windows[tuple(ids[at : at + window])].add(str(item))
+        self.terms = pa.array([t.decode("utf-8") for t in numbers], pa.string())
+        order = sorted(windows)
+        self.items = [sorted(windows[w]) for w in order]
+        self.length = np.array([len(w) for w in order], np.int64)
+        self.table = np.full((len(order), max([1, *map(len, order)])), -1, np.int64)
+        for i, w in enumerate(order):
             self.table[i, : len(w)] = w
 
-
-class ShardIndex:
-    """Positional postings of a chunk of texts, for the terms of `phrases`."""
-
-    def __init__(self, words: Words, phrases: Phrases):
-        self.words, self.phrases = words, phrases
-        h = words.hashes()
-        some = np.flatnonzero(phrases.near[(h & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
-        if len(some) and len(phrases.hashes):
-            at = np.minimum(np.searchsorted(phrases.hashes, h[some]), len(phrases.hashes) - 1)
-            same = phrases.hashes[at] == h[some]
-            some, terms = some[same], phrases.of_hash[at[same]]
-        else:
-            some, terms = some[:0], some[:0]
-        self.term_at = np.full(len(words), -1, np.int64)
-        self.term_at[some] = terms
-        order = np.argsort(terms, kind="stable")
-        self.positions = some[order]
-        self.count = np.bincount(terms, minlength=len(phrases.terms))
+    def plan(self, counts: np.ndarray) -> None:
+        """Given how often each term stands in the index: keep windows whose terms all do, and the order in which each is looked up."""
+        seen = np.where(self.table >= 0, counts[np.maximum(self.table, 0)], np.iinfo(np.int64).max)
+        live = np.flatnonzero(seen.min(axis=1) > 0) if len(seen) else np.zeros(0, np.int64)
+        offsets = np.argsort(seen[live], axis=1, kind="stable")
+        lead = self.table[live, offsets[:, 0]] if len(live) else live
+        order = np.argsort(lead, kind="stable")
+        live = live[order]
+        self.items, self.length, self.table, self.offsets = [self.items[i] for i in live], self.length[live], self.table[live], offsets[order]
+        self.of_lead = np.searchsorted(lead[order], np.arange(len(self.terms) + 1))  # where the windows of each rarest term begin
+
+
+class Search:
+    """The postings of a segment for the terms of `phrases`."""
+
+    def __init__(self, segment: Segment, phrases: Phrases):
+        self.first, self.phrases = segment.first, phrases
+        self.words = int(segment.first[-1])
+        term = pc.fill_null(pc.index_in(segment.terms, value_set=phrases.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        some = np.flatnonzero(term >= 0)
+        some = some[np.argsort(term[some])]
+        self.count = np.zeros(len(phrases.terms), np.int64)
+        self.count[term[some]] = segment.counts[some]
         self.begin = np.concatenate([[0], np.cumsum(self.count)])
+        starts = (np.cumsum(segment.counts) - segment.counts)[some]
+        n = segment.counts[some]
+        self.places = segment.places[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        self.term_at = np.full(self.words, -1, np.int64)
+        self.term_at[self.places] = np.repeat(term[some], n)
 
-    def _from_rarest(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Windows all of whose terms occur, and their offsets from the rarest term on (unused places last)."""
-        table = self.phrases.table
-        if not len(table) or not len(self.positions):
-            return
-        counts = np.where(table >= 0, self.count[np.maximum(table, 0)], np.iinfo(np.int64).max)
-        live = np.flatnonzero(counts.min(axis=1) > 0)
-        if len(live):
-            yield live, np.argsort(counts[live], axis=1, kind="stable"), self.phrases.length[live]
+    def _candidates(self) -> np.ndarray:
+        """Windows whose rarest term is here."""
+        lead = np.flatnonzero(self.count > 0)
+        begin, n = self.phrases.of_lead[lead], self.phrases.of_lead[lead + 1] - self.phrases.of_lead[lead]
+        return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+    def document(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, places, side="right") - 1
 
     def phrase_matches(self) -> tuple[np.ndarray, np.ndarray]:
-        """Window numbers and first words (places in the chunk) of all exact occurrences."""
-        for live, offsets, lengths in self._from_rarest():
-            lead = self.phrases.table[live, offsets[:, 0]]
-            n = self.count[lead]
-            which = np.repeat(np.arange(len(live)), n)
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[lead], n)
-            start = self.positions[place] - offsets[which, 0]
-            fits = (start >= 0) & (start + lengths[which] <= len(self.words))
-            which, start = which[fits], start[fits]
-            inside = self.words.row[start] == self.words.row[start + lengths[which] - 1]
-            which, start = which[inside], start[inside]
-            for k in range(1, self.phrases.width):
-                if not len(which):
-                    break
-                offset = offsets[which, k]
-                used = k < lengths[which]
-                at = start + np.where(used, offset, 0)
-                same = ~used | (self.term_at[at] == self.phrases.table[live[which], offset])
-                which, start = which[same], start[same]
-            exact = np.array([self._same(live[w], s) for w, s in zip(which, start, strict=True)], bool)
-            return live[which][exact], start[exact]
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _same(self, window: int, start: int) -> bool:
-        return all(self.words.text(start + k) == self.phrases.spelled[t] for k, t in enumerate(self.phrases.windows[window]))
+        """Window numbers and first words (places in the segment) of all exact occurrences."""
+        table, length = self.phrases.table, self.phrases.length
+        live = self._candidates()
+        lead = table[live, self.phrases.offsets[live, 0]] if len(live) else live
+        n = self.count[lead]
+        which = np.repeat(live, n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[lead], n)
+        start = self.places[place] - self.phrases.offsets[which, 0]
+        fits = (start >= 0) & (start + length[which] <= self.words)
+        which, start = which[fits], start[fits]
+        for k in range(1, table.shape[1]):
+            if not len(which):
+                break
+            offset = self.phrases.offsets[which, k]
+            used = k < length[which]
+            same = ~used | (self.term_at[start + np.where(used, offset, 0)] == table[which, offset])
+            which, start = which[same], start[same]
+        inside = self.document(start) == self.document(start + length[which] - 1)
+        return which[inside], start[inside]
 
     def proximity_matches(self, slop: int) -> list[tuple[int, int, int]]:
         """(window number, first word, words) of least spans that hold all terms of a window within its length plus slop."""
         found = set()
-        for live, offsets, lengths in self._from_rarest():
-            for i, w in enumerate(live):
-                terms = list(dict.fromkeys(self.phrases.table[w, offsets[i, : lengths[i]]].tolist()))
-                reach = int(lengths[i]) + slop
-                lists = [self.positions[self.begin[t] : self.begin[t + 1]] for t in terms]
-                lead = lists[0]
-                for other in lists[1:]:  # drop places of the rarest term with no posting of another near them
-                    lead = lead[np.searchsorted(other, lead + reach) > np.searchsorted(other, lead - reach + 1)]
-                for p in lead.tolist():
-                    row = self.words.row[p]
-                    low, high = max(p - reach + 1, self.words.first[row]), min(p + reach, self.words.first[row + 1])
-                    near = [(int(x), t) for t, ps in zip(terms, lists, strict=True) for x in ps[np.searchsorted(ps, low) : np.searchsorted(ps, high)] if self.words.text(int(x)) == self.phrases.spelled[t]]
-                    last: dict[int, int] = {}
-                    for x, t in sorted(near):
-                        last[t] = x
-                        if len(last) == len(terms) and x - (a := min(last.values())) < reach:
-                            found.add((int(w), a, x - a + 1))
+        table, length = self.phrases.table, self.phrases.length
+        for w in self._candidates().tolist():
+            terms = list(dict.fromkeys(table[w, self.phrases.offsets[w, : length[w]]].tolist()))
+            if not self.count[terms].all():
+                continue
+            reach = int(length[w]) + slop
+            lists = [self.places[self.begin[t] : self.begin[t + 1]] for t in terms]
+            lead = lists[0]
+            for other in lists[1:]:  # drop places of the rarest term with no posting of another near them
+                lead = lead[np.searchsorted(other, lead + reach) > np.searchsorted(other, lead - reach + 1)]
+            for p in lead.tolist():
+                row = int(self.document(p))
+                low, high = max(p - reach + 1, self.first[row]), min(p + reach, self.first[row + 1])
+                near = [(int(x), t) for t, ps in zip(terms, lists, strict=True) for x in ps[np.searchsorted(ps, low) : np.searchsorted(ps, high)]]
+                last: dict[int, int] = {}
+                for x, t in sorted(near):
+                    last[t] = x
+                    if len(last) == len(terms) and x - (a := min(last.values())) < reach:
+                        found.add((w, a, x - a + 1))
         return sorted(found)
 
 
@@ -155,62 +234,86 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) ->
         yield [(r["__i"], r["__t"]) for r in own.select("__i", "__t").collect()]
 
 
-def _matched(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int | None = None, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = 2_000_000) -> tuple[DataFrame, int]:
-    """One row per document and block of items: ROW, doc_id, n_words, spans (first word, words: merged, in order) and items.
+def _segment(index: pa.RecordBatch, i: int) -> Segment:
+    own = {name: index.column(index.schema.get_field_index(name))[i] for name in ("first", "terms", "counts", "places")}
+    numbers = lambda name: own[name].values.to_numpy()
+    return Segment.from_gaps(numbers("first"), own["terms"].values, numbers("counts"), unpack(own["places"].as_py()))
+
+
+def _term_counts(index: DataFrame, terms: pa.Array) -> np.ndarray:
+    """How often each term stands in the index, from its terms and counts alone."""
+    shared = index.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            term = pc.fill_null(pc.index_in(batch.column(0).flatten(), value_set=shared.value), -1).to_numpy(zero_copy_only=False)
+            some = np.flatnonzero(term >= 0)
+            own += np.bincount(term[some], weights=batch.column(1).flatten().to_numpy()[some], minlength=len(own)).astype(np.int64)
+        some = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[some])], ["term", "n"])
+
+    out = np.zeros(len(terms), np.int64)
+    for term, n in index.select("terms", "counts").mapInArrow(lean(count), "term long, n long").groupBy("term").agg(F.sum("n")).collect():  # the terms of a block
+        out[term] = n
+    return out
+
+
+def matched_spans(index: DataFrame, benchmark: DataFrame, window: int = 10, slop: int | None = None, item_id: str = "item_id", item_text: str = "text", block_words: int = 2_000_000) -> tuple[DataFrame, int]:
+    """One row per document and block of items: ROW, doc_id, n_words, spans (first word, words: merged, in order) and items; and
+    the number of blocks.
 
     A window is `window` consecutive words of an item; an item of fewer, but not none, is one window. With a slop, spans are
     proximity matches: all words of a window, in any order, within its length plus slop. Words are of the lower-cased (A-Z)
-    text; null has none. An empty table of documents gives no rows; without items no document has spans.
+    text; null has none. Repeated rows are judged each, whole texts always. An empty table of documents gives no rows; without
+    items no document has spans.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    rows = numbered(docs).select(ROW, F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    spark = index.sparkSession
+    kind = index.schema["doc_id"].dataType.elementType.simpleString()
+    arrow = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
     out, blocks = None, 0
     for items in _blocks(benchmark, item_id, item_text, block_words):
         blocks += 1
-        shared = spark.sparkContext.broadcast(items)
+        phrases = Phrases(items, window)
+        phrases.plan(_term_counts(index, phrases.terms))
+        shared = spark.sparkContext.broadcast(phrases)
 
         def scan(batches, shared=shared):
-            phrases = Phrases(shared.value, window)
+            phrases = shared.value
             for batch in batches:
-                for part in chunks(batch):
-                    words = Words(part.column(2))
-                    index = ShardIndex(words, phrases)
+                for i in range(batch.num_rows):
+                    segment = _segment(batch, i)
+                    search = Search(segment, phrases)
                     if slop is None:
-                        which, start = index.phrase_matches()
-                        hits = zip(which.tolist(), start.tolist(), phrases.length[which].tolist(), strict=True)
+                        which, start = search.phrase_matches()
+                        hits = list(zip(which.tolist(), start.tolist(), phrases.length[which].tolist(), strict=True))
                     else:
-                        hits = index.proximity_matches(slop)
+                        hits = search.proximity_matches(slop)
                     spans: dict[int, list] = defaultdict(list)
                     found: dict[int, set] = defaultdict(set)
-                    for w, s, n in sorted(hits, key=lambda x: x[1]):
-                        row = int(words.row[s])
-                        own, s = spans[row], s - int(words.first[row])
+                    documents = search.document(np.array([s for _, s, _ in hits], np.int64)).tolist()
+                    for (w, s, n), row in sorted(zip(hits, documents, strict=True), key=lambda x: x[0][1]):
+                        own, s = spans[row], s - int(segment.first[row])
                         found[row].update(phrases.items[w])
                         if own and own[-1][0] + own[-1][1] >= s:
                             own[-1] = (own[-1][0], max(own[-1][1], s + n - own[-1][0]))
                         else:
                             own.append((s, n))
-                    n_words = np.diff(words.first)
-                    spans_type = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
-                    values = [[{"first": a, "words": b} for a, b in spans.get(r, ())] for r in range(part.num_rows)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(values, spans_type), pa.array([sorted(map(str, found.get(r, ()))) for r in range(part.num_rows)], pa.list_(pa.string()))], [ROW, "doc_id", "n_words", "spans", "items"])
+                    rows, ids = batch.column(0)[i].values, batch.column(1)[i].values
+                    values = [[{"first": a, "words": b} for a, b in spans.get(r, ())] for r in range(len(rows))]
+                    yield pa.RecordBatch.from_arrays([rows, ids, pa.array(np.diff(segment.first), pa.int64()), pa.array(values, arrow), pa.array([sorted(found.get(r, ())) for r in range(len(rows))], pa.list_(pa.string()))], [ROW, "doc_id", "n_words", "spans", "items"])
 
-        kind = dict(rows.dtypes)["doc_id"]
-        part = rows.mapInArrow(scan, f"{ROW} long, doc_id {kind}, n_words long, spans array<struct<first: long, words: long>>, items array<string>")
+        part = index.mapInArrow(lean(scan), f"{ROW} long, doc_id {kind}, n_words long, spans array<struct<first: long, words: long>>, items array<string>")
         out = part if out is None else out.unionByName(part)
     return out, blocks
 
 
-def matched_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The matches themselves; see _matched for the columns and the options."""
-    return _matched(docs, benchmark, **options)[0]
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None, index: DataFrame | None = None, **options) -> DataFrame:
     """One row per document: ROW, doc_id, n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256 (of
-    the item ids, sorted as strings and comma-joined), contaminated. Repeated rows are judged each. Options: matched_spans."""
-    spans, blocks = _matched(docs, benchmark, **options)
+    the item ids, sorted as strings and comma-joined), contaminated. Options and cases are those of matched_spans. An index
+    that build_index made of `docs` may be given; other columns of `docs`, whatever their names, are not read. A document
+    longer than a segment is one of its own."""
+    spans, blocks = matched_spans(build_index(docs, doc_id, text, row) if index is None else index, benchmark, **options)
     # one row for each document unless there are several blocks of items; a document's spans are bounded by its words
     merged = spans
     if blocks > 1:
@@ -222,6 +325,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return merged.select(ROW, "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join(F.array_sort("items"), ","), "UTF-8"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that decontaminate finds clean, with all their columns."""
+    return without_rows(docs, lambda stored, row: decontaminate(stored, benchmark, row=row, **options), "contaminated")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text")).drop(ROW)
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import ROW, lower_ascii, read_table, row_number, shared_table, stored_rows, text_or_empty, without_rows
+from ._common import ROW, Scratch, lower_ascii, read_table, row_number, shared_table, text_or_empty, without_rows
 
 
 def hot_hashes(rows: DataFrame, key: Column, total: int, hot: int) -> DataFrame:
@@ -78,12 +78,13 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     its place in the one scan that is made. A null doc_id is smaller than any other. Long texts are more blocks and more
     levels of names, nothing else. An empty table gives no rows; other columns, whatever their names, are not read.
     """
-    cut = cut_texts(docs, doc_id, text, block_bytes, row)
-    names, total = text_names(cut, hot)
-    rows = shared_table(cut.where("at = 0").select(ROW, "doc_id", "text_sha256").join(names, ROW), "texts")
-    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), (-F.col(ROW)).alias("row")))
-    groups = rows.groupBy("blocks", "name").agg(F.count("*").alias("group_size"), best.alias("best"))
-    groups = shared_table(groups.where("group_size > 1").select("blocks", "name", "group_size", F.col("best.id").alias("keep_id"), (-F.col("best.row")).alias("keep_row")), "groups")
+    with Scratch(docs.sparkSession) as scratch:
+        cut = cut_texts(docs, doc_id, text, block_bytes, row)
+        names, total = text_names(cut, hot)
+        rows = scratch.keep(shared_table(cut.where("at = 0").select(ROW, "doc_id", "text_sha256").join(names, ROW), "texts"))
+        best = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), (-F.col(ROW)).alias("row")))
+        groups = rows.groupBy("blocks", "name").agg(F.count("*").alias("group_size"), best.alias("best"))
+        groups = scratch.keep(shared_table(groups.where("group_size > 1").select("blocks", "name", "group_size", F.col("best.id").alias("keep_id"), (-F.col("best.row")).alias("keep_row")), "groups"))
     # groups of many rows are joined by broadcast (fewer than rows / hot), all others by shuffle
     large = F.col("group_size") > max(hot, total // 100_000)
     rename = lambda g, x: g.select(*[F.col(c).alias(f"{x}_{c}") for c in g.columns])
@@ -97,10 +98,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that exact_dedup keeps, with all their columns. Rows are numbered in a copy on the shared folder, so
-    that the ones judged and the ones dropped are the same."""
-    stored, row = stored_rows(docs)
-    return without_rows(stored, row, exact_dedup(stored, row=row, **options).where("NOT kept"), docs.columns)
+    """The rows of `docs` that exact_dedup keeps, with all their columns."""
+    return without_rows(docs, lambda stored, row: exact_dedup(stored, row=row, **options), "NOT kept")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

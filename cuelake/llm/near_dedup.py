@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import CHUNK_BYTES, ROW, Words, chunks, join_facts, mix, read_table, row_number, shared_table, ship, stored_rows, text_or_empty, windows, without_rows
+from ._common import CHUNK_BYTES, ROW, Scratch, Words, chunks, join_facts, lean, mix, read_table, row_number, shared_table, ship, text_or_empty, windows, without_rows
 from .components import components
 
 #: Bits to which a trie's nodes are counted: at most 2**REGION numbers for each trie come to the driver and go to the workers.
@@ -194,7 +194,7 @@ def _grown(classes: DataFrame, total: int, capacity: int, distance: int, target:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[some])], ["node", "n"])
 
     counts = np.zeros(forest.tries * size, np.int64)
-    for node, n in classes.select(*PRINT).mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n")).collect():  # tries x 2**REGION at most
+    for node, n in classes.select(*PRINT).mapInArrow(lean(count), "node long, n long").groupBy("node").agg(F.sum("n")).collect():  # tries x 2**REGION at most
         counts[node] = n
     forest.grow(counts.reshape(forest.tries, size))
     return forest, counts.reshape(forest.tries, size)
@@ -223,9 +223,9 @@ def _search(classes: DataFrame, forest: Forest, counts: np.ndarray, distance: in
         return rows
 
     source = classes.select("rep", *PRINT)
-    planted = source.mapInArrow(plant(False), "key long, rep long, f0 long, f1 long, f2 long, f3 long")
+    planted = source.mapInArrow(lean(plant(False)), "key long, rep long, f0 long, f1 long, f2 long, f3 long")
     # dense leaves are cut into blocks, and every pair of blocks is a group of its own
-    dense = source.mapInArrow(plant(True), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    dense = source.mapInArrow(lean(plant(True)), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     dense = shared_table(dense.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "dense")
     n_dense = dense.count()
     rows = planted.withColumn("cell", F.lit(0).cast("long"))
@@ -261,7 +261,7 @@ def _search(classes: DataFrame, forest: Forest, counts: np.ndarray, distance: in
         if held:
             yield judge(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(compare, "rep long, links long, label long")
+    return rows.mapInArrow(lean(compare), "rep long, links long, label long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 48, capacity: int = 1024, target: float = 0.99, block: int = 4096, hot: int = 20_000, seed: int = 3, row: str | None = None) -> DataFrame:
@@ -286,19 +286,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *[pa.array(prints[:, k]) for k in range(4)]], [ROW, "doc_id", *PRINT])
 
     kind = dict(rows.dtypes)["doc_id"]
-    prints = shared_table(rows.mapInArrow(encode, f"{ROW} long, doc_id {kind}, f0 long, f1 long, f2 long, f3 long"), "prints")
-    classes = prints.groupBy(*PRINT).agg(F.count("*").alias("class_size"), F.min(F.struct(ROW, "doc_id")).alias("one"))
-    classes = shared_table(classes.select("class_size", F.col(f"one.{ROW}").alias("rep"), F.col("one.doc_id").alias("class_id"), *PRINT), "classes")
-    total, documents = classes.agg(F.count("*"), F.coalesce(F.sum("class_size"), F.lit(0))).first()
-    forest, counts = _grown(classes, total, capacity, distance, target, seed)
-    found = shared_table(_search(classes, forest, counts, distance, block), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    roots = components(found.select(F.col("rep").alias("a"), F.col("label").alias("b")))
-    linked = _with_recall(classes, forest).join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    linked = shared_table(linked.select(*PRINT, "class_size", "rep", "class_id", "recall", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "rep").alias("root")), "linked")
-    firsts = F.max(F.when(F.col("rep") == F.col("root"), F.struct("class_id"))).getField("class_id")
-    groups = linked.groupBy("root").agg(F.sum("class_size").alias("group_size"), F.count("*").alias("group_classes"), firsts.alias("group_id"))
-    facts = shared_table(join_facts(linked, groups, ["root"], "group_classes", total, hot), "groups")
+    with Scratch(docs.sparkSession) as scratch:
+        prints = scratch.keep(shared_table(rows.mapInArrow(lean(encode), f"{ROW} long, doc_id {kind}, f0 long, f1 long, f2 long, f3 long"), "prints"))
+        classes = prints.groupBy(*PRINT).agg(F.count("*").alias("class_size"), F.min(F.struct(ROW, "doc_id")).alias("one"))
+        classes = shared_table(classes.select("class_size", F.col(f"one.{ROW}").alias("rep"), F.col("one.doc_id").alias("class_id"), *PRINT), "classes")
+        total, documents = classes.agg(F.count("*"), F.coalesce(F.sum("class_size"), F.lit(0))).first()
+        forest, counts = _grown(classes, total, capacity, distance, target, seed)
+        found = shared_table(_search(classes, forest, counts, distance, block), "links")
+        links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
+        roots = components(found.select(F.col("rep").alias("a"), F.col("label").alias("b")))
+        linked = _with_recall(classes, forest).join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        linked = shared_table(linked.select(*PRINT, "class_size", "rep", "class_id", "recall", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "rep").alias("root")), "linked")
+        firsts = F.max(F.when(F.col("rep") == F.col("root"), F.struct("class_id"))).getField("class_id")
+        groups = linked.groupBy("root").agg(F.sum("class_size").alias("group_size"), F.count("*").alias("group_classes"), firsts.alias("group_id"))
+        facts = scratch.keep(shared_table(join_facts(linked, groups, ["root"], "group_classes", total, hot), "groups"))
     out = join_facts(prints, facts, PRINT, "class_size", documents, hot)
     return out.select(ROW, "doc_id", "class_id", "class_size", "n_links", "recall", "group_id", "group_size", (F.col(ROW) == F.col("root")).alias("kept"))
 
@@ -311,14 +312,12 @@ def _with_recall(classes: DataFrame, forest: Forest) -> DataFrame:
             parts = [shared.value.recall(_prints(batch.slice(at, 4096))) for at in range(0, batch.num_rows, 4096)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], [*batch.schema.names, "recall"])
 
-    return classes.mapInArrow(rate, T.StructType([*classes.schema.fields]).add("recall", "double"))
+    return classes.mapInArrow(lean(rate), T.StructType([*classes.schema.fields]).add("recall", "double"))
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` of which near_duplicates keeps one per group, with all their columns. Rows are numbered in a copy on
-    the shared folder, so that the ones judged and the ones dropped are the same."""
-    stored, row = stored_rows(docs)
-    return without_rows(stored, row, near_duplicates(stored, row=row, **options).where("NOT kept"), docs.columns)
+    """The rows of `docs` of which near_duplicates keeps one per group, with all their columns."""
+    return without_rows(docs, lambda stored, row: near_duplicates(stored, row=row, **options), "NOT kept")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
