@@ -2,7 +2,8 @@
 
 The words of all licence templates make one suffix automaton. A file is streamed through it: at each word the state gives
 the longest run of words ending there that occurs in a template (the matching statistic), and where. Long matches are
-chained, per template, into spans that keep the template's order; a template that is covered far enough gives its label.
+chained, per template, into spans that keep the template's order: of all chains, those that cover most of the template. A
+template that is covered far enough gives its label.
 
 Streaming skips words that no template has: a vectorised pass finds the runs in which every pair of neighbours also stands
 in a template, and only runs that could hold a long match enter the automaton, from its initial state. Words are compared
@@ -17,36 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import Words, chunks, read_table, ship, with_id
+from ._common import Words, chunks, lean, read_table, ship, with_id
+from .license_texts import TEMPLATES
 
 #: Phrases whose every place is reported, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: (label, text): sentences and notices by which licences are given or told.
-TEMPLATES = (
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
-    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("bsd", "Released under the BSD License."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("unlicense", "This is free and unencumbered software released into the public domain."),
-    ("cc-by", "Licensed under CC BY 4.0."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nd", "Licensed under CC BY-ND 4.0."),
-    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0."),
-    ("cc0", "Released under CC0 1.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-)
 
 
 class TokenAutomaton:
@@ -111,8 +87,8 @@ class TokenAutomaton:
 class Scanner:
     """Templates and base phrases, ready to scan chunks of texts."""
 
-    def __init__(self, templates=TEMPLATES, base=BASE, least: int = 3, gap: int = 4, cover: float = 0.6, long_cover: int = 12):
-        self.least, self.gap, self.cover, self.long_cover = least, gap, cover, long_cover
+    def __init__(self, templates=TEMPLATES, base=BASE, least: int = 3, gap: int = 6, cover: float = 0.6):
+        self.least, self.gap, self.cover = least, gap, cover
         self.labels = [label for label, _ in templates]
         words = Words(pa.array([t for _, t in templates] + [p for p, _ in base], pa.string()))
         spelled = [words.text(i) for i in range(len(words))]
@@ -129,11 +105,27 @@ class Scanner:
         self.hashes, self.of_hash = np.array(hashes, np.uint64)[order], order
         self.near = np.zeros(1 << 16, bool)
         self.near[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
-        self.pair = np.zeros((self.size + 1, self.size + 1), bool)
-        for s in self.sequences:
-            self.pair[s[:-1], s[1:]] = True
+        pairs = {a * (self.size + 1) + b for s in self.sequences for a, b in zip(s, s[1:])}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.near_pair = np.zeros(1 << 20, bool)
+        self.near_pair[self._bucket(self.pairs)] = True
         self.automaton = TokenAutomaton(self.sequences)
 
+    @staticmethod
+    def _bucket(pairs: np.ndarray) -> np.ndarray:
+        return (pairs * 0x9E3779B1 >> 8) & 0xFFFFF
+
+    def linked(self, numbers: np.ndarray) -> np.ndarray:
+        """Whether each word and the next stand side by side in a template, too."""
+        pairs = numbers[:-1] * (self.size + 1) + numbers[1:]
+        out = np.zeros(len(pairs), bool)
+        some = np.flatnonzero((numbers[:-1] < self.size) & (numbers[1:] < self.size))
+        some = some[self.near_pair[self._bucket(pairs[some])]]
+        if len(some) and len(self.pairs):
+            at = np.minimum(np.searchsorted(self.pairs, pairs[some]), len(self.pairs) - 1)
+            out[some] = self.pairs[at] == pairs[some]
+        return out
+
     def numbers(self, words: Words) -> np.ndarray:
         """The vocabulary number of each word, or its size where the vocabulary lacks it."""
         out = np.full(len(words), self.size, np.int64)
@@ -162,41 +154,61 @@ class Scanner:
         return out
 
     def matches(self, words: Words, numbers: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(first word, length, template, place in it) of all maximal matches of at least `least` words."""
+        """(first word, length, template, place in it) of all matches of at least `least` words that can't be made longer at
+        either end."""
         if len(words) < 2:
             return
-        linked = self.pair[numbers[:-1], numbers[1:]] & (words.row[:-1] == words.row[1:])
+        linked = self.linked(numbers) & (words.row[:-1] == words.row[1:])
         edge = np.diff(np.concatenate([[0], linked.astype(np.int8), [0]]))
         begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         long = ends - begins >= self.least - 1
         for a, b in zip(begins[long].tolist(), ends[long].tolist(), strict=True):
             if not self._spelled(words, numbers, a, b + 1 - a):
                 continue
-            found = self.automaton.statistics(numbers[a : b + 1].tolist())
-            for i, (length, state) in enumerate(found):
-                if length >= self.least and (i + 1 == len(found) or found[i + 1][0] <= length):
-                    for template, end in self.automaton.ends[state]:
-                        yield a + i + 1 - length, length, template, end - length
+            run = numbers[a : b + 1].tolist()
+            for i, (length, state) in enumerate(self.automaton.statistics(run)):
+                after = run[i + 1] if i + 1 < len(run) else -1
+                seen: set[tuple[int, int]] = set()
+                while length >= self.least:  # the longest match, then shorter ones of templates that don't have it
+                    for template, end in self.automaton.ends[state] - seen:
+                        own = self.sequences[template]
+                        if end == len(own) or own[end] != after:
+                            yield a + i + 1 - length, length, template, end - length
+                    seen = self.automaton.ends[state]
+                    state = self.automaton.link[state]
+                    length = self.automaton.length[state]
 
     def chains(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """(first word, words, template, covered words): matches of one text chained in the order of each template."""
+        """(first word, words, template, covered words) of the best chains of one text's matches.
+
+        A chain takes matches in the order of the text and of the template; from the end of one to the begin of the next are at
+        most `gap` words of the text, however many of the template. A match that overlaps the one before counts for what lies
+        beyond it in both. Of each template's chains the one that covers most is taken, of equal ones the first and shortest,
+        then the best of those that don't overlap it, and so on.
+        """
         out = []
         by: dict[int, list[tuple[int, int, int]]] = {}
-        for start, length, template, place in sorted(matches):
+        for start, length, template, place in matches:
             by.setdefault(template, []).append((start, length, place))
         for template, own in by.items():
-            chain: list[int] = []  # first, end, place's end, covered
-            for start, length, place in own:
-                if chain and place + length > chain[2] and place >= chain[2] - self.gap and chain[1] - self.gap <= start <= chain[1] + self.gap and start + length > chain[1]:
-                    chain[3] += min(place + length - chain[2], start + length - chain[1], length)
-                    chain[1], chain[2] = start + length, place + length
-                    continue
-                if chain and start + length <= chain[1] and length < chain[3]:
-                    continue  # inside a longer one
-                if chain:
-                    out.append((chain[0], chain[1] - chain[0], template, chain[3]))
-                chain = [start, start + length, place + length, length]
-            out.append((chain[0], chain[1] - chain[0], template, chain[3]))
+            own.sort()
+            longest = max(n for _, n, _ in own)
+            best: list[tuple[int, int]] = []  # covered words, minus the first word, of the best chain that ends with each match
+            for i, (start, length, place) in enumerate(own):
+                top = (length, -start)
+                for j in range(i - 1, -1, -1):
+                    s, n, q = own[j]
+                    if s + longest + self.gap < start:
+                        break
+                    more = min(length, start + length - (s + n), place + length - (q + n))
+                    if more > 0 and q <= place and start - (s + n) <= self.gap:
+                        top = max(top, (best[j][0] + more, best[j][1]))
+                best.append(top)
+            taken: list[tuple[int, int]] = []
+            for covered, first, end in sorted(((c, f, own[i][0] + own[i][1]) for i, (c, f) in enumerate(best)), key=lambda x: (-x[0], -x[1], x[2])):
+                if all(end <= a or -first >= b for a, b in taken):
+                    taken.append((-first, end))
+                    out.append((-first, end + first, template, covered))
         return out
 
     def scan(self, column: pa.Array) -> list[dict]:
@@ -214,7 +226,7 @@ class Scanner:
         for row, matches in by.items():
             for start, n, template, covered in self.chains(matches):
                 share = min(1.0, covered / len(self.sequences[template]))
-                if share >= self.cover or covered >= self.long_cover:
+                if share >= self.cover:
                     found[row]["spans"].append((start - int(first[row]), n, self.labels[template], share))
         for one in found:
             # a template that lies inside a longer span of another one tells nothing of its own
@@ -231,8 +243,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE, doc_id: str =
     stands) and spans (first, words, label, coverage).
 
     Words are of the lower-cased (A-Z) text; a null or empty one has none, with empty labels and score 0. Of templates that
-    match one place the longest counts; ties all do. Repeated rows are scanned each, whole texts always; an empty table
-    gives no rows; other columns are not read. Options are Scanner's.
+    match one place the longest counts; ties all do. Repeated rows are scanned each, whole texts always, long ones at once (a
+    few bytes of memory for each of theirs); an empty table gives no rows; other columns, whatever their names, are not read.
+    Options are Scanner's.
     """
     ship(docs.sparkSession)
     rows = with_id(doc_id, text, docs)
@@ -250,7 +263,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE, doc_id: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x["n_words"] for x in found], pa.int64()), pa.array([len(s) for s in starts], pa.int64()), pa.array([min(s, default=None) for s in starts], pa.int64()), pa.array([max(s, default=None) for s in starts], pa.int64()), pa.array([",".join(sorted(x)) for x in own], pa.string()), pa.array([",".join(sorted(x)) for x in every], pa.string()), pa.array([x["score"] for x in found], pa.float64()), pa.array([[dict(zip(("first", "words", "label", "coverage"), s, strict=True)) for s in x["spans"]] for x in found], span)], names)
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(scan, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<first: long, words: long, label: string, coverage: double>>")
+    return rows.mapInArrow(lean(scan), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<first: long, words: long, label: string, coverage: double>>")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
