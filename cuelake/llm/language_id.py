@@ -6,8 +6,9 @@ k-means of its training rows. The nearest centroid by cosine gives the language;
 least cosine of training rows of like length is rejected, and one of score 0 always. Like length is within a doubling, and
 needs `support` rows; texts shorter than any such length are rejected at score 0 only.
 
-Training reads a bounded sample: at most `per_language` rows of each language, those with the least hashes. Their vectors
-(`dims` counts of two bytes each) and nothing else come to the driver. Prediction is one pass without a shuffle.
+Training reads a bounded sample: of each language at most `per_language` different rows, and no more than its part of
+`fit_rows`, those with the least hashes; over `most_languages` languages are an error. Their vectors (`dims` numbers of two
+bytes each) and nothing else come to the driver. Prediction is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import _LOWER, _WORD, chunks, read_table, ship, text_or_empty, utf8
+from ._common import _LOWER, _WORD, CHUNK_BYTES, chunks, free_name, lean, read_table, ship, text_or_empty, utf8, windows
 
 #: What predict gives where there is nothing to judge.
 UNDETERMINED = "und"
@@ -29,6 +31,9 @@ _LETTER[48:58] = False
 
 def gram_counts(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """A row per text: counts of its n-grams in `dims` hashed places (float32), and how many n-grams it has."""
+    if len(column) == 1 and column.nbytes > 4 * CHUNK_BYTES:  # a long text, window by window: no n-gram goes over their borders
+        parts = [gram_counts(w, dims) for w in windows(column)]
+        return np.sum([c for c, _ in parts], axis=0, dtype=np.float64).astype(np.float32), np.sum([g for _, g in parts], axis=0)
     data, offsets = utf8(column)
     rows = len(offsets) - 1
     low = np.where(_LETTER[_LOWER[data]], _LOWER[data], np.uint8(32))
@@ -68,7 +73,7 @@ def _clusters(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 class Centroids:
-    """Fitted model: languages, centroids, weights and the least cosine that is accepted for each length."""
+    """Fitted model, from log(1 + count) of the n-grams (a row per text) and how many each has: languages, centroids, weights and the least cosine that is accepted for each length."""
 
     def __init__(self, counts: np.ndarray, grams: np.ndarray, langs: list[str], per_class: int = 3, slack: float = 0.5, seed: int = 11, support: int = 5):
         self.dims = counts.shape[1] if counts.ndim == 2 else 0
@@ -81,6 +86,7 @@ class Centroids:
             return
         self.idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
         x = self.vectors(counts)
+        del counts
         centers = []
         for lang in sorted(set(langs)):
             own = _clusters(x[langs == lang], per_class, 20, seed)
@@ -104,7 +110,7 @@ class Centroids:
         self.floor = np.where(last >= 0, floor[last], 0).astype(np.float32)
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(np.log1p(counts) * self.idf)
+        return _unit(counts * self.idf)
 
     def predict(self, counts: np.ndarray, grams: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine (0 to 1) and whether it is rejected, for each row."""
@@ -121,21 +127,25 @@ def _hash(doc_id: str) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8"))
 
 
-def fit_languages(docs: DataFrame, usable: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 800, dims: int = 4096, per_class: int = 3, slack: float = 0.5, seed: int = 11) -> Centroids:
-    """Learn centroids from rows with a language for which `usable` holds (all, if none). At most `per_language` rows of each
-    language are read, those with the least hashes of doc_id; rows with no letters teach nothing. Without any labelled text
-    the model knows no language: it predicts "und" with score 0 and rejects only texts without letters."""
+def fit_languages(docs: DataFrame, usable: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 800, fit_rows: int = 8000, most_languages: int = 256, dims: int = 4096, per_class: int = 3, slack: float = 0.5, seed: int = 11) -> Centroids:
+    """Learn centroids from rows with a language for which `usable` holds (all, if none). Of each language at most
+    `per_language` rows are read, and no more than `fit_rows` over the number of languages: those with the least hashes of
+    doc_id and text. Rows equal in both teach once, and ties can't be then; rows with no letters teach nothing. Without any
+    labelled text the model knows no language: it predicts "und" with score 0 and rejects only texts without letters. More
+    than `most_languages` languages raise ValueError."""
     ship(docs.sparkSession)
-    rows = docs.where(F.col(lang).isNotNull() & (F.lit(True) if usable is None else usable))
-    order = F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    place = F.shiftrightunsigned(order, 1).cast("double") / float(1 << 63)
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang).cast("string")).count().collect()}
-    # twice the share that is needed, of which the driver takes the first: so the bound holds and no sort is needed
-    share = F.lit(1.0)
-    for name, n in sorted(sizes.items()):
-        if n > per_language:
-            share = F.when(F.col(lang).cast("string") == name, 1.5 * per_language / n).otherwise(share)
-    sample = rows.select(place.alias("place"), F.col(lang).cast("string").alias("lang"), text_or_empty(text).alias("text"), share.alias("share")).where("place < share").select("place", "lang", "text")
+    rows = docs.where(F.col(f"`{lang}`").isNotNull() & (F.lit(True) if usable is None else usable))
+    order = F.xxhash64(F.lit(seed), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), text_or_empty(text))
+    rows = rows.select(F.col(f"`{lang}`").cast("string").alias("lang"), order.alias("place"), text_or_empty(text).alias("text"))
+    sizes = dict(rows.groupBy("lang").agg(F.approx_count_distinct("place", 0.02)).limit(most_languages + 1).collect())
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    each = max(1, min(per_language, fit_rows // max(1, len(sizes))))
+    # half as much again as is needed, of which the driver takes the first, so no sort is needed
+    bound = {name: int((1 << 63) * (min(1.0, 1.5 * each / n) * 2 - 1)) - 1 for name, n in sizes.items() if n}
+    limits = F.create_map(*[F.lit(x) for pair in bound.items() for x in pair]) if bound else None
+    sample = rows.where(F.col("place") <= F.element_at(limits, F.col("lang"))) if bound else rows.limit(0)
+    sample = sample.groupBy("lang", "place").agg(F.min("text").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,19 +153,15 @@ def fit_languages(docs: DataFrame, usable: Column | None = None, doc_id: str = "
                 for at in range(0, part.num_rows, 256):
                     own = part.slice(at, 256)
                     counts, grams = gram_counts(own.column(2), dims)
-                    small = np.minimum(counts, 65535).astype(np.uint16)
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([x.tobytes() for x in small], pa.binary()), pa.array(grams, pa.int64())], ["place", "lang", "counts", "grams"])
+                    small = np.log1p(counts).astype(np.float16)
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([x.tobytes() for x in small], pa.binary()), pa.array(grams, pa.int64())], ["lang", "place", "counts", "grams"])
 
-    found = sample.mapInArrow(encode, "place double, lang string, counts binary, grams long").toArrow().sort_by([("lang", "ascending"), ("place", "ascending"), ("grams", "ascending")])
-    langs = found.column("lang").to_pylist()
-    taken, keep = {}, []
-    for i, name in enumerate(langs):
-        taken[name] = taken.get(name, 0) + 1
-        if taken[name] <= per_language:
-            keep.append(i)
-    found = found.take(pa.array(keep, pa.int64()))
-    counts = np.frombuffer(b"".join(found.column("counts").to_pylist()), np.uint16).reshape(-1, dims).astype(np.float32)
-    return Centroids(counts, np.array(found.column("grams").to_pylist(), np.int64), found.column("lang").to_pylist(), per_class, slack, seed)
+    found = sample.mapInArrow(lean(encode), "lang string, place long, counts binary, grams long").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
+    langs = np.array(found.column("lang").to_pylist(), object)
+    first = np.searchsorted(langs, langs) if len(langs) else np.zeros(0, np.int64)
+    found = found.take(pa.array(np.flatnonzero(np.arange(len(langs)) - first < each)))
+    logs = np.frombuffer(b"".join(found.column("counts").to_pylist()), np.float16).reshape(-1, dims).astype(np.float32)
+    return Centroids(logs, np.array(found.column("grams").to_pylist(), np.int64), found.column("lang").to_pylist(), per_class, slack, seed)
 
 
 def identify_languages(docs: DataFrame, model: Centroids, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
@@ -163,36 +169,41 @@ def identify_languages(docs: DataFrame, model: Centroids, doc_id: str = "doc_id"
 
     A null text or one without a letter is "und", with score 0, and rejected. Letters of which the model knows no n-gram give
     score 0 too: the first language, rejected. Ties go to the first language by name. Repeated rows are judged each, whole
-    texts always; an empty table gives no rows. With `keep` all columns of `docs` stay, and lang_pred, score and rejected
-    come after them (with "__" before their names); else other columns are not read.
+    texts always, long ones in windows; an empty table gives no rows. With `keep` all columns of `docs` stay, and lang_pred,
+    score and rejected come after them as the last three, with "_" after their names as often as it takes to be free; else
+    other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # dims x languages x clusters floats
-    body = F.col(text).cast("string")
-    judged = [F.col(doc_id).alias("doc_id"), F.coalesce(body.rlike(r"\p{L}"), F.lit(False)).alias("letters"), text_or_empty(text).alias("text")]
-    rows = docs.select(*([F.col(f"`{c}`") for c in docs.columns] if keep else []), *[c.alias(f"__{i}") for i, c in enumerate(judged)])
-    first = len(docs.columns) if keep else 0
-    result = [("__lang_pred", pa.string()), ("__score", pa.float64()), ("__rejected", pa.bool_())]
+    own = [F.col(f"`{c}`") for c in docs.columns] if keep else [F.col(f"`{doc_id}`").alias("doc_id")]
+    judged = [F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.lit(False)), text_or_empty(text)]
+    rows = docs.select(*own, *[c.alias(free_name(f"made{i}", docs.columns)) for i, c in enumerate(judged)])
+    schema = T.StructType(rows.schema.fields[:-2])
+    for name, kind in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):
+        schema = schema.add(free_name(name, schema.names), kind)
+    names, last = schema.names, len(own) + 1
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in chunks(batch, "__2"):
+            for part in chunks(batch, last):
                 for at in range(0, part.num_rows, 256):
                     own = part.slice(at, 256)
-                    langs, score, rejected = model.predict(*gram_counts(own.column(first + 2), model.dims))
-                    letters = own.column(first + 1).to_numpy(zero_copy_only=False)
+                    counts, grams = gram_counts(own.column(last), model.dims)
+                    langs, score, rejected = model.predict(np.log1p(counts), grams)
+                    letters = own.column(last - 1).to_numpy(zero_copy_only=False)
                     langs = [x if some else UNDETERMINED for x, some in zip(langs, letters, strict=True)]
                     values = [pa.array(langs, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(rejected | ~letters)]
-                    out = (own.columns[:first] if keep else [own.column(0)]) + values
-                    yield pa.RecordBatch.from_arrays(out, (own.schema.names[:first] if keep else ["doc_id"]) + [n for n, _ in result])
-
-    schema = rows.schema[:first] if keep else rows.select(F.col("__0").alias("doc_id")).schema
-    for name, kind in (("__lang_pred", "string"), ("__score", "double"), ("__rejected", "boolean")):
-        schema = type(schema)(schema.fields).add(name, kind)
-    out = rows.mapInArrow(judge, schema)
-    return out if keep else out.withColumnsRenamed({n: n[2:] for n, _ in result})
+                    yield pa.RecordBatch.from_arrays(own.columns[: last - 1] + values, names)
+
+    return rows.mapInArrow(lean(judge), schema)
+
+
+def without_rejected(docs: DataFrame, model: Centroids, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that identify_languages doesn't reject, with all their columns."""
+    found = identify_languages(docs, model, doc_id, text, keep=True)
+    return found.where(~F.col(f"`{found.columns[-1]}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
