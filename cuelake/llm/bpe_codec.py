@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import free_name, read_table, ship, with_id
+from ._common import free_name, lean, read_table, ship, with_id
 
 #: Characters that the normaliser only lower-cases (and white space, which is dropped), and for which this module's tables agree with the library's.
 _COMMON = re.compile("[\\t\\n\\r\\x20-\\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u0148\u014a-\u017f\u2010-\u2027\u2030-\u203a\u20ac]*")
@@ -478,7 +478,7 @@ def _encoded(rows: DataFrame, vocabulary_file: str, memo: int, made: list) -> Da
                         value.append(make(found))
                 yield pa.RecordBatch.from_arrays(part.columns[:-1] + [pa.array(counts, pa.int64())] + [pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
-    return rows.mapInArrow(encode, schema)
+    return rows.mapInArrow(lean(encode), schema)
 
 
 def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

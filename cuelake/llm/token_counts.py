@@ -19,9 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read_table, ship, utf8, with_id
+from ._common import chunks, lean, read_table, ship, utf8, with_id
 
 SPACE = "▁"
+#: Characters of a long text that are cut into segments at a time.
+PIECE = 1 << 18
+_RUN = re.compile(f"(?<![ {SPACE}]) ")
 _SEGMENTS = re.compile(f"{SPACE}*(?:[^\\W\\d_]+|(?:(?!{SPACE})[\\W\\d_])+)|{SPACE}+")
 _COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -43,6 +46,8 @@ class PieceCounter:
         if trainer.model_type != 2 or norm.precompiled_charsmap or norm.remove_extra_whitespaces or trainer.treat_whitespace_as_suffix or not trainer.byte_fallback:
             raise ValueError("needs a BPE model with byte fallback and no normalisation")
         self.prefix = SPACE if norm.add_dummy_prefix else ""
+        if any(p.type == 4 for p in model.pieces):
+            raise ValueError("has pieces of its user's, which are matched before all merging")
         pieces = [(p.piece, p.score) for p in model.pieces if p.type == 1]
         self.ranks = {piece: -score for piece, score in pieces}
         if any(SPACE in piece.lstrip(SPACE) for piece, _ in pieces):
@@ -108,30 +113,46 @@ def count_texts(texts: list[str | None], model_file: str, memo: int = 1_000_000)
     cut, prefix, out = known.counter.cut, known.counter.prefix, []
     look = known.__getitem__
     for text in texts:
-        if len(known) > memo:
-            known.clear()
-        out.append(sum(map(look, cut(prefix + text.replace(" ", SPACE)))) if text else 0)
+        total = 0
+        for i, piece in enumerate(_pieces(text or "")):
+            if len(known) > memo:
+                known.clear()
+            total += sum(map(look, cut((prefix if i == 0 else "") + piece.replace(" ", SPACE))))
+        out.append(total)
     return out
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """The text in order, cut before runs of spaces: a segment's cut too, so counts add up."""
+    at = 0
+    while len(text) - at > PIECE:
+        found = _RUN.search(text, at + PIECE)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    if at < len(text):
+        yield text[at:]
+
+
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, memo: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Counts are those of sentencepiece's encode without begin and end marks; marks such as "<s>" in a text are ordinary text.
-    A null or empty text has none. Repeated rows are counted each, whole texts always; an empty table gives no rows; other
-    columns are not read. `model_file` must be readable on every executor.
+    A null or empty text has none. Repeated rows are counted each, whole texts always, long ones piece by piece; an empty table
+    gives no rows; other columns, whatever their names, are not read. `model_file` must be readable on every executor.
     """
     ship(docs.sparkSession)
     rows = with_id(doc_id, text, docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, offsets = utf8(batch.column(1))
-            tokens = count_texts(batch.column(1).to_pylist(), model_file, memo)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(offsets[1:] - offsets[:-1], pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        for part in (p for batch in batches for p in chunks(batch)):
+            _, offsets = utf8(part.column(1))
+            tokens = count_texts(part.column(1).to_pylist(), model_file, memo)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(offsets[1:] - offsets[:-1], pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    counted = rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(lean(count), f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lower_ascii, read_table, ship
+from ._common import lean, lower_ascii, read_table, ship
 
 #: (verdict, host, path): the longest rule that fits wins.
 SITE_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -130,19 +130,19 @@ def filter_urls(pages: DataFrame, site_rules=SITE_RULES, block_globs=BLOCK_GLOBS
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(globs)
+        names, blocks = pa.array([site_rules[i][1] + site_rules[i][2] for i in longest], pa.string()), pa.array(block_globs, pa.string())
+        verdict = pa.array([site_rules[i][0] for i in longest] + ["block", "allow"])
         for batch in batches:
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             found = automaton.matches([h + p for h, p in zip(hosts, paths, strict=True)])
-            rules, verdicts, by = [], [], []
-            for row in found:
-                hit = next((i for i in longest if row[2 * i] or row[2 * i + 1]), None)
-                glob = next((g for g, m in zip(block_globs, row[2 * len(site_rules) :], strict=True) if m), None)
-                by.append(glob)
-                rules.append(None if hit is None else site_rules[hit][1] + site_rules[hit][2])
-                verdicts.append(("block" if glob else "allow") if hit is None else site_rules[hit][0])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rules, pa.string()), pa.array(verdicts, pa.string()), pa.array(by, pa.string())], ["page_id", "host", "path", "rule", "verdict", "block_glob"])
-
-    return rows.mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, verdict string, block_glob string")
+            fits, globbed = (found[:, : 2 * len(longest)].reshape(len(found), len(longest), 2).any(axis=2)[:, longest], found[:, 2 * len(longest) :])
+            first = lambda hits: np.where(hits.any(axis=1), hits.argmax(axis=1) if hits.shape[1] else 0, -1)
+            rule, glob = first(fits), first(globbed)
+            rules, by = names.take(pa.array(rule, mask=rule < 0)), blocks.take(pa.array(glob, mask=glob < 0))
+            verdicts = verdict.take(pa.array(np.where(rule >= 0, rule, np.where(glob >= 0, -2, -1)) % len(verdict)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, rules, verdicts, by], ["page_id", "host", "path", "rule", "verdict", "block_glob"])
+
+    return rows.mapInArrow(lean(judge), f"page_id {kind}, host string, path string, rule string, verdict string, block_glob string")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
