@@ -7,11 +7,14 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("cuelake.llm.registry")
 import public_tokenizers
 
 from cuelake.llm import bpe_codec, decontamination, exact_dedup, language_id, license_scan, near_dedup, quality, sharding, token_counts, url_filters
+from cuelake.llm import _common
+from cuelake.llm._common import _BYTE, Words
 from cuelake.llm.components import components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -67,60 +70,152 @@ def test_exact_dedup(docs, empty, texts):
     assert kept.columns == docs.columns and sorted(low(r["text"]) for r in kept.collect()) == sorted(groups)
 
 
+def mix(x):
+    m = (1 << 64) - 1
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & m
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def simhash(text):
+    """SimHash by its definition: of each bit the sign of the sum of the words' signs."""
+    m, own = (1 << 64) - 1, set(words(text))
+    if not own:
+        return np.frombuffer(hashlib.blake2b(low(text).encode(), digest_size=32).digest(), np.uint64)
+    hashes = {mix((sum(int(_BYTE[b]) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(w.encode())) + len(w.encode())) & m) >> 24 for w in own}
+    out = []
+    for k in range(4):
+        bits = [mix(mix(h) + 0x9E3779B97F4A7C15 * (k + 1) & m) for h in hashes]
+        out.append(sum(1 << b for b in range(64) if sum(1 if x >> b & 1 else -1 for x in bits) > 0))
+    return np.array(out, np.uint64)
+
+
+def bits_apart(prints):
+    apart = sum(np.bitwise_count(prints[:, None, k] ^ prints[None, :, k]).astype(int) for k in range(4))
+    np.fill_diagonal(apart, 999)
+    return apart
+
+
 def test_near_duplicates(spark, docs, empty, texts):
-    found = near_dedup.near_duplicates(docs, leaf_classes=2)
-    rows = found.collect()
+    found = near_dedup.near_duplicates(docs, capacity=2)
+    rows = sorted(found.collect(), key=lambda r: r["__row"])
     assert len(rows) == docs.count() and near_dedup.near_duplicates(empty).count() == 0
-    prints = near_dedup.fingerprints(pa.array([r["text"] for r in docs.collect()], pa.string()))
-    unique, inverse = np.unique(prints, axis=0, return_inverse=True)
-    apart = sum(np.bitwise_count(unique[:, None, k] ^ unique[None, :, k]).astype(int) for k in range(4))
-    np.fill_diagonal(apart, 999)
-    links = (apart <= 48).sum(axis=1)
-    got = np.array([r["n_links"] for r in sorted(rows, key=lambda r: r["__row"])])
-    assert (got <= links[inverse]).all() and got.sum() >= 0.9 * links[inverse].sum()
-    by = table(found)
-    n = 9 + 60 + 5 + 3
-    long = [i for i in range(10) if len(words(texts[9 + i])) > 60]
-    assert long and all(by[9 + i]["group_id"] == by[n + i]["group_id"] for i in long)
-    assert by[3]["class_id"] != by[4]["class_id"] and by[5]["class_id"] == by[6]["class_id"] == 5
-    assert sum(r["kept"] for r in rows) == len({r["group_id"] for r in rows if r["group_id"] is not None}) + 1 * any(r["doc_id"] is None and r["kept"] for r in rows)
-    assert near_dedup.without_near_duplicates(docs).count() == sum(r["kept"] for r in rows)
-
-
-def test_dense_leaves_lose_no_link(spark):
+    plain = docs.collect()
+    prints = np.array([simhash(r["text"]) for r in plain])
+    assert (near_dedup.fingerprints(pa.array([r["text"] for r in plain], pa.string())) == prints).all()
+    unique, first, inverse = np.unique(prints, axis=0, return_index=True, return_inverse=True)
+    links = (bits_apart(unique) <= 48).sum(axis=1)
+    got = np.array([r["n_links"] for r in rows])
+    assert (got <= links[inverse]).all() and got.sum() >= 0.97 * links[inverse].sum() and all(0.98 < r["recall"] <= 1 for r in rows)
+    # with one leaf all links are found: groups are the components of the brute-force links, and the first row of each stays
+    rows = sorted(near_dedup.near_duplicates(docs).collect(), key=lambda r: r["__row"])
+    assert [r["n_links"] for r in rows] == links[inverse].tolist() and {r["recall"] for r in rows} == {1.0}
+    label = first.copy()
+    near = bits_apart(unique) <= 48
+    for _ in label:
+        label = np.minimum(label, np.where(near, label, len(plain)).min(axis=1))
+    assert [r["group_id"] for r in rows] == [plain[k]["doc_id"] for k in label[inverse]]
+    assert [r["class_id"] for r in rows] == [plain[k]["doc_id"] for k in first[inverse]]
+    assert [r["kept"] for r in rows] == [k == i for i, k in enumerate(label[inverse])]
+    assert [r["group_size"] for r in rows] == np.bincount(label[inverse], minlength=len(plain))[label[inverse]].tolist()
+    kept = near_dedup.without_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(plain[k]) for k in set(label.tolist()))
+
+
+def test_callers_columns_keep_their_values(spark, docs):
+    """Columns that look like the operators' own come through the filters unchanged."""
+    clash = docs.select("doc_id", "text", F.lit("mine").alias("__row"), F.lit("own").alias("__row_"), F.lit(4).alias("name"), F.lit(5).alias("f0"), F.lit(6).alias("made0"))
+    benchmark = spark.createDataFrame([(1, "no such words")], "item_id int, text string")
+    for kept in (exact_dedup.deduplicated(clash), near_dedup.without_near_duplicates(clash), decontamination.without_contaminated(clash, benchmark)):
+        assert kept.schema.simpleString() == clash.schema.simpleString()
+        assert {tuple(r)[2:] for r in kept.collect()} == {("mine", "own", 4, 5, 6)}
+
+
+def test_rows_are_numbered_once(spark, docs, tmp_path):
+    """Other file splits at a later scan change no decision."""
+    docs.repartition(5).write.parquet(str(tmp_path / "t"))
+    table_ = spark.read.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        kept = exact_dedup.deduplicated(table_)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "13")
+        groups = {low(r["text"]) for r in docs.collect()}
+        assert sorted(low(r["text"]) for r in kept.collect()) == sorted(groups)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_scratch(spark, tmp_path):
+    one = spark.range(3)
+    with _common.Scratch(spark) as outer:
+        with _common.Scratch(spark) as inner:
+            gone, kept = _common.shared_table(one, "a"), inner.keep(_common.shared_table(one, "b"))
+        assert kept.count() == 3 and outer.made == [kept.shared_path]
+        with pytest.raises(Exception, match="(?i)not exist|no such"):
+            gone.count()
+        outer.keep(kept)
+    assert kept.count() == 3
+
+
+def test_long_texts_by_windows(monkeypatch):
+    r = random.Random(12)
+    long = " ".join("".join(r.choice("abcdé") for _ in range(r.randint(1, 6))) for _ in range(3000)) + "!" + "y" * 3000 + " end"
+    column = pa.array([long])
+    want = near_dedup.fingerprints(column), Words(column).hashes()
+    monkeypatch.setattr(near_dedup, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(_common, "CHUNK_BYTES", 500)
+    assert "".join(w[0].as_py() for w in _common.windows(column)) == long and (near_dedup.fingerprints(column) == want[0]).all()
+    assert (Words(column).hashes() == want[1]).all()
+    assert [w[0].as_py() for w in _common.windows(pa.array([""]))] == [""]
+
+
+@pytest.mark.parametrize(("capacity", "block"), [(1024, 16), (8, 16), (30, 7)])
+def test_dense_leaves_lose_no_link(spark, capacity, block):
     r = random.Random(3)
     base = [f"w{i}" for i in range(80)]
     places = [r.randrange(80) for _ in range(60)]
     many = [(i, " ".join(f"c{i}" if k == at else w for k, w in enumerate(base))) for i, at in enumerate(places)]
     frame = spark.createDataFrame(many, "doc_id long, text string").coalesce(1)
-    blocks = near_dedup.near_duplicates(frame, leaf=16, target=0.9999).collect()
-    prints = near_dedup.fingerprints(pa.array([t for _, t in many]))
-    apart = sum(np.bitwise_count(prints[:, None, k] ^ prints[None, :, k]).astype(int) for k in range(4))
-    assert {x["doc_id"]: x["n_links"] for x in blocks} == dict(enumerate(((apart <= 48).sum(axis=1) - 1).tolist())) and {x["group_id"] for x in blocks} == {0}
+    blocks = near_dedup.near_duplicates(frame, capacity=capacity, block=block, target=0.9999).collect()
+    links = (bits_apart(near_dedup.fingerprints(pa.array([t for _, t in many]))) <= 48).sum(axis=1)
+    assert {x["doc_id"]: x["n_links"] for x in blocks} == dict(enumerate(links.tolist())) and {x["group_id"] for x in blocks} == {0}
 
 
-def test_forest_is_sized_for_the_threshold(docs, monkeypatch):
+def test_forest_holds_its_target():
     r = np.random.default_rng(5)
-    for classes in (10_000, 1_500_000):
-        forest = near_dedup.Forest(classes)
+    pack = lambda x: np.packbits(x, axis=1, bitorder="little").view(np.uint64)
+    for classes, capacity in ((10_000, 1024), (1_500_000, 1024), (1_500_000, 64), (500, 1024)):
+        forest = near_dedup.Forest(classes, capacity)
         a = r.integers(0, 2, (3000, 256), dtype=np.uint8)
         b = a.copy()
         for row in b:
             row[r.choice(256, 48, replace=False)] ^= 1
-        keys = [forest.keys(np.packbits(x, axis=1, bitorder="little").view(np.uint64)) for x in (a, b)]
-        assert (keys[0] == keys[1]).any(axis=1).mean() > 0.98
-    made = []
-    plain = near_dedup.Forest
-    monkeypatch.setattr(near_dedup, "Forest", lambda *x: made.append(x) or plain(*x))
-    near_dedup.near_duplicates(docs.limit(20), distance=40)
-    near_dedup.near_duplicates(docs.limit(20))
-    assert [x[2] for x in made] == [40, 48] and all(x[3] >= 0.99 for x in made)
+        # as if all were even; then with sparse and dense nodes
+        for counts in (np.full(forest.depth.shape, classes >> forest.region), r.integers(0, 4 * capacity, forest.depth.shape)):
+            forest.grow(counts)
+            for t, at in ((t, at) for t in range(0, forest.tries, 9) for at in range(0, 1 << forest.region, 97)):
+                held = [counts[t][at >> forest.region - d << forest.region - d :][: 1 << forest.region - d].sum() for d in range(forest.region + 1)]
+                shortest = next((d for d, n in enumerate(held) if n <= capacity), None)
+                assert forest.depth[t, at] == (min(forest.most, forest.region + int(np.ceil(np.log2(held[-1] / capacity)))) if shortest is None else shortest)
+            together = (forest.leaves(pack(a)) == forest.leaves(pack(b))).any(axis=1).mean()
+            assert together > 0.98 and abs(together - forest.recall(pack(a)).mean()) < 0.01
+        # a leaf's rows all have its depth, and no leaf is part of another
+        leaves = forest.leaves(pack(a))[:, 0]
+        for x in set(leaves.tolist()):
+            depth, prefix = x >> 40 & 63, x & (1 << 40) - 1
+            own = forest.prefixes(pack(a))[:, 0] >> (forest.most - depth) == prefix
+            assert (own == (leaves == x)).all()
 
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 105), (105, 103), (7, 7)]
-    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert sorted(found) == [(i, 0) for i in range(21)] + [(100, 100), (103, 100), (105, 100)]
+    for hot in (20_000, 1):
+        found = components(spark.createDataFrame(edges, "a long, b long"), hot=hot).collect()
+        assert sorted(found) == [(i, 0) for i in range(21)] + [(100, 100), (103, 100), (105, 100)]
 
 
 def test_license_scan(docs, empty, texts):
@@ -157,6 +252,62 @@ def test_template_spans():
     assert found[0]["spans"][0][:2] == (2, len(words(mit))) and found[0]["score"] == 1.0 and 0.9 < found[1]["score"] <= 1.0
 
 
+def test_whole_licences_get_their_own_label():
+    scanner = license_scan.Scanner()
+    prose = "to use copy modify merge publish distribute sublicense and or sell copies of it"
+    whole = [(label, text) for label, text in license_scan.TEMPLATES if len(words(text)) > 40]
+    found = scanner.scan(pa.array([f"Copyright me. {t.upper()} The end." for _, t in whole] + [prose]))
+    assert [{s[2] for s in x["spans"]} for x in found] == [{label} for label, _ in whole] + [set()]
+    assert {"mit", "x11", "boost", "hpnd", "bsd", "isc", "zlib"} <= {label for label, _ in whole}
+
+
+def test_chains_against_brute_force():
+    r = random.Random(4)
+    for _ in range(300):
+        scanner = license_scan.Scanner(gap=r.choice([0, 1, 3]))
+        own = sorted({(r.randrange(14), r.randint(1, 4), 0, r.randrange(10)) for _ in range(r.randint(1, 8))})
+        chains = {}  # last match: best (covered, -first) over all chains
+
+        def extend(last, covered, first, own=own, chains=chains, scanner=scanner):
+            chains[last] = max(chains.get(last, (0, 0)), (covered, -first))
+            for m in own[own.index(last) + 1 :]:
+                more = min(m[1], m[0] + m[1] - last[0] - last[1], m[3] + m[1] - last[3] - last[1])
+                if more > 0 and m[3] >= last[3] and m[0] - last[0] - last[1] <= scanner.gap:
+                    extend(m, covered + more, first)
+
+        for m in own:
+            extend(m, m[1], m[0])
+        left, want = sorted((-c, -f, m[0] + m[1]) for m, (c, f) in chains.items()), []
+        for covered, first, end in left:
+            if all(end <= a or first >= b for a, b, _ in want):
+                want.append((first, end, -covered))
+        assert sorted((s, s + n, c) for s, n, _, c in scanner.chains(own)) == sorted(want)
+
+
+def test_scan_against_brute_force():
+    """Matches, spans, labels and score, from all runs of words that a template has."""
+    r = random.Random(14)
+    templates = [(f"l{k % 4}", " ".join(r.choice("abcdef") for _ in range(r.randint(3, 14)))) for k in range(6)]
+    scanner = license_scan.Scanner(templates, (("a b", "ab"),))
+    texts = [" ".join(r.choice("abcdefxy") for _ in range(r.randint(0, 60))) for _ in range(30)] + [f"x {t} y {t} {t}" for _, t in templates]
+    for text, got in zip(texts, scanner.scan(pa.array(texts)), strict=True):
+        w = text.split()
+        matches = []
+        for t, (_, template) in enumerate(templates):
+            v = template.split()
+            for s, q in ((s, q) for s in range(len(w)) for q in range(len(v)) if not s or not q or w[s - 1] != v[q - 1]):
+                n = next((n for n in range(len(v)) if s + n == len(w) or q + n == len(v) or w[s + n] != v[q + n]), len(v))
+                matches += [(s, n, t, q)] * (n >= 3)
+        words_ = license_scan.Words(pa.array([text]))
+        assert sorted(scanner.matches(words_, scanner.numbers(words_))) == sorted(matches)
+        spans = [(s, n, scanner.labels[t], min(1.0, c / len(templates[t][1].split()))) for s, n, t, c in scanner.chains(matches)]
+        spans = [s for s in spans if s[3] >= 0.6]
+        whole = {s for s in spans if not any(o is not s and o[0] <= s[0] and s[0] + s[1] <= o[0] + o[1] and (o[1], o[3]) > (s[1], s[3]) for o in spans)}
+        base = [i for i in range(len(w) - 1) if w[i : i + 2] == ["a", "b"]]
+        assert got["spans"] == sorted(whole) and [s for s, _ in got["base"]] == base and got["n_words"] == len(w)
+        assert got["score"] == max([s[3] for s in whole] + [1.0] * bool(base), default=0.0)
+
+
 def test_token_counts(docs, empty, texts):
     import sentencepiece
 
@@ -171,6 +322,17 @@ def test_token_counts(docs, empty, texts):
     assert token_counts.token_counts(empty, file).count() == 0
 
 
+def test_token_counts_of_long_texts(monkeypatch):
+    import sentencepiece
+
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=file)
+    r = random.Random(3)
+    odd = ["".join(r.choice(["a", "tion", " ", "  ", "the", "\u2581", "é", "\n", "9"]) for _ in range(3000)), " " * 900, "x" * 900 + " ", ""]
+    monkeypatch.setattr(token_counts, "PIECE", 50)
+    assert token_counts.count_texts(odd, file) == [len(x) for x in library.encode(odd)]
+
+
 def test_suffix_automaton_against_brute_force():
     r = random.Random(6)
     for tokens in (sorted({tuple(r.choice([0, 1, 2]) for _ in range(r.randint(1, 5))) for _ in range(n)}) for n in (1, 5, 30)):
@@ -261,8 +423,30 @@ def test_decontamination(spark, docs, empty, texts):
             assert r["items_sha256"] == hashlib.sha256(",".join(sorted(map(str, own))).encode()).hexdigest()
     assert decontamination.decontaminate(empty, benchmark).count() == 0
     assert not any(r["contaminated"] for r in decontamination.decontaminate(docs, benchmark.limit(0)).collect())
-    near = decontamination.matched_spans(spark.createDataFrame([(1, "b x a c")], "doc_id int, text string"), spark.createDataFrame([(1, "a b c")], "item_id int, text string"), slop=1)
-    assert near.first()["items"] == ["1"]
+    index = decontamination.build_index(spark.createDataFrame([(1, "b x a c")], "doc_id int, text string"))
+    near, blocks = decontamination.matched_spans(index, spark.createDataFrame([(1, "a b c")], "item_id int, text string"), slop=1)
+    assert near.first()["items"] == ["1"] and blocks == 1
+    kept = decontamination.without_contaminated(docs, benchmark)
+    bad = {r["doc_id"] for r in decontamination.decontaminate(docs, benchmark).collect() if r["contaminated"]}
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r["doc_id"] not in bad)
+
+
+def test_packed_numbers():
+    r = np.random.default_rng(2)
+    for numbers in (np.zeros(0, np.int64), np.array([0, 127, 128, 16383, 16384, (1 << 35) - 1]), r.integers(0, 1 << 20, 1000)):
+        assert decontamination.unpack(decontamination.pack(numbers)).tolist() == numbers.tolist()
+
+
+def test_segments(texts):
+    column = pa.array([t or "" for t in texts])
+    own = decontamination.Segment.of(column)
+    again = decontamination.Segment.from_gaps(own.first, own.terms, own.counts, own.gaps())
+    every = [w for t in texts for w in words(t)]
+    at = 0
+    for term, n in zip(own.terms.to_pylist(), own.counts.tolist(), strict=True):
+        assert again.places[at : at + n].tolist() == [i for i, w in enumerate(every) if w == term]
+        at += n
+    assert at == len(every) and own.first.tolist() == np.cumsum([0] + [len(words(t)) for t in texts]).tolist()
 
 
 def test_near_matches_query(spark, tmp_path):
@@ -310,6 +494,11 @@ def test_url_filters(spark):
     want = [("a.example.net", "example.net/en/", "allow"), ("example.net", "net/", "block"), ("example.com", "example.com/de/", "block"), ("my.org", "org/fr/", "allow"), ("", None, "allow"), ("", None, "allow"), ("", None, "allow"), ("h.net", None, "allow"), ("spam.biz", None, "block"), ("b.casino.x", None, "block"), ("x.org", None, "block"), ("", None, "allow"), ("ex.test", None, "block"), ("a.de", None, "allow")]
     assert [found[i] for i in range(len(urls))] == want
     assert url_filters.filter_urls(pages.limit(0)).count() == 0
+    twice = pages.union(pages).select("page_id", "url", F.lit("x").alias("host"), F.lit("y").alias("verdict"))
+    again = url_filters.filter_urls(twice).collect()
+    assert len(again) == 2 * len(urls) and all((r["host"], r["rule"], r["verdict"]) == found[r["page_id"]] for r in again)
+    none = url_filters.filter_urls(pages, site_rules=(), block_globs=())
+    assert {(r["rule"], r["verdict"], r["block_glob"]) for r in none.collect()} == {(None, "allow", None)}
 
 
 def test_automaton_against_brute_force():
@@ -343,7 +532,11 @@ def test_language_id(labelled, docs, empty):
     assert all(other[i]["lang_pred"] == "und" and other[i]["rejected"] and other[i]["score"] == 0 for i in range(5))
     assert all(0 <= r["score"] <= 1 for r in other.values()) and language_id.identify_languages(empty, model).count() == 0
     kept = language_id.identify_languages(docs, model, keep=True)
-    assert kept.columns == docs.columns + ["__lang_pred", "__score", "__rejected"] and kept.count() == docs.count()
+    assert kept.columns == docs.columns + ["lang_pred", "score", "rejected"] and kept.count() == docs.count()
+    clash = docs.select("doc_id", "text", F.lit("own").alias("Score"), F.lit(7).alias("made1"), F.lit(8).alias("rejected"))
+    kept = language_id.identify_languages(clash, model, keep=True)
+    assert kept.columns == [*clash.columns, "lang_pred", "score_", "rejected_"] and {(r["Score"], r["made1"], r["rejected"]) for r in kept.collect()} == {("own", 7, 8)}
+    assert {r["doc_id"] for r in kept.where("NOT rejected_").collect()} == {r["doc_id"] for r in language_id.without_rejected(clash, model).collect()}
     nothing = language_id.fit_languages(empty)
     assert {r["lang_pred"] for r in language_id.identify_languages(docs, nothing).collect()} == {"und"}
 
@@ -359,11 +552,60 @@ def test_language_id_rejects_unlearned_scripts(spark, labelled, tmp_path):
     assert {r["doc_id"] for r in pipeline.identify_language(spark, both, str(tmp_path)).collect()} == {r["doc_id"] for r in labelled.collect()}
     # a length that too few rows have takes the next shorter floor; texts shorter than all, and of no known n-gram, have score 0
     counts, grams = language_id.gram_counts(pa.array(["abcdefg"] * 5 + ["cd " * 40_000] * 5), 4096)
-    gap = language_id.Centroids(counts, grams, ["x"] * 5 + ["y"] * 5)
+    gap = language_id.Centroids(np.log1p(counts), grams, ["x"] * 5 + ["y"] * 5)
     assert gap.floor[1] == 0 < gap.floor[3] == gap.floor[8] and gap.floor[32] == gap.floor[17]
     assert gap.predict(*language_id.gram_counts(pa.array(["zz"]), 4096))[2].all()
 
 
+def test_nearest_centroid_by_definition(labelled):
+    """Scores are the largest cosine with a centroid; of equal ones the first language by name is given."""
+    model = language_id.fit_languages(labelled)
+    rows = labelled.collect()
+    found = {r["doc_id"]: r for r in language_id.identify_languages(labelled, model).collect()}
+    for r in rows[::7]:
+        grams = {}
+        low_ = [b if b in range(97, 123) or b >= 128 else 32 for b in low(r["text"]).encode()]
+        for a, b, c in zip([32, *low_], low_, [*low_[1:], 32]):
+            if b != 32:
+                for x in ((a, b, c), (b, c)):
+                    at = _gram_place(x)
+                    grams[at] = grams.get(at, 0) + 1
+        x = np.zeros(4096)
+        for at, n in grams.items():
+            x[at] = np.log(1 + n) * model.idf[at]
+        cosines = model.centers @ (x / np.linalg.norm(x))
+        assert found[r["doc_id"]]["score"] == pytest.approx(cosines.max(), abs=1e-4) and found[r["doc_id"]]["lang_pred"] == model.langs[int(cosines.argmax())]
+    twin = language_id.Centroids(np.ones((2, 8), np.float32), np.array([9, 9]), ["b", "a"])
+    assert twin.predict(np.ones((1, 8), np.float32), np.array([9]))[0] == ["a"]
+
+
+def _gram_place(x):
+    m = (1 << 32) - 1
+    if len(x) == 3:
+        return ((x[0] * 0x9E3779B1 & m ^ x[1] * 0x85EBCA6B & m ^ x[2] * 0xC2B2AE35 & m) * 0x27D4EB2F & m) >> 20
+    return ((x[0] * 0x165667B1 & m ^ x[1] * 0xD3A2646D & m) * 0x9E3779B1 & m) >> 20
+
+
+def test_fits_are_bounded(spark, labelled):
+    """One id on a great many rows, and a great many languages."""
+    hot = spark.range(30_000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("der schuh "), (F.col("id") % 5000).cast("string")).alias("text"), F.lit("de").alias("lang"), F.lit(0).alias("quality"))
+    both = labelled.unionByName(hot)
+    model = language_id.fit_languages(both, per_language=50)
+    assert set(model.langs) == {"de", "en", "fr"}
+    seen = []
+    plain = quality.AttentionModel.fit
+    try:
+        quality.AttentionModel.fit = lambda self, x, first, label, rounds: seen.append((len(x), len(label)))
+        quality.fit_quality(both.drop("quality"), labelled.select("doc_id", "quality").union(labelled.select("doc_id", "quality")))
+        quality.fit_quality(both.drop("quality"), labelled.select("doc_id", "quality"), passage_bytes=16, fit_passages=100)
+    finally:
+        quality.AttentionModel.fit = plain
+    assert seen[0][1] == 240 and 0 < seen[1][0] <= 100 and seen[1][1] < 240
+    many = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        language_id.fit_languages(many)
+    assert len(set(language_id.fit_languages(many, most_languages=1000, fit_rows=1).langs)) == 600
+
 def test_quality(labelled, docs, empty):
     held_out = quality._remainder("doc_id") == 0
     model = quality.fit_quality(labelled.drop("quality"), labelled.select("doc_id", "quality"), ~held_out, passage_bytes=64)
@@ -379,6 +621,39 @@ def test_quality(labelled, docs, empty):
     assert np.allclose([weights[:-1].sum(), weights[-1]], 1, atol=1e-5)
 
 
+def test_gated_attention_by_definition(monkeypatch):
+    """The forward pass, passage by passage, and its gradients against differences."""
+    r = random.Random(2)
+    texts = ["", "Some words again again! ÉÉ\n" * 9, "".join(r.choice("abC 1.é\n") for _ in range(700))]
+    x, first = quality.passages(pa.array(texts), 64)
+    model = quality.AttentionModel()
+    p = model.p
+    for k, t in enumerate(texts):
+        own = x[first[k] : first[k + 1]]
+        h = [np.tanh(v @ p["E"] + p["e"]) for v in own]
+        e = np.exp([float((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"]) for v in h])
+        z = sum(a * v for a, v in zip(e / e.sum(), h, strict=True))
+        assert model.score(x, first)[k] == pytest.approx(1 / (1 + np.exp(-(z @ p["c"] + p["d"][0]))), abs=1e-5)
+        assert model.attention(x, first)[first[k] : first[k + 1]] == pytest.approx(e / e.sum(), abs=1e-5)
+        body = t.encode()
+        assert len(own) == max(1, -(-len(body) // 64))
+        for i, v in enumerate(own):
+            part = body[64 * i : 64 * i + 64]
+            assert v[:256] == pytest.approx([np.sqrt(part.count(b) / (len(part) + 48)) for b in range(256)], abs=1e-6)
+            assert v[322] == pytest.approx(np.sqrt(sum(64 * i <= m.start() < 64 * i + 64 for m in re.finditer(rb"[0-9a-z\x80-\xff]+", low(t).encode())) / (len(part) + 48)), abs=1e-6)
+    # a long text in windows is the same
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 130)
+    for k, t in enumerate(texts):
+        y, weight, own = model.judge(pa.array([t]), 64)
+        assert y[0] == pytest.approx(model.score(x, first)[k], abs=1e-6) and len(weight) == own[-1] == first[k + 1] - first[k]
+    # one step down the gradient lowers the loss as its slope says
+    label = np.array([0, 1, 0], np.float32)
+    loss = lambda: float(-np.mean(label * np.log(model.score(x, first)) + (1 - label) * np.log(1 - model.score(x, first))))
+    before = loss()
+    model.fit(x, first, label, rounds=30)
+    assert loss() < 0.7 * before
+
+
 def test_pipeline(spark, docs, texts, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs.drop("__row", "name").write.parquet(str(tmp_path / "documents.parquet"))
