@@ -22,23 +22,32 @@ from pyspark.sql import functions as F
 ROW = "__row"
 #: Bytes of text that the numpy kernels take at a time (a longer text makes a chunk of its own).
 CHUNK_BYTES = 1 << 20
-#: Bytes of an Arrow batch that goes to a Python worker (a longer row makes a batch of its own).
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Settings, their defaults, and what operators on texts need: bytes of an Arrow batch that goes to a Python worker (a longer row
+#: makes a batch of its own), and rows that a Parquet scan decodes at a time.
+_BATCHES = (
+    ("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864", "67108864b", "64m", "64MB"), f"{4 << 20}b"),
+    ("spark.sql.parquet.columnarReaderBatchSize", ("4096",), "512"),
+)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A test table, with the named columns only so that the scan reads no others."""
+    small_batches(spark)
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return table.select(*columns) if columns else table
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Where the session has Spark's defaults, which suit rows of numbers, give it batches that suit long texts."""
+    for name, defaults, value in _BATCHES:
+        if spark.conf.get(name, None) in defaults:
+            spark.conf.set(name, value)
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context; they need not have it installed. Where the session
-    has Spark's default of 64 MB for Arrow batches, it gets BATCH_BYTES: rows are few, but texts may be long."""
+    """Send this package to the Python workers, once for each Spark context; they need not have it installed."""
     context = spark.sparkContext
-    if spark.conf.get(_BATCH, None) in ("67108864", "67108864b", "64m", "64MB"):
-        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+    small_batches(spark)
     if getattr(context, "_cuelake_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -69,6 +78,7 @@ def shared_folder(spark: SparkSession) -> str:
 def shared_table(frame: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it again. It cuts the lineage and survives the loss of executors."""
     spark = frame.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     if _open.scratches:
