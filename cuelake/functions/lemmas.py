@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 EXCEPTIONS = {"feet": "foot", "men": "man", "women": "woman", "children": "child", "teeth": "tooth", "geese": "goose", "mice": "mouse"}
 #: (ending, what takes its place); all that fit apply.
-ENDINGS = (("s", ""), ("ses", "s"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("ies", "y"))
+ENDINGS = (("s", ""), ("ses", "s"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))
 
 #: A lemmatizer takes a token column (lower case) and gives an array of lemmas.
 Lemmatizer = Callable[[Column], Column]

@@ -21,6 +21,11 @@ def tokenize(text: str) -> list[str]:
     return _PYTHON.findall(text)
 
 
+def tokenize_aligned(text: str) -> list[str]:
+    """Tokens of a query text, which loses braces around the whole of it, as cues of aligned transcripts do."""
+    return tokenize(text[1:-1] if len(text) > 1 and text[0] == "{" and text[-1] == "}" else text)
+
+
 def unwrapped(text: Column) -> Column:
     """A whole cue in braces loses them (aligned transcripts)."""
     braces = (F.length(text) >= 2) & text.startswith("{") & text.endswith("}")

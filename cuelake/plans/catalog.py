@@ -143,7 +143,7 @@ _CLICK, _ERROR, _BUY = _gram(("click",), name="a"), _gram(("error",), name="b"),
 _OF, _WITH, _WAS = _gram(("of",), name="a"), _gram(("with",), name="b"), _gram(("was",), name="c")
 _LEMMA = """, stems AS (SELECT token, count, unnest(list_distinct(list_filter([low, CASE WHEN low LIKE '%s' AND length(low) > 2 THEN low[:-2] END, CASE WHEN low LIKE '%ses' AND length(low) > 4 THEN low[:-4] || 's' END,
  CASE WHEN low LIKE '%xes' AND length(low) > 4 THEN low[:-4] || 'x' END, CASE WHEN low LIKE '%zes' AND length(low) > 4 THEN low[:-4] || 'z' END, CASE WHEN low LIKE '%ches' AND length(low) > 5 THEN low[:-5] || 'ch' END,
- CASE WHEN low LIKE '%shes' AND length(low) > 5 THEN low[:-5] || 'sh' END, CASE WHEN low LIKE '%ies' AND length(low) > 4 THEN low[:-4] || 'y' END], lambda x: x IS NOT NULL))) AS lemma FROM (SELECT *, lower(token) AS low FROM lex)
+ CASE WHEN low LIKE '%shes' AND length(low) > 5 THEN low[:-5] || 'sh' END, CASE WHEN low LIKE '%ies' AND length(low) > 4 THEN low[:-4] || 'y' END, CASE WHEN low LIKE '%men' AND length(low) > 4 THEN low[:-4] || 'man' END], lambda x: x IS NOT NULL))) AS lemma FROM (SELECT *, lower(token) AS low FROM lex)
  WHERE low NOT IN ('feet', 'men', 'women', 'children', 'teeth', 'geese', 'mice')),
 same AS (SELECT DISTINCT token FROM stems WHERE lemma IN ('er', 'ers'))"""
 

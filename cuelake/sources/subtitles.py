@@ -54,17 +54,35 @@ def decoded(files: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFram
     return files.where(valid).select("name", F.col("content").cast("string").alias("content")), files.where(~valid).select("name")
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """name, line_no, start_ms, end_ms, line of SRT or VTT contents. Blocks without a time line are skipped; a block's text
-    lines are joined by line ends; a cue with no text keeps its place with an empty line."""
+def parse(files: DataFrame, frames_per_second: float = 25.0) -> DataFrame:
+    """name, line_no, start_ms, end_ms, line of SRT, VTT, SSA/ASS or MicroDVD contents, told apart by what they hold.
+
+    SRT and VTT: blocks without a time line are skipped; a block's text lines are joined by line ends. SSA and ASS: each
+    Dialogue is a cue, its text as it stands. MicroDVD: times are frames, and "|" ends a line. A cue with no text keeps its
+    place with an empty line.
+    """
     body = F.regexp_replace(F.regexp_replace("content", "^\ufeff", ""), "\r\n?", "\n")
-    blocks = files.select("name", F.posexplode(F.split(body, r"\n[ \t]*\n+")).alias("at", "block"))
-    found = lambda k: F.regexp_extract("block", rf"(?s)(?:^|\n){_TIME}[ \t]*-->[ \t]*{_TIME}[^\n]*\n?(.*)$", k)
-    number = lambda k: F.coalesce(F.when(found(k) != "", found(k).cast("long")), F.lit(0))
-    millis = lambda k: F.rpad(found(k), 3, "0").cast("long")
-    time = lambda k: ((number(k) * 60 + number(k + 1)) * 60 + number(k + 2)) * 1000 + millis(k + 3)
-    timed = blocks.where(F.col("block").rlike(rf"(?:^|\n){_TIME}[ \t]*-->[ \t]*{_TIME}"))
-    cues = timed.select("name", "at", time(1).alias("start_ms"), time(5).alias("end_ms"), F.regexp_replace(found(9), "\n+$", "").alias("line"))
+    kind = F.when(body.rlike(r"(?im)^\[Events\][ \t]*$"), "ssa").when(body.rlike(r"^\s*\{\d+\}\{\d+\}"), "frames").otherwise("blocks")
+    told = files.select("name", body.alias("body"), kind.alias("kind"))
+    ends = F.when(F.col("kind") == "blocks", r"\n[ \t]*\n+").otherwise("\n")
+    blocks = told.select("name", "kind", F.posexplode(F.split("body", ends)).alias("at", "block"))
+    span, dialogue, frames = rf"(?:^|\n){_TIME}[ \t]*-->[ \t]*{_TIME}", rf"^Dialogue:[^,]*,[ \t]*{_TIME}[ \t]*,[ \t]*{_TIME}[ \t]*,", r"^\{(\d+)\}\{(\d+)\}"
+    by_kind = lambda blocks, ssa, frames: F.when(F.col("kind") == "blocks", blocks).when(F.col("kind") == "ssa", ssa).otherwise(frames)
+    timed = blocks.where(by_kind(F.col("block").rlike(span), F.col("block").rlike(dialogue), F.col("block").rlike(frames)))
+
+    def clock(pattern: str, k: int):
+        part = lambda i: F.regexp_extract("block", pattern, i)
+        number = lambda i: F.coalesce(F.when(part(i) != "", part(i).cast("long")), F.lit(0))
+        return ((number(k) * 60 + number(k + 1)) * 60 + number(k + 2)) * 1000 + F.rpad(part(k + 3), 3, "0").cast("long")
+
+    frame = lambda i: F.floor(F.regexp_extract("block", frames, i).cast("double") * 1000 / frames_per_second)
+    time = lambda k, i: by_kind(clock(span, k), clock(dialogue, k), frame(i)).cast("long")
+    text = by_kind(
+        F.regexp_replace(F.regexp_extract("block", rf"(?s){span}[^\n]*\n?(.*)$", 9), "\n+$", ""),
+        F.regexp_extract("block", rf"{dialogue}(?:[^,]*,){{6}}(.*)$", 9),
+        F.replace(F.regexp_replace("block", frames, ""), F.lit("|"), F.lit("\n")),
+    )
+    cues = timed.select("name", "at", time(1, 1).alias("start_ms"), time(5, 2).alias("end_ms"), text.alias("line"))
     place = F.row_number().over(Window.partitionBy("name").orderBy("at")) - 1
     return cues.select("name", place.cast("int").alias("line_no"), "start_ms", "end_ms", "line")
 

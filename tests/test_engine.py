@@ -242,6 +242,19 @@ def test_merged_and_negative_gaps(spark):
     assert tuple(two.select(postings.merged(F.col("a"), F.col("b"))).first()[0]) == (0.5, 2.0, 5, 6)
 
 
+def test_other_subtitle_formats(spark):
+    ssa = "[Script Info]\nTitle: x\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\nDialogue: 0,0:00:01.50,0:01:02.00,Default,,0,0,0,,Well, hello\nComment: 0,0:00:01.50,0:01:02.00,Default,,0,0,0,,no\nDialogue: 0,1:00:00.00,1:00:01.00,Default,,0,0,0,,\n"
+    files = spark.createDataFrame([("a.ass", ssa), ("b.sub", "{25}{50}two|lines\r\n{75}{80}\n\nx"), ("c", "WEBVTT\n\n00:01.000 --> 00:02.000\n{1}{2}")], "name string, content string")
+    assert sorted(map(tuple, subtitles.parse(files).collect())) == [("a.ass", 0, 1500, 62000, "Well, hello"), ("a.ass", 1, 3600000, 3601000, ""), ("b.sub", 0, 1000, 2000, "two\nlines"), ("b.sub", 1, 3000, 3200, ""), ("c", 0, 1000, 2000, "{1}{2}")]
+
+
+def test_tokenizers(spark):
+    assert text.tokenize_aligned("{a b}") == ["a", "b"] == Query("{a}", tokenizer=text.tokenize_aligned).explain()["terms"] + ["b"] and text.tokenize_aligned("{") == ["{"] and text.tokenize_aligned("") == []
+    letters = lambda line: F.regexp_extract_all(F.lower(line), F.lit("."), 0)
+    c = corpora.build(spark.createDataFrame([(0, "d")], "doc_id int, name string"), spark.createDataFrame([(0, 0, 0, 1, "Aba")], ROW), tokenizer=letters)
+    assert {r["token"]: r["count"] for r in c.lexicon.collect()} == {"a": 2, "b": 1}
+
+
 def test_dense_ids_of_one_prefix(spark):
     names = [f"document/{i:05d}" for i in range(300)] + ["d", "doc", "document/", "é", "zz"]
     counts = spark.createDataFrame([(n, 1) for n in names], "token string, count long")
