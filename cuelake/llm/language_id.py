@@ -2,7 +2,7 @@
 
 A text is a vector of hashed letter n-grams (of two and three bytes, within and at the edges of words), weighted by
 1 + log(count) and inverse document frequency and scaled to length 1. Every language has several centroids, from spherical
-k-means of its training rows. The nearest centroid by cosine gives the language; a text with less than half (`slack`) the
+k-means of its training rows. The nearest centroid by cosine gives the language; a text with less than 0.4 (`slack`) of the
 least cosine of training rows of like length is rejected, and one of score 0 always. Like length is within a doubling, and
 needs `support` rows; texts shorter than any such length are rejected at score 0 only.
 
@@ -75,7 +75,7 @@ def _clusters(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 class Centroids:
     """Fitted model, from log(1 + count) of the n-grams (a row per text) and how many each has: languages, centroids, weights and the least cosine that is accepted for each length."""
 
-    def __init__(self, counts: np.ndarray, grams: np.ndarray, langs: list[str], per_class: int = 3, slack: float = 0.5, seed: int = 11, support: int = 5):
+    def __init__(self, counts: np.ndarray, grams: np.ndarray, langs: list[str], per_class: int = 3, slack: float = 0.4, seed: int = 11, support: int = 5):
         self.dims = counts.shape[1] if counts.ndim == 2 else 0
         useful = grams > 0
         counts, grams, langs = counts[useful], grams[useful], np.array(langs, object)[useful]
@@ -127,7 +127,7 @@ def _hash(doc_id: str) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8"))
 
 
-def fit_languages(docs: DataFrame, usable: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 800, fit_rows: int = 8000, most_languages: int = 256, dims: int = 4096, per_class: int = 3, slack: float = 0.5, seed: int = 11) -> Centroids:
+def fit_languages(docs: DataFrame, usable: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 800, fit_rows: int = 8000, most_languages: int = 256, dims: int = 4096, per_class: int = 3, slack: float = 0.4, seed: int = 11) -> Centroids:
     """Learn centroids from rows with a language for which `usable` holds (all, if none). Of each language at most
     `per_language` rows are read, and no more than `fit_rows` over the number of languages: those with the least hashes of
     doc_id and text. Rows equal in both teach once, and ties can't be then; rows with no letters teach nothing. Without any
