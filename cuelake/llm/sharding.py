@@ -35,7 +35,9 @@ def stratified_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17, doc_id
     A row's fraction is (rank in its source + a hash of the source from 0 to 1) / rows of the source; the hash keeps many
     small sources from meeting at one fraction. A null source is a stratum of its own; null text has size 1; null doc_id
     stays null. Ties in the seeded hash are rows with the same doc_id: text_crc32 and size order them, and rows equal in
-    these too are interchangeable. An empty table gives no rows. Other columns are not read.
+    these too are interchangeable. Groups of equal texts are not kept together: one may be larger than a shard, which this law
+    forbids, so their rows are shuffled like all others. Only the size and checksum of a text are taken, however long it is.
+    An empty table gives no rows. Other columns, whatever their names, are not read.
     """
     body = F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")
     stratum = F.concat(F.when(F.col(source).isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(F.col(source).cast("string"), F.lit("")))

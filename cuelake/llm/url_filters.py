@@ -117,7 +117,8 @@ def filter_urls(pages: DataFrame, site_rules=SITE_RULES, block_globs=BLOCK_GLOBS
 
     Host: after the first "://" up to "/", "?", "#" or the end, A-Z lower-cased; path: then up to "?", "#" or the end. A null
     url or one without "://" has both empty and is judged as the empty URL. Of rules of one length the one given first wins.
-    Repeated rows are judged each; an empty table gives no rows; other columns are not read.
+    Repeated rows are judged each, whole URLs always, however long; an empty table gives no rows; other columns, whatever their
+    names, are not read.
     """
     ship(pages.sparkSession)
     rest = F.when(F.instr(F.col(url), "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)"))
