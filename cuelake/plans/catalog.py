@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text
 from cuelake.operators import decode, documents, lexicon, postings, report, search, windows
+from cuelake.plans.index import Index
 from cuelake.plans.query import Query
 from cuelake.sources import corpus as corpora
+from cuelake.sources import subtitles
 from cuelake.sources.corpus import Corpus
 from cuelake.sources.folders import shared_folder
+from cuelake.streaming import ingest
 
 MS_PER_TOKEN = 400
 
@@ -193,6 +197,105 @@ def _cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "query string, cost double")
 
 
+def _files(spark: SparkSession, sf_dir: str, vtt: bool) -> DataFrame:
+    """Subtitle files of the documents."""
+    c = _once(documents_corpus, spark, sf_dir)
+    return decode.subtitles(c, vtt).join(c.documents.select("doc_id", "name"), "doc_id").select("name", "content")
+
+
+def _work(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def _lexicon_file(c: Corpus) -> DataFrame:
+    spark, path = c.lexicon.sparkSession, _work(c.lexicon.sparkSession, "lexicon")
+    subtitles.store_lexicon(c.lexicon, path)
+    return subtitles.load_lexicon(spark, path)
+
+
+def _documents_file(c: Corpus) -> DataFrame:
+    spark, path = c.lexicon.sparkSession, _work(c.lexicon.sparkSession, "documents")
+    subtitles.store_documents(c.documents, path)
+    return subtitles.load_documents(spark, path)
+
+
+def _chunked(c: Corpus) -> DataFrame:
+    """The corpus stored in four ranges of documents, and how many documents, lines and tokens each table has then."""
+    spark, path = c.lexicon.sparkSession, _work(c.lexicon.sparkSession, "chunks")
+    c.store(path, files=4)
+    again = corpora.load(spark, path)
+    count = lambda t: t.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return count(again.lines).withColumn("kind", F.lit("lines")).unionByName(count(again.tokens).withColumn("kind", F.lit("tokens"))).unionByName(count(again.documents).withColumn("kind", F.lit("documents")))
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a manifest that lists the documents by falling id."""
+    path = _work(spark, "manifest")
+    _once(documents_corpus, spark, sf_dir).documents.orderBy(F.desc("doc_id")).select(F.concat("name", F.lit("\t/data/"), "name", F.lit("\n"))).write.text(path)
+    return subtitles.in_order(subtitles.read_manifest(spark, path), 5)
+
+
+_KEYS = ("the", "The", "of", "Tion", "nosuchword", 0, 17, 10_000_000)
+
+
+def _keyed(c: Corpus) -> DataFrame:
+    """Words by key, whether they are there, and how many differ from them in case alone (0: none)."""
+    rows = []
+    with Index(c) as index:
+        for key in _KEYS:
+            there = key in index.words
+            word = index.words[key] if there else (None, None, None)
+            rows.append((str(key), there, *word, len(index.words.case_insensitive(key) or ()) if there else None))
+    return c.lexicon.sparkSession.createDataFrame(rows, "key string, there boolean, word_id int, token string, count long, variants int")
+
+
+def _opened(c: Corpus) -> DataFrame:
+    """Single documents: whether they are there, their length, first tokens, lines up to 20 s and position at 30 s."""
+    rows = []
+    with Index(c) as index:
+        for key in (0, 3, 11, 999_999_999):
+            if not index.document_exists(key):
+                rows.append((key, False, None, None, None, None))
+                continue
+            one = index.document(key)
+            rows.append((key, True, one.length, ",".join(map(str, one.tokens(0, 5))), len(one.lines(0, 20)), one.position(30)))
+    return c.lexicon.sparkSession.createDataFrame(rows, "key int, there boolean, n_tokens int, first string, n_lines int, position int")
+
+
+def _merged(c: Corpus) -> DataFrame:
+    """Each posting of a word merged with the next one of its document."""
+    order = Window.partitionBy("doc_id").orderBy("idx")
+    own = F.struct("start", "end", "idx", "len")
+    rows = search.search(c, "of").select("doc_id", own.alias("a"), F.lead(own).over(order).alias("b")).where("b IS NOT NULL")
+    return _shown(rows.select("doc_id", postings.merged(F.col("a"), F.col("b")).alias("m")).select("doc_id", "m.*"))
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon of a corpus whose tokens are lower-cased."""
+    return corpora.build(*document_cues(spark, sf_dir), tokenizer=lambda line: F.transform(text.tokens(line), F.lower)).lexicon
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts of a stream of cues, after all of it."""
+    path, name = _work(spark, "stream"), f"counts_{uuid.uuid4().hex}"
+    document_cues(spark, sf_dir)[1].select("line").write.parquet(path)
+    counts = ingest.running_counts(spark.readStream.schema("line string").parquet(path))
+    run = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _work(spark, "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select("token", "count")
+
+
+def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(q, json.dumps(Query(q).explain())) for q in _TREES], "query string, tree string")
+
+
+_TREES = {
+    "of the": '{"op": "Phrase", "terms": ["of", "the"]}',
+    "a [b] | c": '{"op": "Or", "children": [{"op": "Phrase", "terms": ["a", "[b]"]}, {"op": "Phrase", "terms": ["c"]}]}',
+    "a & (b \\ c // 2)": '{"op": "And", "threshold": "15 seconds", "children": [{"op": "Phrase", "terms": ["a"]}, {"op": "Not", "threshold": "2 tokens", "children": [{"op": "Phrase", "terms": ["b"]}, {"op": "Phrase", "terms": ["c"]}]}]}',
+}
+
+
 _QUERIES = {
     "token_scan": _docs(lambda c: documents.scan(c)),
     "token_scan_limit": _docs(lambda c: documents.scan(c, 100)),
@@ -239,10 +342,31 @@ _QUERIES = {
     "search_summary": _docs(lambda c: report.summary(search.search(c, "the"))),
     "decode_srt": _docs(lambda c: decode.subtitles(c)),
     "decode_vtt": _docs(lambda c: decode.subtitles(c, vtt=True)),
+    "parse_srt": lambda spark, sf_dir: subtitles.parse(_files(spark, sf_dir, False)),
+    "parse_vtt": lambda spark, sf_dir: subtitles.parse(_files(spark, sf_dir, True)),
+    "lexicon_file": _docs(_lexicon_file),
+    "documents_file": _docs(_documents_file),
+    "stored_chunks": _docs(_chunked),
+    "manifest_ids": _manifest,
+    "words_by_key": _docs(_keyed),
+    "document_by_key": _docs(_opened),
+    "posting_merge": _docs(_merged),
+    "folded_lexicon": _folded,
+    "streamed_counts": _streamed,
+    "query_trees": _trees,
     "lexicon_update": lambda spark, sf_dir: _once(grown_corpus, spark, sf_dir).lexicon,
     "update_search": lambda spark, sf_dir: search.search(_once(grown_corpus, spark, sf_dir), "of the").groupBy("doc_id").agg(F.count("*").alias("n")),
 }
 
+
+
+def _parsed(mark: str) -> str:
+    """SQL of the cues that subtitle files of the documents hold."""
+    ms = lambda t: f"floor({_sec(t)}::DOUBLE * 1000)::BIGINT"
+    return _D + f""", ls AS (SELECT doc_id, line_no, start_ms, end_ms, list(CASE WHEN known THEN token ELSE 'UNKNOWN' END ORDER BY pos) AS ws FROM tok GROUP BY ALL)
+SELECT name, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INT AS line_no, {ms('start_ms')} AS start_ms, {ms('end_ms')} AS end_ms, {_plain('ws')} AS line FROM ls JOIN names USING (doc_id)"""
+
+
 _BI = _gram(("of",), ("the",))
 _NEWLEX = """, old AS (SELECT token, count(*) AS n FROM tok WHERE known AND doc_id % 2 = 0 GROUP BY token), odd AS (SELECT token, count(*) AS n FROM tok WHERE known AND doc_id % 2 = 1 GROUP BY token),
 base AS (SELECT row_number() OVER (ORDER BY token) - 1 AS word_id, token, n FROM old), fresh AS (SELECT row_number() OVER (ORDER BY token) - 1 + (SELECT count(*) FROM old) AS word_id, token, n FROM odd WHERE token NOT IN (SELECT token FROM old))"""
@@ -301,6 +425,24 @@ SELECT h.doc_id::INT AS doc_id, h.ms, coalesce(l.pos, e.total)::INT AS position
     "search_summary": _D + _gram(("the",), name="a") + _island("a", 0, False, "r") + ' SELECT (SELECT count(DISTINCT doc_id) FROM a) AS documents, (SELECT count(*) FROM a) AS occurrences, floor((SELECT sum(round(("end"::DOUBLE - "start"::DOUBLE) * 1000)) FROM r) / 1000)::BIGINT AS seconds',
     "decode_srt": _subtitles(",", "''", True),
     "decode_vtt": _subtitles(".", "'WEBVTT' || chr(13) || chr(10) || chr(13) || chr(10)", False),
+    "parse_srt": _parsed(","),
+    "parse_vtt": _parsed("."),
+    "lexicon_file": _D + " SELECT word_id::INT AS word_id, token, count FROM lex",
+    "documents_file": _D + " SELECT doc_id::INT AS doc_id, name FROM names",
+    "stored_chunks": _D + " SELECT 'lines' AS kind, count(*) AS n, count(DISTINCT doc_id) AS docs FROM line UNION ALL SELECT 'tokens', count(*), count(DISTINCT doc_id) FROM tok UNION ALL SELECT 'documents', count(*), count(DISTINCT doc_id) FROM names",
+    "manifest_ids": _D + " SELECT (row_number() OVER (ORDER BY doc_id DESC) + 4)::INT AS doc_id, name FROM names",
+    "words_by_key": _D + f", asked AS (SELECT unnest([{', '.join(chr(39) + str(k) + chr(39) for k in _KEYS)}]) AS key), v AS (SELECT lower(token) AS folded, count(*) AS n FROM lex GROUP BY 1)" + """
+ SELECT key, word_id IS NOT NULL AS there, word_id::INT AS word_id, token, count, CASE WHEN word_id IS NULL THEN NULL WHEN v.n > 1 THEN v.n ELSE 0 END::INT AS variants
+ FROM asked LEFT JOIN lex ON CASE WHEN regexp_full_match(key, '[0-9]+') THEN CAST(word_id AS VARCHAR) = key ELSE token = key END LEFT JOIN v ON v.folded = lower(token)""",
+    "document_by_key": _D + """, asked AS (SELECT unnest([0, 3, 11, 999999999]) AS key),
+ facts AS (SELECT doc_id, sum(n)::INT AS n_tokens, (count(*) FILTER (start_ms <= 20000))::INT AS n_lines,
+   coalesce(min(pos) FILTER (end_ms >= 30000), max(pos + n))::INT AS position FROM line GROUP BY doc_id),
+ firsts AS (SELECT doc_id, string_agg(coalesce(word_id, 16777215)::VARCHAR, ',' ORDER BY pos) AS "first" FROM tok LEFT JOIN lex USING (token) WHERE pos < 5 GROUP BY doc_id)
+ SELECT key::INT AS key, names.doc_id IS NOT NULL AS there, n_tokens, CASE WHEN names.doc_id IS NOT NULL THEN coalesce("first", '') END AS "first", n_lines, position FROM asked LEFT JOIN names ON doc_id = key LEFT JOIN facts USING (doc_id) LEFT JOIN firsts USING (doc_id)""",
+    "posting_merge": _D + _gram(("of",), name="a") + """, m AS (SELECT *, lead(idx) OVER w AS i2, lead(len) OVER w AS l2, lead("start") OVER w AS s2, lead("end") OVER w AS e2 FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY idx)) """ + 'SELECT doc_id::INT AS doc_id, least("start", s2)::DOUBLE AS start_s, greatest("end", e2)::DOUBLE AS end_s, idx::INT AS idx, (i2 + l2 - idx)::INT AS len FROM m WHERE i2 IS NOT NULL',
+    "folded_lexicon": _D + ", f AS (SELECT lower(token) AS token, count(*) AS count FROM tok WHERE strlen(lower(token)) <= 20 GROUP BY 1) SELECT (row_number() OVER (ORDER BY token) - 1)::INT AS word_id, token, count FROM f",
+    "streamed_counts": _D + " SELECT token, count(*) AS count FROM tok WHERE known GROUP BY token",
+    "query_trees": "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{t}')" for q, t in _TREES.items()) + ") AS t(query, tree)",
     "lexicon_update": _D + _NEWLEX + " SELECT word_id::INT AS word_id, token, (base.n + coalesce(odd.n, 0))::BIGINT AS count FROM base LEFT JOIN odd USING (token) UNION ALL SELECT word_id::INT, token, n::BIGINT FROM fresh",
     "update_search": _D + _BI + ", nid AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE (SELECT max(doc_id) + 1 FROM names WHERE doc_id % 2 = 0) + row_number() OVER (PARTITION BY doc_id % 2 ORDER BY name) - 1 END AS new_id FROM names) SELECT new_id::INT AS doc_id, count(*) AS n FROM hit JOIN nid USING (doc_id) GROUP BY 1",
 }

@@ -19,6 +19,7 @@ from cuelake.functions import text
 
 MAX_TOKEN_BYTES = 20
 MAX_LINE_MS = 65535
+TOKENS_IN_FILE = 10_000_000
 DOCUMENTS = T.StructType().add("doc_id", "integer").add("name", "string").add("n_tokens", "integer").add("duration_ms", "long")
 LEXICON = T.StructType().add("word_id", "integer").add("token", "string").add("count", "long")
 LINES = T.StructType().add("doc_id", "integer").add("line_no", "integer").add("start_ms", "long").add("end_ms", "long").add("pos", "integer").add("len", "integer")
@@ -167,7 +168,12 @@ def build(names: DataFrame, cues: DataFrame, lexicon: DataFrame | None = None, m
 
 
 def build_stored(names: DataFrame, cues: DataFrame, path: str, lexicon: DataFrame | None = None, max_bytes: int = MAX_TOKEN_BYTES, tokenizer=text.tokens, files: int | None = None) -> Corpus:
-    """Build a corpus at `path` and load it. As `build`, but lines are split, and words counted, once: both are written first."""
+    """Build a corpus at `path` and load it. As `build`, but lines are split, and words counted, once: both are written first.
+
+    Tables are ranged by document over `files`, or over as many as have TOKENS_IN_FILE tokens each (or, in a small corpus, as
+    keep all cores at work): so a single document is read from the few row groups that may hold it, and a word, by which rows
+    are sorted in each file, from few pages of all of them.
+    """
     spark, work = cues.sparkSession, f"{path}/building"
 
     def written(table: DataFrame, name: str) -> DataFrame:
@@ -178,6 +184,9 @@ def build_stored(names: DataFrame, cues: DataFrame, path: str, lexicon: DataFram
     if lexicon is None:
         lexicon = dense_ids(written(count_tokens(split, max_bytes), "counts"))
     lexicon = written(lexicon.select(*LEXICON.names), "lexicon")
+    if files is None:
+        total = split.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+        files = max(1, -(-total // TOKENS_IN_FILE), min(spark.sparkContext.defaultParallelism, total // 100_000))
     Corpus(document_table(names, split), lexicon, line_table(split), with_word_ids(placed_tokens(split), lexicon)).store(path, files)
     fs, folder = _file_system(spark, work)
     fs.delete(folder, True)
