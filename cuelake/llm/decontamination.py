@@ -4,9 +4,9 @@ The index is a stored table of segments. A segment holds the postings of all wor
 SEGMENT_BYTES of text): its terms, how many places each has, and the places themselves, as gaps. Whole documents are in one
 segment, so a match never crosses two, and segments are read and searched apart from each other: no shuffle.
 
-A window of test words is looked up from its rarest term in the whole index: the places of that term, adjusted by its offset,
-are intersected with those of the next rarest, and so on. A segment looks only at windows whose rarest term it has. Terms are
-compared as strings, so matches are exact. Test items come in blocks of at most `block_words` words, which are broadcast; all
+A segment looks only at windows of test words whose rarest term in the whole index it has. Such a window is looked up from its
+rarest term in the segment: the places of that term, adjusted by its offset, are intersected with those of the next rarest,
+and so on. Terms are compared as strings, so matches are exact. Test items come in blocks of at most `block_words` words, which are broadcast; all
 blocks search the one stored index.
 """
 
@@ -26,6 +26,8 @@ from ._common import ROW, Words, chunks, lean, lower_ascii, read_table, row_numb
 
 #: Bytes of text in a segment (a longer text is a segment of its own).
 SEGMENT_BYTES = 4 << 20
+#: Places that are intersected at a time.
+PLACES = 1 << 19
 #: Words that a proximity match of op6_near_matches may have beyond those of the window.
 NEAR_SLOP = 5
 
@@ -134,14 +136,13 @@ class Phrases:
             self.table[i, : len(w)] = w
 
     def plan(self, counts: np.ndarray) -> None:
-        """Given how often each term stands in the index: keep windows whose terms all do, and the order in which each is looked up."""
+        """Given how often each term stands in the index: keep windows whose terms all do, in the order of their rarest."""
         seen = np.where(self.table >= 0, counts[np.maximum(self.table, 0)], np.iinfo(np.int64).max)
         live = np.flatnonzero(seen.min(axis=1) > 0) if len(seen) else np.zeros(0, np.int64)
-        offsets = np.argsort(seen[live], axis=1, kind="stable")
-        lead = self.table[live, offsets[:, 0]] if len(live) else live
+        lead = self.table[live, seen[live].argmin(axis=1)] if len(live) else live
         order = np.argsort(lead, kind="stable")
         live = live[order]
-        self.items, self.length, self.table, self.offsets = [self.items[i] for i in live], self.length[live], self.table[live], offsets[order]
+        self.items, self.length, self.table = [self.items[i] for i in live], self.length[live], self.table[live]
         self.of_lead = np.searchsorted(lead[order], np.arange(len(self.terms) + 1))  # where the windows of each rarest term begin
 
 
@@ -163,44 +164,56 @@ class Search:
         self.term_at = np.full(self.words, -1, np.int64)
         self.term_at[self.places] = np.repeat(term[some], n)
 
-    def _candidates(self) -> np.ndarray:
-        """Windows whose rarest term is here."""
+    def _candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows all of whose terms are here, and the order in which their terms are looked up: from the one that is rarest here.
+        They are picked by the rarest term of the whole index, and come in parts with about PLACES places of their first terms."""
         lead = np.flatnonzero(self.count > 0)
         begin, n = self.phrases.of_lead[lead], self.phrases.of_lead[lead + 1] - self.phrases.of_lead[lead]
-        return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        live = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        for at in range(0, len(live), 50_000):
+            some = live[at : at + 50_000]
+            table = self.phrases.table[some]
+            here = np.where(table >= 0, self.count[np.maximum(table, 0)], np.iinfo(np.int64).max)
+            whole = here.min(axis=1) > 0
+            some, here = some[whole], here[whole]
+            offsets = np.argsort(here, axis=1, kind="stable")
+            places = np.cumsum(here.min(axis=1)) if len(some) else here[:, 0]
+            done = 0
+            while done < len(some):
+                to = max(done + 1, int(np.searchsorted(places, (places[done - 1] if done else 0) + PLACES, side="right")))
+                yield some[done:to], offsets[done:to]
+                done = to
 
     def document(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, places, side="right") - 1
 
     def phrase_matches(self) -> tuple[np.ndarray, np.ndarray]:
         """Window numbers and first words (places in the segment) of all exact occurrences."""
-        table, length = self.phrases.table, self.phrases.length
-        live = self._candidates()
-        lead = table[live, self.phrases.offsets[live, 0]] if len(live) else live
-        n = self.count[lead]
-        which = np.repeat(live, n)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[lead], n)
-        start = self.places[place] - self.phrases.offsets[which, 0]
-        fits = (start >= 0) & (start + length[which] <= self.words)
-        which, start = which[fits], start[fits]
-        for k in range(1, table.shape[1]):
-            if not len(which):
-                break
-            offset = self.phrases.offsets[which, k]
-            used = k < length[which]
-            same = ~used | (self.term_at[start + np.where(used, offset, 0)] == table[which, offset])
-            which, start = which[same], start[same]
-        inside = self.document(start) == self.document(start + length[which] - 1)
-        return which[inside], start[inside]
+        table, length, found = self.phrases.table, self.phrases.length, []
+        for live, offsets in self._candidates():
+            lead = table[live, offsets[:, 0]]
+            n = self.count[lead]
+            which = np.repeat(np.arange(len(live)), n)
+            start = self.places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[lead], n)] - offsets[which, 0]
+            fits = (start >= 0) & (start + length[live[which]] <= self.words)
+            which, start = which[fits], start[fits]
+            for k in range(1, table.shape[1]):
+                if not len(which):
+                    break
+                offset = offsets[which, k]
+                used = k < length[live[which]]
+                same = ~used | (self.term_at[start + np.where(used, offset, 0)] == table[live[which], offset])
+                which, start = which[same], start[same]
+            inside = self.document(start) == self.document(start + length[live[which]] - 1)
+            found.append((live[which[inside]], start[inside]))
+        return tuple(np.concatenate([x[k] for x in found] + [np.zeros(0, np.int64)]) for k in (0, 1))
 
     def proximity_matches(self, slop: int) -> list[tuple[int, int, int]]:
         """(window number, first word, words) of least spans that hold all terms of a window within its length plus slop."""
         found = set()
         table, length = self.phrases.table, self.phrases.length
-        for w in self._candidates().tolist():
-            terms = list(dict.fromkeys(table[w, self.phrases.offsets[w, : length[w]]].tolist()))
-            if not self.count[terms].all():
-                continue
+        for w, order in ((w, order) for live, offsets in self._candidates() for w, order in zip(live.tolist(), offsets, strict=True)):
+            terms = list(dict.fromkeys(table[w, order[: length[w]]].tolist()))
             reach = int(length[w]) + slop
             lists = [self.places[self.begin[t] : self.begin[t + 1]] for t in terms]
             lead = lists[0]

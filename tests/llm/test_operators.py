@@ -449,6 +449,30 @@ def test_segments(texts):
     assert at == len(every) and own.first.tolist() == np.cumsum([0] + [len(words(t)) for t in texts]).tolist()
 
 
+def test_search_in_parts_against_brute_force(monkeypatch):
+    r = random.Random(21)
+    line = lambda n: [r.choice("abcde") for _ in range(n)]
+    texts = [line(r.randint(0, 30)) for _ in range(40)]
+    items = [(i, " ".join(line(r.randint(1, 7)))) for i in range(30)] + [(99, "a zz b")]
+    segment = decontamination.Segment.of(pa.array([" ".join(t) for t in texts]))
+    for places in (1 << 19, 2):
+        monkeypatch.setattr(decontamination, "PLACES", places)
+        phrases = decontamination.Phrases(items, 4)
+        every = [w for t in texts for w in t]
+        phrases.plan(np.array([every.count(t) for t in phrases.terms.to_pylist()]))
+        search = decontamination.Search(segment, phrases)
+        terms = phrases.terms.to_pylist()
+        spelled = [[terms[k] for k in row if k >= 0] for row in phrases.table]
+        want = set()
+        for w, win in enumerate(spelled):
+            for d, t in enumerate(texts):
+                want |= {(w, int(segment.first[d]) + s) for s in range(len(t) - len(win) + 1) if t[s : s + len(win)] == win}
+        got = list(zip(*(x.tolist() for x in search.phrase_matches()), strict=True))
+        assert set(got) == want and len(got) == len(want) and len(want) > 50
+        near = {(w, a) for w, a, _ in search.proximity_matches(0)}
+        assert want <= near
+
+
 def test_near_matches_query(spark, tmp_path):
     import __spark_entry__
 
