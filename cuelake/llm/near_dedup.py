@@ -33,6 +33,8 @@ from .components import components
 
 #: Bits to which a trie's nodes are counted: at most 2**REGION numbers for each trie come to the driver and go to the workers.
 REGION = 12
+#: Pairs of fingerprints that are compared, and pairs of near ones that are counted, at a time.
+PAIRS = 1 << 18
 #: Bits of a fingerprint, and the columns that hold them.
 BITS = 256
 PRINT = ["f0", "f1", "f2", "f3"]
@@ -129,49 +131,57 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = now
 
 
-def near_pairs(left: np.ndarray, right: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs within the distance of rows of `left` and `right`; if these are the same, of each pair once."""
-    same, found = left is right, []
-    at = 0
+def near_pairs(left: np.ndarray, right: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs within the distance of rows of `left` and `right`, in parts; if these are the same, of each pair once."""
+    same, at = left is right, 0
     while at < len(left):
         skip = at if same else 0
-        to = min(len(left), at + max(1, (1 << 18) // max(1, len(right) - skip)))
+        to = min(len(left), at + max(1, PAIRS // max(1, len(right) - skip)))
         a, b = left[at:to], right[skip:]
         i, j = np.nonzero(np.bitwise_count(a[:, :1] ^ b[:, 0]) + np.bitwise_count(a[:, 1:2] ^ b[:, 1]) <= distance)
         if same:
             i, j = i[j > i], j[j > i]
         near = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= distance
-        found.append((i[near] + at, j[near] + skip))
+        yield i[near] + at, j[near] + skip
         at = to
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
 def leaf_links(group: np.ndarray, trie: np.ndarray, side: np.ndarray, cross: np.ndarray, rep: np.ndarray, prints: np.ndarray, forest: Forest, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For rows sorted by group, then side: classes, their links that this trie is first to find, and the least class they are
-    linked to. A cross group has rows of two blocks, of which only pairs between the two count."""
-    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    pairs = []
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if b - a > 1:
-            middle = a + int(np.searchsorted(side[a:b], side[b - 1])) if cross[a] else a
-            left = prints[a:b] if middle == a else prints[a:middle]
-            i, j = near_pairs(left, left if middle == a else prints[middle:b], distance) if middle > a or not cross[a] else (np.zeros(0, np.int64),) * 2
-            pairs.append((i + a, j + middle))
-    i = np.concatenate([x for x, _ in pairs] + [np.zeros(0, np.int64)])
-    j = np.concatenate([x for _, x in pairs] + [np.zeros(0, np.int64)])
-    if len(i):
+    linked to. A cross group has rows of two blocks, of which only pairs between the two count. Pairs are counted part by part."""
+    classes, own = np.unique(rep, return_inverse=True)
+    links, label = np.zeros(len(classes), np.int64), np.arange(len(classes))
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def count() -> None:
+        nonlocal links, label
+        i, j = (np.concatenate([x[k] for x in waiting]) for k in (0, 1))
+        waiting.clear()
         used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
         leaves = forest.leaves(prints[used])
         fresh = np.zeros(len(i), bool)
-        for s in range(0, len(i), 200_000):
-            some = slice(s, s + 200_000)
+        for s in range(0, len(i), 50_000):
+            some = slice(s, s + 50_000)
             fresh[some] = (leaves[at[: len(i)][some]] == leaves[at[len(i) :][some]]).argmax(axis=1) == trie[i[some]]
-        i, j = i[fresh], j[fresh]
-    nodes, at = np.unique(np.concatenate([rep[i], rep[j]]), return_inverse=True)
-    label = _labels(len(nodes), at[: len(i)], at[len(i) :]) if len(nodes) else np.zeros(0, np.int64)
-    return nodes, np.bincount(at, minlength=len(nodes)), nodes[label]
+        i, j = own[i[fresh]], own[j[fresh]]
+        links += np.bincount(i, minlength=len(classes)) + np.bincount(j, minlength=len(classes))
+        label = _labels(len(classes), label[i], label[j])[label]
+
+    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        middle = a + int(np.searchsorted(side[a:b], side[b - 1])) if cross[a] else a
+        if b - a < 2 or cross[a] and middle == a:
+            continue
+        left = prints[a:middle] if cross[a] else prints[a:b]
+        for i, j in near_pairs(left, prints[middle:b] if cross[a] else left, distance):
+            if len(i):
+                waiting.append((i + a, j + middle))
+                if sum(len(x) for x, _ in waiting) > PAIRS:
+                    count()
+    if waiting:
+        count()
+    linked = np.flatnonzero(links)
+    return classes[linked], links[linked], classes[label[linked]]
 
 
 def _prints(part: pa.RecordBatch) -> np.ndarray:
