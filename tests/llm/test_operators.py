@@ -701,3 +701,14 @@ def test_pipeline(spark, docs, texts, tmp_path):
     nothing.write.parquet(str(tmp_path / "none" / "documents.parquet"))
     spark.createDataFrame([], "item_id int, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
     assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    unset = lambda *_: None
+    session = lambda master, folder: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda _: folder)), conf=SimpleNamespace(get=unset))
+    assert _common.shared_folder(session("spark://host:7077", "hdfs://host/shared/")) == "hdfs://host/shared"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            _common.shared_folder(session(master, None))
