@@ -11,7 +11,7 @@ from cuelake.operators import decode, documents, lexicon, postings, report, sear
 from cuelake.plans.index import Index
 from cuelake.plans.query import Query, QueryError
 from cuelake.sources import corpus as corpora
-from cuelake.sources import subtitles
+from cuelake.sources import folders, subtitles
 from cuelake.streaming import ingest
 
 ROW = "doc_id int, line_no int, start_ms long, end_ms long, line string"
@@ -411,3 +411,14 @@ def test_entry_points_import_without_the_corpus_operators(spark):
 
     assert {"bigram_search", "query_and_time"} <= set(entry.queries()) and "bigram_search" in entry.oracle_sql()
     assert entry.entry(spark).columns == ["doc_id", "start_s", "end_s", "idx", "len"]
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    unset = lambda *_: None
+    session = lambda master, folder: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda _: folder)), conf=SimpleNamespace(get=unset))
+    assert folders.shared_folder(session("spark://host:7077", "hdfs://host/shared/")) == "hdfs://host/shared"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            folders.shared_folder(session(master, None))
