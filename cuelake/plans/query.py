@@ -2,7 +2,7 @@
 
 A query is parsed on the driver into a tree and compiled to one DataFrame plan. And and Not look at the nearest postings in
 the order of a merge, which running windows over each document give, forwards and backwards; they are not "exists" joins.
-All phrases below one operator are a single scan of the tokens.
+All phrases below one operator are a single scan of the tokens, of documents that a rare phrase which must be there leaves.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import text
 from cuelake.functions.lemmas import Lemmatizer, noun_lemmas
 from cuelake.operators import lexicon as words
-from cuelake.operators.search import MAX_NGRAM, POSTING, in_documents, phrase_postings
+from cuelake.operators.search import MAX_NGRAM, MOST_CANDIDATES, POSTING, in_documents, phrase_postings
 from cuelake.sources.corpus import Corpus, WordDoesNotExist
 
 DEFAULT_THRESHOLD = 15
@@ -257,6 +257,17 @@ def _union(nodes: tuple, tokens: DataFrame, known: dict[Term, dict[str, int]]) -
     return out.select("child", *POSTING, "seq")
 
 
+def _pruned(node, tokens: DataFrame, known: dict[Term, dict[str, int]]) -> DataFrame:
+    """The tokens of documents that can have a result: an And's hold all its children, a Not's the first. Of these phrases' slots the
+    rarest tells the documents, if it is much rarer than all else and few enough to broadcast."""
+    sizes = [(sum(known[t].values()), list(known[t])) for n in (node.children if isinstance(node, And) else node.children[:1]) if isinstance(n, Phrase) for t in n.terms]
+    rare, words = min(sizes, default=(0, []))
+    if not words or rare > MOST_CANDIDATES or 4 * rare >= sum(sum(known[t].values()) for t in _terms(node)) - rare:
+        return tokens
+    documents = tokens.where(F.col("word_id").isNotNull() & F.col("token").isin(words)).select("doc_id").distinct()
+    return tokens.join(F.broadcast(documents), "doc_id", "left_semi")
+
+
 def _so_far(key: str):
     """The largest key so far in the child's own order, by which a merge takes its postings."""
     return F.max(key).over(Window.partitionBy("doc_id", "child").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
@@ -274,7 +285,7 @@ def _compile(node, tokens: DataFrame, known: dict[Term, dict[str, int]]) -> Data
     keep = [*POSTING, "seq"]
     if isinstance(node, Phrase):
         return _union((node,), tokens, known).select(*keep)
-    rows = _union(node.children, tokens, known)
+    rows = _union(node.children, tokens if isinstance(node, Or) else _pruned(node, tokens, known), known)
     if isinstance(node, Or):
         order = by_document.orderBy("start", "idx", "child", "before")
         return rows.withColumnRenamed("seq", "before").withColumn("seq", F.row_number().over(order)).select(*keep)

@@ -226,6 +226,15 @@ def test_rarest_slot_first(spark):
     assert {r["child"] for r in with_none.collect()} == {1}
 
 
+def test_documents_of_the_rarest_child(spark):
+    cues = [(d, 0, 0, 1000, "the the of the of of " + ("rare the" if d % 10 == 0 else "")) for d in range(60)]
+    c = make(spark, cues)
+    for query, n in (("the & rare :: 9", 30), ("rare & of & the :: 9", 48), ("rare \\ the // 1", 0), ("(the | of) & rare :: 9", 48)):
+        found = Query(query).execute(c)
+        assert ("LeftSemi" in found._jdf.queryExecution().executedPlan().toString()) and found.count() == n
+    assert "LeftSemi" not in Query("the & of").execute(c)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_context_of_many_and_few(spark, monkeypatch):
     c = make(spark, [(0, 0, 0, 5000, "a b c d a a e f"), (1, 0, 0, 5000, "a"), (2, 0, 0, 5000, "x y")])
     want = [(0, 0, 1, "[a] b c"), (0, 4, 2, "c d [a] [a] e f"), (1, 0, 1, "[a]")]
