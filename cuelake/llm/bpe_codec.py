@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import free_name, lean, read_table, ship, with_id
+from ._common import cache, free_name, lean, read_table, ship, with_id
 
 #: Characters that the normaliser only lower-cases (and white space, which is dropped), and for which this module's tables agree with the library's.
 _COMMON = re.compile("[\\t\\n\\r\\x20-\\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u0148\u014a-\u017f\u2010-\u2027\u2030-\u203a\u20ac]*")
@@ -400,8 +400,8 @@ class Encoder:
         return self.codec.shown([i for i in ids if i in self.codec.text_of])
 
 
-_codecs: dict[str, WordCodec] = {}
-_kept: dict[tuple[str, int], Encoder] = {}
+_codecs: dict[str, WordCodec] = cache()
+_kept: dict[tuple[str, int], Encoder] = cache()
 
 
 def codec(vocabulary_file: str) -> WordCodec:

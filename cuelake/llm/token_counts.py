@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import chunks, lean, read_table, ship, utf8, with_id
+from ._common import cache, chunks, lean, read_table, ship, utf8, with_id
 
 SPACE = "▁"
 #: Characters of a long text that are cut into segments at a time.
@@ -104,7 +104,7 @@ class _Memo(dict):
         return found
 
 
-_kept: dict[str, _Memo] = {}
+_kept: dict[str, _Memo] = cache()
 
 
 def count_texts(texts: list[str | None], model_file: str, memo: int = 1_000_000) -> list[int]:

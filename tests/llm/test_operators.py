@@ -703,6 +703,27 @@ def test_pipeline(spark, docs, texts, tmp_path):
     assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_workers_free_what_other_operators_keep(monkeypatch):
+    for own in (bpe_codec._kept, bpe_codec._codecs, token_counts._kept):
+        monkeypatch.setitem(own, "file", object())
+
+    def work(batches):
+        yield len(bpe_codec._kept)
+
+    work.__module__ = bpe_codec.__name__
+    assert list(_common.lean(work)(iter([]))) == [len(bpe_codec._kept)] and "file" in bpe_codec._kept and "file" in bpe_codec._codecs and not token_counts._kept
+    work.__module__ = language_id.__name__
+    assert list(_common.lean(work)(iter([]))) == [0] and not bpe_codec._codecs
+
+
+def test_language_id_counts_few_rows_at_a_time():
+    texts = ["", "a b"] * 100 + ["word " * 20_000] * 8 + ["x" * 2_000_000, None]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    parts = list(language_id._parts(batch, 1))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows <= 64 and (p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 1 << 18) for p in parts)
+
+
 def test_no_local_folder_on_a_cluster():
     from types import SimpleNamespace
 
