@@ -76,12 +76,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def shared_table(frame: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it again. It cuts the lineage and survives the loss of executors."""
+def shared_table(frame: DataFrame, tag: str, **options) -> DataFrame:
+    """Write a table to the shared folder, with options of the writer, and read it again. It cuts the lineage and survives the loss of executors."""
     spark = frame.sparkSession
     small_batches(spark)
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     if _open.scratches:
         _open.scratches[-1].made.append(path)
     out = spark.read.schema(frame.schema).parquet(path)

@@ -1,8 +1,9 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is a stored table of segments. A segment holds the postings of all words of a run of documents (about
-SEGMENT_BYTES of text): its terms, how many places each has, and the places themselves, as gaps. Whole documents are in one
-segment, so a match never crosses two, and segments are read and searched apart from each other: no shuffle.
+SEGMENT_BYTES of text): its terms, how many places each has, and the places themselves, as gaps. Each of these is one packed
+and compressed value, so that the JVM passes it on as a whole: it makes no object for each term. Whole documents are in one segment,
+so a match never crosses two, and segments are read and searched apart from each other: no shuffle.
 
 A segment looks only at windows of test words whose rarest term in the whole index it has. Such a window is looked up from its
 rarest term in the segment: the places of that term, adjusted by its offset, are intersected with those of the next rarest,
@@ -22,12 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import ROW, Words, chunks, lean, lower_ascii, read_table, row_number, shared_table, ship, text_or_empty, without_rows
+from ._common import ROW, Words, chunks, lean, lower_ascii, read_table, row_number, shared_table, ship, text_or_empty, utf8, without_rows
 
 #: Bytes of text in a segment (a longer text is a segment of its own).
 SEGMENT_BYTES = 4 << 20
 #: Places that are intersected at a time.
 PLACES = 1 << 19
+#: Parquet looks after each segment whether a page is full (1 MB), not after 100: pages are taken into memory whole.
+_PAGES = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 #: Words that a proximity match of op6_near_matches may have beyond those of the window.
 NEAR_SLOP = 5
 
@@ -45,7 +48,7 @@ def pack(numbers: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def unpack(packed: bytes) -> np.ndarray:
+def unpack(packed: bytes | pa.Buffer) -> np.ndarray:
     data = np.frombuffer(packed, np.uint8)
     ends = np.flatnonzero(data < 128)
     start = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
@@ -56,6 +59,27 @@ def unpack(packed: bytes) -> np.ndarray:
     return out
 
 
+def pack_terms(terms: pa.Array) -> tuple[bytes, bytes]:
+    """The bytes of all terms, one after the other, and their packed sizes."""
+    data, offsets = utf8(terms)
+    return data.tobytes(), pack(np.diff(offsets))
+
+
+def unpack_terms(spelled: bytes | pa.Buffer, sizes: bytes | pa.Buffer) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(unpack(sizes))]).astype(np.int32)  # a value of a row has under 2**31 bytes
+    return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(spelled)])
+
+
+def squeeze(data: bytes) -> bytes:
+    """The bytes compressed, after their number in eight bytes."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def expand(squeezed: bytes | pa.Buffer) -> pa.Buffer:
+    squeezed = pa.py_buffer(squeezed)
+    return pa.Codec("zstd").decompress(squeezed.slice(8), int.from_bytes(squeezed.slice(0, 8).to_pybytes(), "little"))
+
+
 @dataclass
 class Segment:
     """Postings of a run of documents: `first` has each document's first word (n + 1 numbers), `counts` the places of each term."""
@@ -96,7 +120,8 @@ class Segment:
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
-    """The stored index: a row per segment with its documents' ROW and doc_id, `first`, `terms`, `counts` and `places` (packed gaps).
+    """The stored index: a row per segment with its documents' ROW and doc_id, `first`, and packed and compressed `terms`, their
+    `sizes`, `counts` and `places` (gaps).
 
     ROW is the number in column `row` of `docs`, or the row's place in the one scan that is made.
     """
@@ -109,11 +134,11 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row
             for part in chunks(batch, most=SEGMENT_BYTES):
                 own = Segment.of(part.column(2))
                 lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(k)) for k in range(2)]
-                terms = pa.ListArray.from_arrays(pa.array([0, len(own.terms)], pa.int32()), own.terms.cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([*lists, one(own.first, pa.list_(pa.int64())), terms, one(own.counts, pa.list_(pa.int64())), one(pack(own.gaps()), pa.binary())], [ROW, "doc_id", "first", "terms", "counts", "places"])
+                packed = [one(squeeze(x), pa.binary()) for x in (*pack_terms(own.terms), pack(own.counts), pack(own.gaps()))]
+                yield pa.RecordBatch.from_arrays([*lists, one(own.first, pa.list_(pa.int64())), *packed], [ROW, "doc_id", "first", "terms", "sizes", "counts", "places"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return shared_table(rows.mapInArrow(lean(index), f"{ROW} array<long>, doc_id array<{kind}>, first array<long>, terms array<string>, counts array<long>, places binary"), "postings")
+    return shared_table(rows.mapInArrow(lean(index), f"{ROW} array<long>, doc_id array<{kind}>, first array<long>, terms binary, sizes binary, counts binary, places binary"), "postings", **_PAGES)
 
 
 class Phrases:
@@ -248,9 +273,9 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) ->
 
 
 def _segment(index: pa.RecordBatch, i: int) -> Segment:
-    own = {name: index.column(index.schema.get_field_index(name))[i] for name in ("first", "terms", "counts", "places")}
-    numbers = lambda name: own[name].values.to_numpy()
-    return Segment.from_gaps(numbers("first"), own["terms"].values, numbers("counts"), unpack(own["places"].as_py()))
+    own = {name: index.column(index.schema.get_field_index(name))[i] for name in ("first", "terms", "sizes", "counts", "places")}
+    packed = lambda name: expand(own[name].as_buffer())
+    return Segment.from_gaps(own["first"].values.to_numpy(), unpack_terms(packed("terms"), packed("sizes")), unpack(packed("counts")), unpack(packed("places")))
 
 
 def _term_counts(index: DataFrame, terms: pa.Array) -> np.ndarray:
@@ -260,14 +285,16 @@ def _term_counts(index: DataFrame, terms: pa.Array) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(len(shared.value), np.int64)
         for batch in batches:
-            term = pc.fill_null(pc.index_in(batch.column(0).flatten(), value_set=shared.value), -1).to_numpy(zero_copy_only=False)
-            some = np.flatnonzero(term >= 0)
-            own += np.bincount(term[some], weights=batch.column(1).flatten().to_numpy()[some], minlength=len(own)).astype(np.int64)
+            for i in range(batch.num_rows):
+                spelled, sizes, counts = (expand(column[i].as_buffer()) for column in batch.columns)
+                term = pc.fill_null(pc.index_in(unpack_terms(spelled, sizes), value_set=shared.value), -1).to_numpy(zero_copy_only=False)
+                some = np.flatnonzero(term >= 0)
+                own[term[some]] += unpack(counts)[some]  # a segment has each term once
         some = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[some])], ["term", "n"])
 
     out = np.zeros(len(terms), np.int64)
-    for term, n in index.select("terms", "counts").mapInArrow(lean(count), "term long, n long").groupBy("term").agg(F.sum("n")).collect():  # the terms of a block
+    for term, n in index.select("terms", "sizes", "counts").mapInArrow(lean(count), "term long, n long").groupBy("term").agg(F.sum("n")).collect():  # the terms of a block
         out[term] = n
     return out
 

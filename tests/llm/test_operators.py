@@ -449,6 +449,28 @@ def test_segments(texts):
     assert at == len(every) and own.first.tolist() == np.cumsum([0] + [len(words(t)) for t in texts]).tolist()
 
 
+def test_stored_segments_are_packed(spark, docs, texts):
+    for own in (pa.array([], pa.string()), pa.array(["", "a", "éç", "x" * 300]), pa.array(["a", "b"], pa.large_string())):
+        assert decontamination.unpack_terms(*(pa.py_buffer(x) for x in decontamination.pack_terms(own))).to_pylist() == own.to_pylist()
+    for data in (b"", b"a", bytes(range(256)) * 300):
+        assert decontamination.expand(pa.py_buffer(decontamination.squeeze(data))).to_pybytes() == data
+    assert len(decontamination.squeeze(b"ab" * 100_000)) < 1000
+    index = decontamination.build_index(docs)
+    # the JVM gets each of a segment's lists of terms as one value: it makes no object for each term
+    assert {k: v for k, v in index.dtypes if k in ("terms", "sizes", "counts", "places")} == dict.fromkeys(("terms", "sizes", "counts", "places"), "binary")
+    found = {}
+    for batch in index.drop("__row", "doc_id").toArrow().to_batches():
+        for i in range(batch.num_rows):
+            own = decontamination._segment(batch, i)
+            assert len(own.places) == own.counts.sum() == own.first[-1]
+            for term, n in zip(own.terms.to_pylist(), own.counts.tolist(), strict=True):
+                found[term] = found.get(term, 0) + n
+    every = [w for r in docs.collect() for w in words(r["text"])]
+    assert found == {w: every.count(w) for w in set(every)}
+    terms = pa.array([*sorted(found), "not there"])
+    assert decontamination._term_counts(index, terms).tolist() == [found.get(t, 0) for t in terms.to_pylist()]
+
+
 def test_search_in_parts_against_brute_force(monkeypatch):
     r = random.Random(21)
     line = lambda n: [r.choice("abcde") for _ in range(n)]
