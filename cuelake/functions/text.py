@@ -35,7 +35,9 @@ def unwrapped(text: Column) -> Column:
 def tokens(text: Column, aligned: bool = True) -> Column:
     """Array of the tokens of a text; null has none."""
     body = unwrapped(text) if aligned else text
-    return F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(TOKEN_PATTERN), 0)
+    # several times faster than to extract all that TOKEN_PATTERN matches, with the same tokens
+    apart = F.regexp_replace(F.coalesce(body, F.lit("")), F.lit(f"[{_CLASS}]"), F.lit(" $0 "))
+    return F.array_remove(F.split(apart, f"[{_SPACES}]+"), "")
 
 
 def seconds(ms: Column) -> Column:

@@ -21,14 +21,26 @@ from cuelake.streaming import ingest
 MS_PER_TOKEN = 400
 
 
+def _name():
+    return F.format_string("doc%06d", "doc_id")
+
+
+def document_lines(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("int").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def document_cues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """`documents` as transcripts: lines of the text, 400 ms a token."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("int").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("n", F.size(text.tokens(F.col("line"))))
+    """`documents` as transcripts: lines of the text, 400 ms a token. The cues come in ranges of documents."""
+    rows = document_rows(spark, sf_dir)
+    lines = document_lines(corpora.in_ranges(rows, "text")).withColumn("n", F.size(text.tokens(F.col("line"))))
     before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n").over(before), F.lit(0)) * MS_PER_TOKEN
     cues = lines.withColumn("start_ms", start).select("doc_id", "line_no", "start_ms", (F.col("start_ms") + F.col("n") * MS_PER_TOKEN).alias("end_ms"), "line")
-    return rows.select("doc_id", F.format_string("doc%06d", "doc_id").alias("name")), cues
+    return rows.select("doc_id", _name().alias("name")), cues
 
 
 def event_cues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +69,7 @@ def _once(make, spark: SparkSession, sf_dir: str) -> Corpus:
 
 
 def documents_corpus(spark: SparkSession, sf_dir: str, path: str) -> None:
-    corpora.build_stored(*document_cues(spark, sf_dir), path)
+    corpora.build_stored(*document_cues(spark, sf_dir), path, ranged=True)
 
 
 def events_corpus(spark: SparkSession, sf_dir: str, path: str) -> None:
@@ -68,8 +80,8 @@ def grown_corpus(spark: SparkSession, sf_dir: str, path: str) -> None:
     """The documents of even ids, with those of odd ids appended."""
     names, cues = document_cues(spark, sf_dir)
     even = F.col("doc_id") % 2 == 0
-    corpora.build_stored(names.where(even), cues.where(even), path)
-    corpora.append(spark, path, names.where(~even), cues.where(~even).join(names, "doc_id").drop("doc_id"), 0)
+    corpora.build_stored(names.where(even), cues.where(even), path, ranged=True)
+    corpora.append(spark, path, names.where(~even), cues.where(~even).withColumn("name", _name()).drop("doc_id"), 0)
 
 
 def _shown(rows: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 documents (doc_id, name, n_tokens, duration_ms), lexicon (word_id, token, count), lines (doc_id, line_no, start_ms, end_ms,
 pos, len), tokens (doc_id, pos, word_id, token, line_no, start_ms, end_ms). word_id is null for tokens outside the lexicon;
 these keep their position. A store has a Parquet folder for each table; its tokens are sorted by word, so that a search's
-word filter is pushed down to the scan and prunes it. Documents are appended as folders of their own beside these (with the
+word filter is pushed down to the scan and prunes it. Beside these it has texts (doc_id, line_no, start_ms, end_ms, pos, words,
+unknown): the lines with their words in order, `unknown` telling which of these are outside the lexicon (null: none). What
+reads whole documents takes these, not the tokens. Documents are appended as folders of their own beside these (with the
 lexicon's new words and its further counts), which nothing rewrites; the last table written commits them.
 """
 
@@ -19,12 +21,16 @@ from cuelake.functions import text
 
 MAX_TOKEN_BYTES = 20
 MAX_LINE_MS = 65535
-TOKENS_IN_FILE = 10_000_000
+#: Bytes of text (some two million tokens) that one task splits, sorts by word and writes to a file.
+BYTES_IN_RANGE = 10_000_000
+#: What stands between words that are shuffled as one text.
+_MARK = "\x01"
 DOCUMENTS = T.StructType().add("doc_id", "integer").add("name", "string").add("n_tokens", "integer").add("duration_ms", "long")
 LEXICON = T.StructType().add("word_id", "integer").add("token", "string").add("count", "long")
 LINES = T.StructType().add("doc_id", "integer").add("line_no", "integer").add("start_ms", "long").add("end_ms", "long").add("pos", "integer").add("len", "integer")
 TOKENS = T.StructType().add("doc_id", "integer").add("pos", "integer").add("word_id", "integer").add("token", "string").add("line_no", "integer").add("start_ms", "long").add("end_ms", "long")
 TABLES = {"documents": DOCUMENTS, "lexicon": LEXICON, "lines": LINES, "tokens": TOKENS}
+TEXTS = T.StructType().add("doc_id", "integer").add("line_no", "integer").add("start_ms", "long").add("end_ms", "long").add("pos", "integer").add("words", T.ArrayType(T.StringType())).add("unknown", T.ArrayType(T.BooleanType()))
 
 
 class WordDoesNotExist(KeyError):
@@ -41,9 +47,10 @@ class Corpus:
     lexicon: DataFrame
     lines: DataFrame
     tokens: DataFrame
+    texts: DataFrame | None = None
 
     def cached(self) -> Corpus:
-        return Corpus(*(t.cache() for t in (self.documents, self.lexicon, self.lines, self.tokens)))
+        return Corpus(*(t.cache() for t in (self.documents, self.lexicon, self.lines, self.tokens)), self.texts and self.texts.cache())
 
     def store(self, path: str, files: int | None = None) -> None:
         """Write Parquet tables, ranged over `files` by document if given. All are written before any takes the place of an older
@@ -54,16 +61,24 @@ class Corpus:
         new(self.lexicon, "lexicon")
         new(by_document(self.lines).sortWithinPartitions("doc_id", "line_no"), "lines")
         new(by_document(self.tokens).sortWithinPartitions("word_id", "doc_id", "pos"), "tokens")
+        if self.texts is not None:
+            new(by_document(self.texts).sortWithinPartitions("doc_id", "line_no"), "texts")
         new(self.documents, "documents")
-        for name in TABLES:
-            fs, target = _file_system(spark, f"{path}/{name}")
-            old, fresh = (_file_system(spark, f"{path}/{name}.{end}")[1] for end in ("old", "new"))
-            if fs.exists(target):
-                fs.delete(old, True)
-                fs.rename(target, old)
+        _put_in_place(spark, path)
+
+
+def _put_in_place(spark: SparkSession, path: str) -> None:
+    """Let the tables <table>.new take the place of those that are there, which stay as <table>.old. Appended folders go."""
+    for name in (*TABLES, "texts"):
+        fs, target = _file_system(spark, f"{path}/{name}")
+        old, fresh = (_file_system(spark, f"{path}/{name}.{end}")[1] for end in ("old", "new"))
+        if fs.exists(target):
+            fs.delete(old, True)
+            fs.rename(target, old)
+        if fs.exists(fresh):  # a corpus may have no texts
             fs.rename(fresh, target)
-        fs, appended = _file_system(spark, f"{path}/appended")
-        fs.delete(appended, True)
+    fs, appended = _file_system(spark, f"{path}/appended")
+    fs.delete(appended, True)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -88,6 +103,9 @@ def load(spark: SparkSession, path: str) -> Corpus:
     found = {name: spark.read.schema(schema).parquet(*[f"{f}/{name}" for f in folders]) for name, schema in TABLES.items()}
     if len(folders) > 1:
         found["lexicon"] = _added_up(found["lexicon"])
+    texts = [f"{f}/texts" for f in folders]
+    if all(fs.exists(_file_system(spark, t)[1]) for t in texts):
+        found["texts"] = spark.read.schema(TEXTS).parquet(*texts)
     return Corpus(**found)
 
 
@@ -129,10 +147,11 @@ def positioned(cues: DataFrame) -> DataFrame:
     return cues.select("doc_id", "line_no", start.alias("start_ms"), end.alias("end_ms"), "words", pos.alias("pos"))
 
 
-def placed_tokens(cues: DataFrame) -> DataFrame:
-    """doc_id, pos, token, line_no, start_ms, end_ms of positioned cues."""
-    each = cues.select("doc_id", "line_no", "start_ms", "end_ms", "pos", F.posexplode("words").alias("at", "token"))
-    return each.select("doc_id", (F.col("pos") + F.col("at")).alias("pos"), "token", "line_no", "start_ms", "end_ms")
+def placed_tokens(cues: DataFrame, *also: str) -> DataFrame:
+    """doc_id, pos, token, line_no, start_ms, end_ms of positioned cues, and other columns of these."""
+    # not posexplode: Spark would test before a shuffle, too, whether there are words, and unpack them for that
+    each = cues.select(*also, "doc_id", "line_no", "start_ms", "end_ms", "pos", F.posexplode_outer("words").alias("at", "token")).where("at IS NOT NULL")
+    return each.select(*also, "doc_id", (F.col("pos") + F.col("at")).alias("pos"), "token", "line_no", "start_ms", "end_ms")
 
 
 def with_word_ids(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -153,9 +172,9 @@ def line_table(cues: DataFrame) -> DataFrame:
     return cues.select("doc_id", "line_no", "start_ms", "end_ms", "pos", F.size("words").alias("len"))
 
 
-def document_table(names: DataFrame, cues: DataFrame) -> DataFrame:
-    """Documents with their length and duration; a document without cues has none of either."""
-    facts = cues.groupBy("doc_id").agg(F.sum(F.size("words")).cast("int").alias("n_tokens"), F.max("end_ms").alias("duration_ms"))
+def document_table(names: DataFrame, lines: DataFrame) -> DataFrame:
+    """Documents with their length and duration; a document without lines has none of either."""
+    facts = lines.groupBy("doc_id").agg(F.sum("len").cast("int").alias("n_tokens"), F.max("end_ms").alias("duration_ms"))
     return names.join(facts, "doc_id", "left").select("doc_id", "name", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("duration_ms", F.lit(0)).cast("long").alias("duration_ms"))
 
 
@@ -164,53 +183,96 @@ def build(names: DataFrame, cues: DataFrame, lexicon: DataFrame | None = None, m
     `tokenizer` turns a column of lines into arrays of tokens."""
     split = positioned(cues.select("doc_id", "line_no", "start_ms", "end_ms", tokenizer(F.col("line")).alias("words")))
     lexicon = lexicon if lexicon is not None else dense_ids(count_tokens(split, max_bytes))
-    return Corpus(document_table(names, split), lexicon, line_table(split), with_word_ids(placed_tokens(split), lexicon))
+    return Corpus(document_table(names, line_table(split)), lexicon, line_table(split), with_word_ids(placed_tokens(split), lexicon))
 
 
-def build_stored(names: DataFrame, cues: DataFrame, path: str, lexicon: DataFrame | None = None, max_bytes: int = MAX_TOKEN_BYTES, tokenizer=text.tokens, files: int | None = None) -> Corpus:
-    """Build a corpus at `path` and load it. As `build`, but lines are split, and words counted, once: both are written first.
+def in_ranges(table: DataFrame, line: str, files: int | None = None) -> DataFrame:
+    """Rows with a doc_id and a text, shuffled so that each task has a range of documents: `files` of them, or as many as have
+    BYTES_IN_RANGE of text each (or, where there is little, as keep all cores at work)."""
+    if files is None:
+        size = table.agg(F.coalesce(F.sum(F.octet_length(line)), F.lit(0))).first()[0]
+        files = max(1, -(-size // BYTES_IN_RANGE), min(table.sparkSession.sparkContext.defaultParallelism, size // 500_000))
+    return table.repartitionByRange(files, "doc_id")
 
-    Tables are ranged by document over `files`, or over as many as have TOKENS_IN_FILE tokens each (or, in a small corpus, as
-    keep all cores at work): so a single document is read from the few row groups that may hold it, and a word, by which rows
-    are sorted in each file, from few pages of all of them.
-    """
-    spark, work = cues.sparkSession, f"{path}/building"
 
-    def written(table: DataFrame, name: str) -> DataFrame:
-        table.write.mode("overwrite").parquet(f"{work}/{name}")
-        return spark.read.schema(table.schema).parquet(f"{work}/{name}")
+def packed(words):
+    """An array of words as one text, which shuffles far smaller, and the array itself only where the text wouldn't give it back:
+    where a word is null or has a mark, there are more marks than between words."""
+    joined = F.array_join(words, _MARK, _MARK)
+    marks = F.octet_length(joined) - F.octet_length(F.replace(joined, F.lit(_MARK), F.lit("")))
+    return F.struct(joined.alias("joined"), F.when(marks != F.size(words) - 1, words).alias("words"))
 
-    split = written(positioned(cues.select("doc_id", "line_no", "start_ms", "end_ms", tokenizer(F.col("line")).alias("words"))), "cues")
-    if lexicon is None:
-        lexicon = dense_ids(written(count_tokens(split, max_bytes), "counts"))
-    lexicon = written(lexicon.select(*LEXICON.names), "lexicon")
-    if files is None:
-        total = split.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-        files = max(1, -(-total // TOKENS_IN_FILE), min(spark.sparkContext.defaultParallelism, total // 100_000))
-    Corpus(document_table(names, split), lexicon, line_table(split), with_word_ids(placed_tokens(split), lexicon)).store(path, files)
-    fs, folder = _file_system(spark, work)
+
+def unpacked(words):
+    return F.coalesce(words["words"], F.split(words["joined"], _MARK))
+
+
+def _written(table: DataFrame, path: str) -> DataFrame:
+    table.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def _write_tables(names: DataFrame, split: DataFrame, path: str, end: str, lexicon_of, max_bytes: int, own: bool = True) -> None:
+    """Write all tables of positioned cues as `path`/<table>`end`, documents last.
+
+    `split` comes in ranges of documents, one for each task, whose number is written as `part`. Only lines are shuffled, and the
+    different words of each part: these are counted, get their ids from the lexicon (`lexicon_of` their counts), and go back to
+    their part, where its tokens find them in a hash table. So no token is shuffled for itself, and each part is a file that one
+    task sorts by word. Texts stay only if the words that are too long are all that are unknown (`own`).
+    """
+    work = f"{path}/building"
+    long = lambda w: F.octet_length(w) > max_bytes
+    unknown = F.when(F.exists("words", long), F.transform("words", long))
+    texts = _written(split.select("doc_id", "line_no", "start_ms", "end_ms", "pos", "words", unknown.alias("unknown"), F.spark_partition_id().alias("part")), f"{path}/texts{end}" if own else f"{work}/texts")
+    words = texts.select("part", F.explode("words").alias("token")).where(~long(F.col("token")))
+    found = _written(words.groupBy("part", "token").agg(F.count("*").alias("count")), f"{work}/found")
+    counts = _written(found.groupBy("token").agg(F.sum("count").alias("count")), f"{work}/counts")
+    lexicon = _written(lexicon_of(counts).select(*LEXICON.names), f"{path}/lexicon{end}")
+    parts = (texts.agg(F.max("part")).first()[0] or 0) + 1
+    ids = found.select("part", "token").join(lexicon.select("token", "word_id"), "token").repartitionById(parts, "part")
+    sent = texts.select("part", "doc_id", "line_no", "start_ms", "end_ms", "pos", packed(F.col("words")).alias("words")).repartitionById(parts, "part")
+    tokens = placed_tokens(sent.withColumn("words", unpacked(F.col("words"))), "part").join(ids.hint("shuffle_hash"), ["part", "token"], "left")
+    _written(tokens.select(*TOKENS.names).sortWithinPartitions("word_id", "doc_id", "pos"), f"{path}/tokens{end}")
+    lines = _written(line_table(texts), f"{path}/lines{end}")
+    _written(document_table(names, lines), f"{path}/documents{end}")
+    fs, folder = _file_system(split.sparkSession, work)
     fs.delete(folder, True)
-    return load(spark, path)
 
 
-def _new(corpus: Corpus, names: DataFrame, cues: DataFrame, skip_existing: bool, max_bytes: int, tokenizer) -> Corpus:
-    """What an update adds: the new documents' tables, and the counts of their words under the ids that these have or get."""
+def build_stored(names: DataFrame, cues: DataFrame, path: str, lexicon: DataFrame | None = None, max_bytes: int = MAX_TOKEN_BYTES, tokenizer=text.tokens, files: int | None = None, ranged: bool = False) -> Corpus:
+    """Build a corpus at `path` and load it. As `build`, but lines are split, and words counted, once: both are written first.
+
+    Tables are ranged by document (`in_ranges`; `ranged` cues are already): so a single document is read from the few row
+    groups that may hold it, and a word, by which tokens are sorted in each file, from few pages of all of them.
+    """
+    ranges = cues if ranged else in_ranges(cues, "line", files)
+    split = positioned(ranges.select("doc_id", "line_no", "start_ms", "end_ms", tokenizer(F.col("line")).alias("words")))
+    _write_tables(names, split, path, ".new", dense_ids if lexicon is None else lambda _: lexicon, max_bytes, lexicon is None)
+    _put_in_place(cues.sparkSession, path)
+    return load(cues.sparkSession, path)
+
+
+def _named(corpus: Corpus, names: DataFrame, skip_existing: bool, work: str | None = None) -> DataFrame:
+    """doc_id and name of the new documents: ids after the last one, in the order of the names' bytes."""
     names = names.select("name").distinct()
-    fresh = names.join(corpus.documents.select("name"), "name", "left_anti")
     if not skip_existing:
         double = names.join(corpus.documents.select("name"), "name", "left_semi").limit(1).collect()
         if double:
             raise ValueError(f"document exists: {double[0][0]}")
+    fresh = names.join(corpus.documents.select("name"), "name", "left_anti")
+    fresh = fresh if work is None else _written(fresh, f"{work}/fresh")
     size = corpus.documents.agg(F.coalesce(F.max("doc_id") + 1, F.lit(0))).first()[0]
-    words = corpus.lexicon.agg(F.coalesce(F.max("word_id") + 1, F.lit(0))).first()[0]
     ids = dense_ids(fresh.select(F.col("name").alias("token"), F.lit(1).alias("count")), size)
     named = ids.select(F.col("word_id").alias("doc_id"), F.col("token").alias("name"))
-    own = cues.join(named, "name").select("doc_id", "line_no", "start_ms", "end_ms", tokenizer(F.col("line")).alias("words"))
-    own = positioned(own)
-    counts = count_tokens(own, max_bytes)
-    known = counts.join(corpus.lexicon.select("word_id", "token"), "token").select(*LEXICON.names)
-    more = known.unionByName(dense_ids(counts.join(corpus.lexicon, "token", "left_anti"), words))
-    return Corpus(document_table(named, own), more, line_table(own), with_word_ids(placed_tokens(own), more))
+    return named if work is None else _written(named, f"{work}/named")
+
+
+def _continued(lexicon: DataFrame, counts: DataFrame, work: str | None = None) -> DataFrame:
+    """Counts under the ids that their words have in a lexicon or get after it, in the order of their bytes."""
+    words = lexicon.agg(F.coalesce(F.max("word_id") + 1, F.lit(0))).first()[0]
+    known = counts.join(lexicon.select("word_id", "token"), "token").select(*LEXICON.names)
+    fresh = counts.join(lexicon, "token", "left_anti")
+    return known.unionByName(dense_ids(fresh if work is None else _written(fresh, f"{work}/new_words"), words))
 
 
 def update(corpus: Corpus, names: DataFrame, cues: DataFrame, skip_existing: bool = False, max_bytes: int = MAX_TOKEN_BYTES, tokenizer=text.tokens) -> Corpus:
@@ -219,8 +281,11 @@ def update(corpus: Corpus, names: DataFrame, cues: DataFrame, skip_existing: boo
     A name that is there already raises ValueError, or is skipped. Ids go on after the last. Counts of known words grow, new
     words come after all others in the order of their bytes. Old documents are not indexed again: words unknown then stay so.
     """
-    added = _new(corpus, names, cues, skip_existing, max_bytes, tokenizer)
-    return Corpus(corpus.documents.unionByName(added.documents), _added_up(corpus.lexicon.unionByName(added.lexicon)), corpus.lines.unionByName(added.lines), corpus.tokens.unionByName(added.tokens))
+    named = _named(corpus, names, skip_existing)
+    own = positioned(cues.join(named, "name").select("doc_id", "line_no", "start_ms", "end_ms", tokenizer(F.col("line")).alias("words")))
+    more = _continued(corpus.lexicon, count_tokens(own, max_bytes))
+    tokens = with_word_ids(placed_tokens(own), more)
+    return Corpus(corpus.documents.unionByName(document_table(named, line_table(own))), _added_up(corpus.lexicon.unionByName(more)), corpus.lines.unionByName(line_table(own)), corpus.tokens.unionByName(tokens))
 
 
 def append(spark: SparkSession, path: str, names: DataFrame, cues: DataFrame, number: int, skip_existing: bool = False, max_bytes: int = MAX_TOKEN_BYTES, tokenizer=text.tokens) -> Corpus:
@@ -228,9 +293,8 @@ def append(spark: SparkSession, path: str, names: DataFrame, cues: DataFrame, nu
     left alone, and one that was broken off is written again, so that a caller may repeat it. Gives the corpus with it."""
     folder = f"{path}/appended/{number:012d}"
     if folder not in _appended(spark, path):
-        added = _new(load(spark, path), names, cues, skip_existing, max_bytes, tokenizer)
-        added.lexicon.write.mode("overwrite").parquet(f"{folder}/lexicon")
-        added.lines.sortWithinPartitions("doc_id", "line_no").write.mode("overwrite").parquet(f"{folder}/lines")
-        added.tokens.sortWithinPartitions("word_id", "doc_id", "pos").write.mode("overwrite").parquet(f"{folder}/tokens")
-        added.documents.write.mode("overwrite").parquet(f"{folder}/documents")  # commits
+        corpus, work = load(spark, path), f"{folder}/building"
+        named = _named(corpus, names, skip_existing, work)
+        own = in_ranges(cues.join(named, "name"), "line").select("doc_id", "line_no", "start_ms", "end_ms", tokenizer(F.col("line")).alias("words"))
+        _write_tables(named, positioned(own), folder, "", lambda counts: _continued(corpus.lexicon, counts, work), max_bytes)  # documents commit
     return load(spark, path)

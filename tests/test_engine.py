@@ -40,6 +40,9 @@ def test_tokenize(spark):
     cases = [line, "U.S", "red-black", "{a b}", "x {a b}", "a\u00a0b\u2028c\u3000d\u0085e", ">> hi", "", "{}", None]
     found = [r[0] for r in spark.createDataFrame([(c,) for c in cases], "t string").select(text.tokens(F.col("t"))).collect()]
     assert found == [want, ["U", ".", "S"], ["red-black"], ["a", "b"], ["x", "{", "a", "b", "}"], list("abcde"), [">>", "hi"], [], [], []]
+    draw = random.Random(3)
+    odd = ["".join(draw.choice("ab$\\é\U0001f600\ufeff\u200b\t\n\x0b\x1c\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000 " + text.DELIMITERS) for _ in range(draw.randrange(30))) for _ in range(300)]
+    assert [r[0] for r in spark.createDataFrame([(c,) for c in odd], "t string").select(text.tokens(F.col("t"), aligned=False)).collect()] == [text.tokenize(c) for c in odd]
 
 
 def test_positions(spark, ten):
@@ -300,6 +303,38 @@ def test_stored_corpus(spark, tmp_path):
     assert corpora.load(spark, path).tokens.count() == 20 * 40 + 3
 
 
+def shuffled_records(spark, run) -> int:
+    """Records that all stages of a run write to shuffles."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(gateway.jvm.java.util.ArrayList(), False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = total()
+    run()
+    return sum(n for k, n in total().items() if k not in before)
+
+
+def test_building_shuffles_no_tokens(spark, tmp_path):
+    cues = spark.range(200).select(F.col("id").cast("int").alias("doc_id"), F.lit(0).alias("line_no"), F.lit(0).cast("long").alias("start_ms"), F.lit(1000).cast("long").alias("end_ms"), F.concat(F.repeat(F.lit("of the "), 200), F.concat(F.lit("w"), F.col("id").cast("string"))).alias("line"))
+    names = cues.select("doc_id", F.concat(F.lit("d"), "doc_id").alias("name"))
+    path = str(tmp_path / "c")
+    assert shuffled_records(spark, lambda: corpora.build_stored(names, cues, path)) < 10_000  # of 80,200 tokens
+    c = corpora.load(spark, path)
+    ids = {r["token"]: r["word_id"] for r in c.lexicon.collect()}
+    assert len(ids) == 202 and c.tokens.count() == 80_200 and all(ids[r["token"]] == r["word_id"] for r in c.tokens.select("token", "word_id").distinct().collect())
+    spread = c.tokens.groupBy(F.input_file_name().alias("f")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).orderBy("low").collect()
+    assert all(a["high"] < b["low"] for a, b in zip(spread, spread[1:]))
+
+
+def test_words_as_one_text(spark):
+    cases = [["a", "b"], [], [""], ["", ""], ["\x01", "b"], [None], [None, "\x01"], ["a", None], ["a b", "é"]]
+    rows = spark.createDataFrame([(c,) for c in cases], "w array<string>").select("w", corpora.packed(F.col("w")).alias("p")).select("w", corpora.unpacked(F.col("p")).alias("u"), F.col("p.words").isNull().alias("short")).collect()
+    assert [r["u"] for r in rows] == cases and rows[0]["short"] and rows[-1]["short"]
+
+
 def test_hot_words_get_their_ids(spark, monkeypatch):
     tokens = spark.range(30_000).select(F.lit(0).alias("doc_id"), F.col("id").cast("int").alias("pos"), F.when(F.col("id") % 3 > 0, "the").otherwise(F.concat(F.lit("w"), F.col("id").cast("string"))).alias("token"), F.lit(0).alias("line_no"), F.lit(0).cast("long").alias("start_ms"), F.lit(0).cast("long").alias("end_ms"))
     counts = tokens.where("pos < 29990").groupBy("token").agg(F.count("*").alias("count"))
