@@ -262,7 +262,7 @@ def _keyed(c: Corpus) -> DataFrame:
 
 
 def _opened(c: Corpus) -> DataFrame:
-    """Single documents: whether they are there, their length, first tokens, lines up to 20 s and position at 30 s."""
+    """Single documents: whether they are there, their length, first tokens, lines up to 20 s and (earliest) position at 30 s."""
     rows = []
     with Index(c) as index:
         for key in (0, 3, 11, 999_999_999):
@@ -270,7 +270,7 @@ def _opened(c: Corpus) -> DataFrame:
                 rows.append((key, False, None, None, None, None))
                 continue
             one = index.document(key)
-            rows.append((key, True, one.length, ",".join(map(str, one.tokens(0, 5))), len(one.lines(0, 20)), one.position(30)))
+            rows.append((key, True, one.length, ",".join(map(str, one.tokens(0, 5))), len(one.lines(0, 20)), one.position(30, earliest=True)))
     return c.lexicon.sparkSession.createDataFrame(rows, "key int, there boolean, n_tokens int, first string, n_lines int, position int")
 
 

@@ -86,8 +86,12 @@ class Document:
     def lines(self, start: float = 0.0, end: float = float("inf")) -> list[Row]:
         return documents.lines_between(self._corpus, start, end).orderBy("line_no").collect()
 
-    def position(self, seconds: float) -> int:
-        """The position at a time; 0 in a document without lines."""
+    def position(self, seconds: float, earliest: bool = False) -> int:
+        """The position at a time; 0 in a document without lines. On the border of two lines it is that of the line that a search by
+        halving meets first, or that of the first of them (`earliest`)."""
+        if earliest:
+            found = self._corpus.lines.agg(F.coalesce(F.min(F.when(F.col("end_ms") >= int(seconds * 1000), F.col("pos"))), F.max(F.col("pos") + F.col("len")), F.lit(0))).first()
+            return found[0]
         at = self._corpus.documents.select("doc_id", F.lit(int(seconds * 1000)).cast("long").alias("ms"))
         found = documents.position_at(self._corpus, at).first()
         return found["position"] if found else 0

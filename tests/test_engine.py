@@ -370,6 +370,21 @@ def test_index(spark, tmp_path):
             use()
 
 
+def test_position_on_a_border_of_lines(spark, tmp_path):
+    """A line ends, and the next one begins, at 30 s: the query takes the earlier one, as its SQL does."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    words = lambda n: " ".join(["of"] * n)
+    texts = {0: f"{words(75)}\n{words(3)}", 3: f"{words(50)}\n{words(25)}\n\n{words(9)}\n{words(1)}", 11: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = sorted(map(tuple, entry.queries()["document_by_key"](spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert found == sorted(db.execute(entry.oracle_sql()["document_by_key"]).fetchall()) and [r[5] for r in found] == [0, 50, 0, None]
+
+
 def test_command_line(spark, tmp_path, capsys):
     for name, word in (("b", "red fish"), ("a", "blue fish")):
         (tmp_path / f"{name}.srt").write_text(f"1\n00:00:01,000 --> 00:00:02,000\nThe {word} swims\n")
