@@ -17,12 +17,14 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """ordinal (from 0, gapless), name, path of "name<tab>path" lines in their order; blank lines are skipped."""
-    lines = spark.read.text(path).where("trim(value) <> ''").select("value", F.monotonically_increasing_id().alias("at"))
-    lines = lines.withColumn("part", F.shiftright("at", 33))
-    sizes = lines.groupBy("part").agg(F.count("*").alias("n"))  # a row for each split of the file
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = lines.join(F.broadcast(before), "part").withColumn("ordinal", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int"))
+    """ordinal (from 0, gapless), name, path of "name<tab>path" lines in their order, those of a folder in the order of its files; blank
+    lines are skipped."""
+    # Spark reads large files and splits first, so a task's number says nothing of the order
+    lines = spark.read.text(path).where("trim(value) <> ''").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"))  # a row for each split of a file
+    before = sizes.select("file", "block", F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    placed = lines.withColumn("place", place).join(F.broadcast(before), ["file", "block"]).withColumn("ordinal", (F.col("before") + F.col("place")).cast("int"))
     return placed.select("ordinal", F.trim(F.split("value", "\t", 2)[0]).alias("name"), F.trim(F.split("value", "\t", 2)[1]).alias("path"))
 
 

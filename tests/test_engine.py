@@ -385,6 +385,21 @@ def test_position_on_a_border_of_lines(spark, tmp_path):
     assert found == sorted(db.execute(entry.oracle_sql()["document_by_key"]).fetchall()) and [r[5] for r in found] == [0, 50, 0, None]
 
 
+def test_manifest_of_several_files(spark, tmp_path):
+    """The files are not read in their order, for the largest is read first."""
+    (tmp_path / "m").mkdir()
+    want = []
+    for part, n in enumerate((2, 500, 1, 90)):
+        own = [f"n{part}-{i}" for i in range(n)]
+        (tmp_path / "m" / f"part-{part:05d}").write_text("".join(f"{x}\t/data/{x}\n\n" for x in own))
+        want += own
+    for split in ("64", "134217728"):  # in splits, too
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        got = subtitles.read_manifest(spark, str(tmp_path / "m")).orderBy("ordinal").collect()
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [(r["ordinal"], r["name"]) for r in got] == list(enumerate(want))
+
+
 def test_command_line(spark, tmp_path, capsys):
     for name, word in (("b", "red fish"), ("a", "blue fish")):
         (tmp_path / f"{name}.srt").write_text(f"1\n00:00:01,000 --> 00:00:02,000\nThe {word} swims\n")
