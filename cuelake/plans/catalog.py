@@ -289,12 +289,12 @@ def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running counts of a stream of cues, after all of it."""
-    path, name = _work(spark, "stream"), f"counts_{uuid.uuid4().hex}"
-    document_cues(spark, sf_dir)[1].select("line").write.parquet(path)
+    path, counted = _work(spark, "stream"), _work(spark, "counts")
+    document_lines(document_rows(spark, sf_dir)).select("line").write.parquet(path)
     counts = ingest.running_counts(spark.readStream.schema("line string").parquet(path))
-    run = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _work(spark, "state")).trigger(availableNow=True).start()
+    run = ingest.store_counts(counts, counted).option("checkpointLocation", _work(spark, "state")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select("token", "count")
+    return spark.read.schema(counts.schema).parquet(counted).select("token", "count")
 
 
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:

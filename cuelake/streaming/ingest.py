@@ -15,6 +15,15 @@ def running_counts(cues: DataFrame, max_bytes: int = corpus.MAX_TOKEN_BYTES) ->
     return corpus.count_tokens(cues.select(text.tokens(F.col("line")).alias("words")), max_bytes)
 
 
+def store_counts(counts: DataFrame, path: str) -> DataStreamWriter:
+    """Keep running counts as a table at `path`, which each batch replaces (output mode complete): they never come to the driver."""
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(keep)
+
+
 def append_documents(cues: DataFrame, path: str) -> DataStreamWriter:
     """Append whole documents (name, line_no, start_ms, end_ms, line) of each batch to the stored corpus at `path`.
 

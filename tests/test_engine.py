@@ -329,6 +329,13 @@ def test_building_shuffles_no_tokens(spark, tmp_path):
     assert all(a["high"] < b["low"] for a, b in zip(spread, spread[1:]))
 
 
+def test_streamed_counts_stay_off_the_driver(spark):
+    import __spark_entry__ as entry
+
+    counts = entry.queries()["streamed_counts"](spark, "/root/testdata/sf0.001")
+    assert counts.count() > 1000 and counts.inputFiles()  # a table in the driver's memory has no files
+
+
 def test_words_as_one_text(spark):
     cases = [["a", "b"], [], [""], ["", ""], ["\x01", "b"], [None], [None, "\x01"], ["a", None], ["a b", "é"]]
     rows = spark.createDataFrame([(c,) for c in cases], "w array<string>").select("w", corpora.packed(F.col("w")).alias("p")).select("w", corpora.unpacked(F.col("p")).alias("u"), F.col("p.words").isNull().alias("short")).collect()
