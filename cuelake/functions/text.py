@@ -78,9 +78,9 @@ _UNTOKENIZE = (
 )
 
 
-def untokenized(words: Column) -> Column:
-    """An array of tokens as a line of text."""
-    text = F.array_join(words, " ")
+def untokenized(words: Column, unknown: str | None = None) -> Column:
+    """An array of tokens as a line of text; nulls are left out, or shown as `unknown`."""
+    text = F.array_join(words, " ", unknown)
     for pattern, old, new in _UNTOKENIZE:
         text = F.regexp_replace(text, F.lit(old), F.lit(new)) if pattern else F.replace(text, F.lit(old), F.lit(new))
     return F.trim(text)

@@ -29,6 +29,20 @@ def token_range(corpus: Corpus, first: int = 0, count: int = 1 << 31) -> DataFra
     return rows.select("doc_id", "pos", F.coalesce("word_id", F.lit(UNKNOWN_ID)).alias("word_id"))
 
 
+def line_words(corpus: Corpus) -> DataFrame:
+    """doc_id, line_no, start_ms, end_ms, pos, words (null where they are outside the lexicon) of lines that have words.
+
+    They are read from the texts, line by line; a corpus without these groups its tokens, which are shuffled once, by document.
+    """
+    if corpus.texts is not None:
+        known = F.transform("words", lambda w, i: F.when(~F.get("unknown", i), w))
+        return corpus.texts.where(F.size("words") > 0).select("doc_id", "line_no", "start_ms", "end_ms", "pos", F.when(F.col("unknown").isNull(), F.col("words")).otherwise(known).alias("words"))
+    known = F.when(F.col("word_id").isNotNull(), F.col("token"))
+    words = corpus.tokens.select("doc_id", "line_no", "start_ms", "end_ms", F.struct("pos", known.alias("word")).alias("w")).repartition("doc_id")
+    lines = words.groupBy("doc_id", "line_no", "start_ms", "end_ms").agg(F.array_sort(F.collect_list("w")).alias("ws"))
+    return lines.select("doc_id", "line_no", "start_ms", "end_ms", F.col("ws")[0]["pos"].alias("pos"), F.transform("ws", lambda w: w["word"]).alias("words"))
+
+
 def lines_between(corpus: Corpus, start: float = 0.0, end: float = float("inf")) -> DataFrame:
     """Lines that overlap a time range in seconds, both ends counted. Earlier than 0 or not a number is 0; a start that no
     32-bit count of milliseconds can hold raises ValueError."""

@@ -336,6 +336,15 @@ def test_streamed_counts_stay_off_the_driver(spark):
     assert counts.count() > 1000 and counts.inputFiles()  # a table in the driver's memory has no files
 
 
+@pytest.mark.parametrize("name", ["lexicon_decode", "decode_srt", "decode_vtt"])
+def test_decoding_shuffles_no_tokens(spark, name):
+    import __spark_entry__ as entry
+
+    run = lambda n: entry.queries()[n](spark, "/root/testdata/sf0.001")
+    tokens = run("token_scan").first()["n_tokens"]
+    assert shuffled_records(spark, lambda: run(name).write.format("noop").mode("overwrite").save()) < tokens / 2
+
+
 def test_words_as_one_text(spark):
     cases = [["a", "b"], [], [""], ["", ""], ["\x01", "b"], [None], [None, "\x01"], ["a", None], ["a b", "é"]]
     rows = spark.createDataFrame([(c,) for c in cases], "w array<string>").select("w", corpora.packed(F.col("w")).alias("p")).select("w", corpora.unpacked(F.col("p")).alias("u"), F.col("p.words").isNull().alias("short")).collect()
