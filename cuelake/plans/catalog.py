@@ -284,7 +284,8 @@ def _merged(c: Corpus) -> DataFrame:
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexicon of a corpus whose tokens are lower-cased."""
-    return corpora.build(*document_cues(spark, sf_dir), tokenizer=lambda line: F.transform(text.tokens(line), F.lower)).lexicon
+    lines = document_lines(document_rows(spark, sf_dir))
+    return corpora.stored_lexicon(lines, _work(spark, "folded"), tokenizer=lambda line: F.transform(text.tokens(line), F.lower))
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,6 +252,11 @@ def build_stored(names: DataFrame, cues: DataFrame, path: str, lexicon: DataFram
     return load(cues.sparkSession, path)
 
 
+def stored_lexicon(cues: DataFrame, path: str, max_bytes: int = MAX_TOKEN_BYTES, tokenizer=text.tokens) -> DataFrame:
+    """The lexicon alone of cues (line). Counts are written to `path` first, for ids read them several times."""
+    return dense_ids(_written(count_tokens(cues.select(tokenizer(F.col("line")).alias("words")), max_bytes), path))
+
+
 def _named(corpus: Corpus, names: DataFrame, skip_existing: bool, work: str | None = None) -> DataFrame:
     """doc_id and name of the new documents: ids after the last one, in the order of the names' bytes."""
     names = names.select("name").distinct()

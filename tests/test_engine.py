@@ -345,6 +345,13 @@ def test_decoding_shuffles_no_tokens(spark, name):
     assert shuffled_records(spark, lambda: run(name).write.format("noop").mode("overwrite").save()) < tokens / 2
 
 
+def test_folded_lexicon_splits_lines_once(spark):
+    import __spark_entry__ as entry
+
+    words = entry.queries()["folded_lexicon"](spark, "/root/testdata/sf0.001")
+    assert words.count() > 1000 and all("/folded-" in f for f in words.inputFiles())  # stored counts, not documents
+
+
 def test_words_as_one_text(spark):
     cases = [["a", "b"], [], [""], ["", ""], ["\x01", "b"], [None], [None, "\x01"], ["a", None], ["a b", "é"]]
     rows = spark.createDataFrame([(c,) for c in cases], "w array<string>").select("w", corpora.packed(F.col("w")).alias("p")).select("w", corpora.unpacked(F.col("p")).alias("u"), F.col("p.words").isNull().alias("short")).collect()
