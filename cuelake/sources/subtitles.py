@@ -67,13 +67,15 @@ def parse(files: DataFrame, frames_per_second: float = 25.0) -> DataFrame:
     kind = F.when(body.rlike(r"(?im)^\[Events\][ \t]*$"), "ssa").when(body.rlike(r"^\s*\{\d+\}\{\d+\}"), "frames").otherwise("blocks")
     told = files.select("name", body.alias("body"), kind.alias("kind"))
     ends = F.when(F.col("kind") == "blocks", r"\n[ \t]*\n+").otherwise("\n")
-    blocks = told.select("name", "kind", F.posexplode(F.split("body", ends)).alias("at", "block"))
     span, dialogue, frames = rf"(?:^|\n){_TIME}[ \t]*-->[ \t]*{_TIME}", rf"^Dialogue:[^,]*,[ \t]*{_TIME}[ \t]*,[ \t]*{_TIME}[ \t]*,", r"^\{(\d+)\}\{(\d+)\}"
     by_kind = lambda blocks, ssa, frames: F.when(F.col("kind") == "blocks", blocks).when(F.col("kind") == "ssa", ssa).otherwise(frames)
-    timed = blocks.where(by_kind(F.col("block").rlike(span), F.col("block").rlike(dialogue), F.col("block").rlike(frames)))
+    has_time = lambda b: by_kind(b.rlike(span), b.rlike(dialogue), b.rlike(frames))
+    # numbered within the file's own row: no shuffle; what has the times is cut out once
+    timed = told.select("name", "kind", F.posexplode(F.filter(F.split("body", ends), has_time)).alias("line_no", "block"))
+    timed = timed.withColumn("time", by_kind(F.regexp_extract("block", span, 0), F.regexp_extract("block", dialogue, 0), F.lit("")))
 
     def clock(pattern: str, k: int):
-        part = lambda i: F.regexp_extract("block", pattern, i)
+        part = lambda i: F.regexp_extract("time", pattern, i)
         number = lambda i: F.coalesce(F.when(part(i) != "", part(i).cast("long")), F.lit(0))
         return ((number(k) * 60 + number(k + 1)) * 60 + number(k + 2)) * 1000 + F.rpad(part(k + 3), 3, "0").cast("long")
 
@@ -84,9 +86,7 @@ def parse(files: DataFrame, frames_per_second: float = 25.0) -> DataFrame:
         F.regexp_extract("block", rf"{dialogue}(?:[^,]*,){{6}}(.*)$", 9),
         F.replace(F.regexp_replace("block", frames, ""), F.lit("|"), F.lit("\n")),
     )
-    cues = timed.select("name", "at", time(1, 1).alias("start_ms"), time(5, 2).alias("end_ms"), text.alias("line"))
-    place = F.row_number().over(Window.partitionBy("name").orderBy("at")) - 1
-    return cues.select("name", place.cast("int").alias("line_no"), "start_ms", "end_ms", "line")
+    return timed.select("name", "line_no", time(1, 1).alias("start_ms"), time(5, 2).alias("end_ms"), text.alias("line"))
 
 
 def named(names: DataFrame, first: int = 0) -> DataFrame:

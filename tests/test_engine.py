@@ -352,6 +352,13 @@ def test_folded_lexicon_splits_lines_once(spark):
     assert words.count() > 1000 and all("/folded-" in f for f in words.inputFiles())  # stored counts, not documents
 
 
+def test_parsing_needs_no_shuffle(spark):
+    files = spark.createDataFrame([("a", "1\\n00:00:01,000 --> 00:00:02,000\\nx\\n\\nnote\\n\\n2\\n00:00:03,000 --> 00:00:04,000\\n\\ny")], "name string, content string")
+    cues = subtitles.parse(files)
+    assert [tuple(r) for r in cues.collect()] == [("a", 0, 1000, 2000, "x"), ("a", 1, 3000, 4000, "")]
+    assert "Exchange" not in cues._jdf.queryExecution().executedPlan().toString()
+
+
 def test_words_as_one_text(spark):
     cases = [["a", "b"], [], [""], ["", ""], ["\x01", "b"], [None], [None, "\x01"], ["a", None], ["a b", "é"]]
     rows = spark.createDataFrame([(c,) for c in cases], "w array<string>").select("w", corpora.packed(F.col("w")).alias("p")).select("w", corpora.unpacked(F.col("p")).alias("u"), F.col("p.words").isNull().alias("short")).collect()
