@@ -359,6 +359,23 @@ def test_parsing_needs_no_shuffle(spark):
     assert "Exchange" not in cues._jdf.queryExecution().executedPlan().toString()
 
 
+def test_context_shuffles_no_tokens(spark, tmp_path, monkeypatch):
+    """Neither for few postings nor for many; contexts over lines, blocks and the ends of documents."""
+    words = [["of" if draw % 7 == 0 else f"w{draw % 50}" for draw in range(d, 4000 + 31 * d)] for d in range(6)]
+    words[2][100] = "much-longer-than-twenty-bytes"
+    cues = [(d, i, i, i + 1, " ".join(ws[k : k + 90 + 400 * (d % 2)])) for d, ws in enumerate(words) for i, k in enumerate(range(0, len(ws), 90 + 400 * (d % 2)))]
+    names = spark.createDataFrame([(d, f"n{d}") for d in range(6)], "doc_id int, name string")
+    stored = corpora.build_stored(names, spark.createDataFrame(cues, ROW), str(tmp_path / "c"))
+    show = lambda w: lexicon.UNKNOWN if len(w) > 20 else w
+    want = [(d, i, " ".join(f"[{w}]" if k == i else show(w) for k, w in enumerate(ws) if abs(k - i) <= 3)) for d, ws in enumerate(words) for i in range(len(ws)) if ws[i] == "of"]
+    for most in (1_000_000, 6, 0):
+        monkeypatch.setattr(report, "MOST_POSITIONS", most)
+        for c in (stored, corpora.Corpus(stored.documents, stored.lexicon, stored.lines, stored.tokens)):
+            got = []
+            moved = shuffled_records(spark, lambda: got.extend((r["doc_id"], r["idx"], r["context"]) for r in report.in_context(c, search.search(c, "of")).collect()))  # noqa: B023
+            assert sorted(got) == want and (c.texts is None or moved < 24_000)
+
+
 def test_words_as_one_text(spark):
     cases = [["a", "b"], [], [""], ["", ""], ["\x01", "b"], [None], [None, "\x01"], ["a", None], ["a b", "é"]]
     rows = spark.createDataFrame([(c,) for c in cases], "w array<string>").select("w", corpora.packed(F.col("w")).alias("p")).select("w", corpora.unpacked(F.col("p")).alias("u"), F.col("p.words").isNull().alias("short")).collect()
