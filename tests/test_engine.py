@@ -376,6 +376,17 @@ def test_context_shuffles_no_tokens(spark, tmp_path, monkeypatch):
             assert sorted(got) == want and (c.texts is None or moved < 24_000)
 
 
+def test_appending_shuffles_no_tokens(spark, tmp_path):
+    cues = spark.range(100).select(F.concat(F.lit("d"), "id").alias("name"), F.lit(0).alias("line_no"), F.lit(0).cast("long").alias("start_ms"), F.lit(1000).cast("long").alias("end_ms"), F.concat(F.repeat(F.lit("of the "), 200), F.concat(F.lit("w"), F.col("id").cast("string"))).alias("line"))
+    path = str(tmp_path / "c")
+    corpora.build_stored(spark.createDataFrame([(0, "old")], "doc_id int, name string"), spark.createDataFrame([(0, 0, 0, 1, "the w5 old")], ROW), path)
+    assert shuffled_records(spark, lambda: corpora.append(spark, path, cues.select("name"), cues, 0)) < 10_000  # of 40,100 tokens
+    c = corpora.load(spark, path)
+    ids = {r["token"]: r["word_id"] for r in c.lexicon.collect()}
+    assert [ids[w] for w in ("old", "the", "w5", "of", "w0", "w99")] == [0, 1, 2, 3, 4, 102] and c.tokens.count() == 40_103 and c.texts.count() == 101
+    assert all(ids[r["token"]] == r["word_id"] for r in c.tokens.select("token", "word_id").distinct().collect())
+
+
 def test_words_as_one_text(spark):
     cases = [["a", "b"], [], [""], ["", ""], ["\x01", "b"], [None], [None, "\x01"], ["a", None], ["a b", "é"]]
     rows = spark.createDataFrame([(c,) for c in cases], "w array<string>").select("w", corpora.packed(F.col("w")).alias("p")).select("w", corpora.unpacked(F.col("p")).alias("u"), F.col("p.words").isNull().alias("short")).collect()
